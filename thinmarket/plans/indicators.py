@@ -20,7 +20,7 @@ def trajectory_sql(src: str) -> str:
   SELECT * FROM (
     WITH RECURSIVE base AS (
       SELECT card_id, i, n, price, ma, lag(ma) OVER w AS mp, price - lag(price) OVER w AS d,
-             avg(greatest(price - pp, 0)) OVER (PARTITION BY card_id ORDER BY i) AS mg, avg(greatest(pp - price, 0)) OVER (PARTITION BY card_id ORDER BY i) AS ml
+             avg(CASE WHEN i > 1 THEN greatest(price - pp, 0) END) OVER (PARTITION BY card_id ORDER BY i) AS mg, avg(CASE WHEN i > 1 THEN greatest(pp - price, 0) END) OVER (PARTITION BY card_id ORDER BY i) AS ml
       FROM (SELECT card_id, i, n, price, lag(price) OVER (PARTITION BY card_id ORDER BY i) AS pp,
                    avg(price) OVER (PARTITION BY card_id ORDER BY i) AS ma FROM {src})
       WINDOW w AS (PARTITION BY card_id ORDER BY i)),
@@ -120,47 +120,46 @@ def r4(df, *names):
     )
 
 
-P_ = F.col("p")
 
 
 @query("sma", "SELECT card_id, R4(sma_7) AS sma_7, R4(sma_30) AS sma_30, R4(sma_90) AS sma_90, R4(sma_200) AS sma_200 FROM ind")
 def sma(t):
-    return r4(packed(t).select("card_id", *[K.sma(P_, k).alias(f"sma_{k}") for k in (7, 30, 90, 200)]))
+    return r4(packed(t).select("card_id", *[K.sma(F.col("p"), k).alias(f"sma_{k}") for k in (7, 30, 90, 200)]))
 
 
 @query("ema", "SELECT card_id, R4(e12) AS ema_12, R4(e26) AS ema_26, R4(e50) AS ema_50 FROM ind")
 def ema(t):
-    return r4(packed(t).select("card_id", *[K.ema(P_, k).alias(f"ema_{k}") for k in (12, 26, 50)]))
+    return r4(packed(t).select("card_id", *[K.ema(F.col("p"), k).alias(f"ema_{k}") for k in (12, 26, 50)]))
 
 
 @query("rsi", "SELECT card_id, R4(rsi) AS rsi_14 FROM ind")
 def rsi(t):
-    return r4(packed(t).select("card_id", K.rsi(P_).alias("rsi_14")))
+    return r4(packed(t).select("card_id", K.rsi(F.col("p")).alias("rsi_14")))
 
 
 @query("macd", "SELECT card_id, R4(line) AS line, R4(signal) AS signal, R4(hist) AS histogram FROM ind")
 def macd(t):
-    return r4(packed(t).select("card_id", K.macd(P_).alias("m")).select("card_id", "m.*"))
+    return r4(packed(t).select("card_id", K.macd(F.col("p")).alias("m")).select("card_id", "m.*"))
 
 
 @query("bollinger", "SELECT card_id, R4(bu) AS upper, R4(bm) AS middle, R4(bl) AS lower FROM ind")
 def bollinger(t):
-    return r4(packed(t).select("card_id", K.bollinger(P_).alias("b")).select("card_id", "b.*"))
+    return r4(packed(t).select("card_id", K.bollinger(F.col("p")).alias("b")).select("card_id", "b.*"))
 
 
 @query("adx", "SELECT card_id, R4(adx) AS adx FROM ind")
 def adx(t):
-    return r4(packed(t).select("card_id", K.adx(P_).alias("adx")))
+    return r4(packed(t).select("card_id", K.adx(F.col("p")).alias("adx")))
 
 
 @query("regime", "SELECT card_id, regime FROM ind")
 def regime(t):
-    return packed(t).withColumn("adx", K.adx(P_)).select("card_id", K.regime(P_, F.col("adx")).alias("regime"))
+    return packed(t).withColumn("adx", K.adx(F.col("p"))).select("card_id", K.regime(F.col("p"), F.col("adx")).alias("regime"))
 
 
 @query("half_life", "SELECT card_id, R4(half_life) AS half_life FROM ind")
 def half_life(t):
-    return r4(packed(t).select("card_id", K.half_life(P_).alias("half_life")))
+    return r4(packed(t).select("card_id", K.half_life(F.col("p")).alias("half_life")))
 
 
 @query("data_confidence", "SELECT card_id, R4(confidence) AS data_confidence FROM ind")
@@ -171,7 +170,7 @@ def data_confidence(t):
 
 @query("volatility", "SELECT card_id, R4(vol) AS volatility FROM ind")
 def volatility(t):
-    return r4(packed(t).select("card_id", K.volatility(P_).alias("volatility")))
+    return r4(packed(t).select("card_id", K.volatility(F.col("p")).alias("volatility")))
 
 
 @query("spread_ratio", "SELECT card_id, R4(sr) AS spread_ratio FROM ind")
@@ -181,12 +180,12 @@ def spread_ratio(t):
 
 @query("momentum", "SELECT card_id, R4(mom) AS momentum FROM ind")
 def momentum(t):
-    return r4(packed(t).select("card_id", K.momentum(P_).alias("momentum")))
+    return r4(packed(t).select("card_id", K.momentum(F.col("p")).alias("momentum")))
 
 
 @query("momentum_accel", "SELECT card_id, R4(accel) AS momentum_accel FROM ind")
 def momentum_accel(t):
-    return r4(packed(t).select("card_id", K.momentum_accel(P_).alias("momentum_accel")))
+    return r4(packed(t).select("card_id", K.momentum_accel(F.col("p")).alias("momentum_accel")))
 
 
 _CHANGES = ", ".join(f"R4(c{d}) AS change_{d}d" for d in I.CHANGE_HORIZONS) + ", R4((price / first_price - 1) * 100) AS change_all"
@@ -208,7 +207,7 @@ def range_stats(t):
 
 @query("support_resistance", "SELECT card_id, R4(support) AS support, R4(resistance) AS resistance FROM ind")
 def support_resistance(t):
-    return r4(packed(t).select("card_id", K.support_resistance(P_).alias("s")).select("card_id", "s.*"))
+    return r4(packed(t).select("card_id", K.support_resistance(F.col("p")).alias("s")).select("card_id", "s.*"))
 
 
 _ANALYSIS = f"""R4(sma_7) AS sma_7, R4(sma_30) AS sma_30, R4(sma_90) AS sma_90, R4(sma_200) AS sma_200, R4(e12) AS ema_12, R4(e26) AS ema_26, R4(e50) AS ema_50,
