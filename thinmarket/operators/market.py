@@ -200,10 +200,10 @@ def sales_stats(sales: DataFrame) -> DataFrame:
     )
 
 
-def price_anomalies(bars: DataFrame, cards: DataFrame, as_of: Column, limit: int = 20) -> DataFrame:
+def price_anomalies(bars: DataFrame, cards: DataFrame, as_of: Column, days: int = 7, limit: int = 20) -> DataFrame:
     live = cards.filter("is_tracked AND current_price >= 10")
     near_mint = F.col("condition").isNull() | (F.col("condition") == "Near Mint")
-    recent = bars.filter((F.col("date") >= F.date_sub(as_of, 7)) & near_mint & (F.col("market_price") > 5))
+    recent = bars.filter((F.col("date") >= F.date_sub(as_of, days)) & near_mint & (F.col("market_price") > 5))
     change = F.col("change_pct")
     return (
         own_variant(recent, live, "name", "current_price").groupBy("card_id", "name", "current_price")

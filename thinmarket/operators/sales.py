@@ -200,23 +200,13 @@ def daily_upper_median(sales: DataFrame) -> DataFrame:
 def newest_sales(sales: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` sales per card.
 
-    The days needed are found from daily counts first, so only those days' rows meet in a window.
+    The rank filter becomes a group limit before the shuffle, so a hot card sends at most
+    ``limit`` rows per map task.
     """
-    order = [F.desc("order_date"), F.desc("seq"), F.desc("item_id"), F.desc("purchase_price")]
-    daily = sales.groupBy("card_id", F.to_date("order_date").alias("day")).count()
-    w = Window.partitionBy("card_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    cutoff = (
-        daily.withColumn("newer", F.coalesce(F.sum("count").over(w), F.lit(0)))
-        .filter(F.col("newer") < limit).groupBy("card_id").agg(F.min("day").alias("cutoff"))
-    )
-    # Salted pre-selection: each salt keeps its own newest rows, the second window merges them.
-    near = sales.join(cutoff, "card_id").filter(F.to_date("order_date") >= F.col("cutoff"))
-    salted = near.withColumn("salt", F.pmod(F.xxhash64("seq", "item_id", "purchase_price"), F.lit(32)))
-    first = salted.withColumn("rn", F.row_number().over(Window.partitionBy("card_id", "salt").orderBy(*order))).filter(F.col("rn") <= limit)
-    return (
-        first.withColumn("rn", F.row_number().over(Window.partitionBy("card_id").orderBy(*order)))
-        .filter(F.col("rn") <= limit).drop("salt", "cutoff")
+    w = Window.partitionBy("card_id").orderBy(
+        F.desc("order_date"), F.desc("seq"), F.desc("item_id"), F.desc("purchase_price")
     )
+    return sales.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
 
 
 # Display order of conditions.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("prices", "indicators", "sales", "screener", "market")
+GROUPS = ("prices", "indicators", "sales", "screener", "market", "catalogue", "quality")
 
 
 def load_all() -> None:

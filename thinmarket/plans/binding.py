@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from thinmarket.functions.numeric import rnd
 from thinmarket.operators import series as S
 from thinmarket.plans.registry import view
 
@@ -95,20 +96,51 @@ class Tables:
             F.col("p_retailprice").alias("list_price"),
         )
 
+    @cached_property
+    def item_prices(self) -> DataFrame:
+        """Daily mean price per item."""
+        return self.sales.groupBy("item_id", F.to_date("order_date").alias("date")).agg(F.avg("purchase_price").alias("price"))
+
     @cached_property
     def trades(self) -> DataFrame:
+        """Orders as fills: a customer is a portfolio, sells are cut to what is held.
+
+        Holdings are the running signed quantity reflected at zero, so no sell is uncovered.
+        """
         status = F.col("o_orderstatus")
-        return self.read("orders").select(
+        raw = self.read("orders").select(
             F.col("o_orderkey").alias("trade_id"),
-            (F.col("o_custkey") % 10).alias("portfolio_id"),
-            (F.col("o_orderkey") % 100).alias("card_id"),
+            F.col("o_custkey").alias("portfolio_id"),
+            ((F.col("o_custkey") + F.col("o_orderkey") % 2) % 100).alias("card_id"),
             F.when(status == "F", "sell").otherwise("buy").alias("side"),
-            (F.col("o_custkey") % 5 + 1).cast("int").alias("quantity"),
+            (F.col("o_orderkey") % 5 + 1).cast("int").alias("quantity"),
             (F.col("o_totalprice") / 1000.0).alias("price"),
             F.col("o_orderpriority").alias("signal"),
             F.element_at(F.array(*map(F.lit, STRATEGY_BY_REMAINDER)), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("strategy"),
             F.col("o_orderdate").cast("timestamp").alias("executed_at"),
         )
+        w = Window.partitionBy("portfolio_id", "card_id").orderBy("executed_at", "trade_id")
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
+        held = (
+            raw.withColumn("s", F.sum(signed).over(run))
+            .withColumn("held", F.col("s") - F.least(F.lit(0), F.min("s").over(run)))
+            .withColumn("before", F.coalesce(F.lag("held").over(w), F.lit(0)))
+        )
+        done = held.withColumn("quantity", F.abs(F.col("held") - F.col("before")).cast("int")).filter("quantity > 0")
+        pnl = F.when(F.col("side") == "sell", rnd(F.col("quantity") * (F.col("price") - 250)))
+        return done.select(*raw.columns, pnl.alias("realized_pnl"))
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        """Events as insights of the card that the user id names."""
+        value = F.col("value")
+        return self.read("events").select(
+            F.col("event_id").alias("insight_id"), F.col("event_type").alias("type"),
+            F.when(value > 100, "urgent").when(value > 50, "notable").otherwise("info").alias("severity"),
+            F.col("user_id").alias("card_id"), F.col("ts").cast("timestamp").alias("created_at"),
+            (F.col("event_id") % 2 == 0).alias("acknowledged"), F.col("props").alias("metadata_json"), value.alias("value"),
+        )
 
     @cached_property
     def alerts(self) -> DataFrame:
@@ -139,7 +171,11 @@ class Tables:
             F.col("o_orderdate").cast("date").alias("predicted_at"),
         )
         entry = S.asof_price(made, self.series, ["card_id"], "predicted_at", "prediction_id")
-        return made.join(entry.select("prediction_id", F.col("asof_price").alias("entry_price")), "prediction_id", "left")
+        rising = F.col("signal").isin("buy", "accumulate")
+        return made.join(entry.select("prediction_id", F.col("asof_price").alias("entry_price")), "prediction_id", "left").select(
+            "*", F.when(rising, F.col("entry_price") * 1.25).alias("target_price"),
+            F.when(rising, F.col("entry_price") * 0.88).alias("stop_loss"),
+        )
 
 
 STRATEGY_BY_REMAINDER = ("velocity_spike", "accumulation", "mean_reversion", "vintage_value")
@@ -186,12 +222,21 @@ view("card_sets", """
 view("items", """
   SELECT p_partkey AS item_id, p_name || CASE p_size % 4 WHEN 0 THEN ' ex' WHEN 1 THEN ' V' WHEN 2 THEN ' GX' ELSE '' END AS name,
          p_brand AS set_name, p_type AS rarity, p_retailprice AS list_price FROM part""")
+view("item_prices", "SELECT item_id, CAST(order_date AS DATE) AS date, avg(purchase_price) AS price FROM sales GROUP BY 1, 2")
 view("trades", """
-  SELECT o_orderkey AS trade_id, o_custkey % 10 AS portfolio_id, o_orderkey % 100 AS card_id,
-         CASE o_orderstatus WHEN 'F' THEN 'sell' ELSE 'buy' END AS side,
-         CAST(o_custkey % 5 + 1 AS INT) AS quantity, o_totalprice / 1000.0 AS price, o_orderpriority AS signal,
-         CASE o_orderkey % 4 WHEN 0 THEN 'velocity_spike' WHEN 1 THEN 'accumulation' WHEN 2 THEN 'mean_reversion' ELSE 'vintage_value' END AS strategy,
-         o_orderdate AS executed_at FROM orders""")
+  SELECT trade_id, portfolio_id, card_id, side, CAST(abs(held - before) AS INT) AS quantity, price, signal, strategy, executed_at,
+         CASE WHEN side = 'sell' THEN R2(abs(held - before) * (price - 250)) END AS realized_pnl FROM (
+    SELECT *, coalesce(lag(held) OVER (PARTITION BY portfolio_id, card_id ORDER BY executed_at, trade_id), 0) AS before FROM (
+      SELECT *, s - least(0, min(s) OVER (PARTITION BY portfolio_id, card_id ORDER BY executed_at, trade_id)) AS held FROM (
+        SELECT o_orderkey AS trade_id, o_custkey AS portfolio_id, (o_custkey + o_orderkey % 2) % 100 AS card_id,
+          CASE o_orderstatus WHEN 'F' THEN 'sell' ELSE 'buy' END AS side, o_totalprice / 1000.0 AS price, o_orderpriority AS signal,
+          CASE o_orderkey % 4 WHEN 0 THEN 'velocity_spike' WHEN 1 THEN 'accumulation' WHEN 2 THEN 'mean_reversion' ELSE 'vintage_value' END AS strategy,
+          o_orderdate AS executed_at,
+          sum(CASE o_orderstatus WHEN 'F' THEN -1 ELSE 1 END * (o_orderkey % 5 + 1)) OVER (PARTITION BY o_custkey, (o_custkey + o_orderkey % 2) % 100 ORDER BY o_orderdate, o_orderkey) AS s
+        FROM orders))) WHERE held <> before""")
+view("insights", """
+  SELECT event_id AS insight_id, event_type AS type, CASE WHEN value > 100 THEN 'urgent' WHEN value > 50 THEN 'notable' ELSE 'info' END AS severity,
+         user_id AS card_id, ts AS created_at, event_id % 2 = 0 AS acknowledged, props AS metadata_json, value FROM events""")
 view("alerts", """
   SELECT c_custkey AS alert_id, c_custkey % 100 AS card_id, c_name AS email,
          CASE WHEN c_custkey % 3 = 0 THEN c_acctbal / 10.0 END AS threshold_above,
@@ -202,9 +247,10 @@ view("alerts", """
               WHEN c_custkey % 13 = 0 THEN TIMESTAMP '2001-10-01 00:00:00' END AS last_triggered_at
   FROM customer""")
 view("predictions", """
-  SELECT q.*, (SELECT arg_max(s.price, s.date) FROM series s WHERE s.card_id = q.card_id AND s.date <= q.predicted_at) AS entry_price
+  SELECT *, CASE WHEN signal IN ('buy', 'accumulate') THEN entry_price * 1.25e0 END AS target_price,
+    CASE WHEN signal IN ('buy', 'accumulate') THEN entry_price * 0.88e0 END AS stop_loss FROM (SELECT q.*, (SELECT arg_max(s.price, s.date) FROM series s WHERE s.card_id = q.card_id AND s.date <= q.predicted_at) AS entry_price
   FROM (SELECT o_orderkey AS prediction_id, o_custkey % 100 AS card_id,
                CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'buy' WHEN '2' THEN 'accumulate' WHEN '3' THEN 'hold' WHEN '4' THEN 'watch' ELSE 'avoid' END AS signal,
                CASE o_custkey % 3 WHEN 0 THEN 'analyst' WHEN 1 THEN 'trader' ELSE 'scanner' END AS source,
                CAST(o_orderdate AS DATE) AS predicted_at
-        FROM orders WHERE o_orderkey % 50 = 0) q""")
+        FROM orders WHERE o_orderkey % 50 = 0) q)""")

@@ -135,10 +135,10 @@ def sales_stats(t):
     SELECT card_id, name, current_price, avg_price, (current_price - avg_price) / avg_price * 100 AS ch FROM (
       SELECT c.card_id, c.name, c.current_price, avg(market_price) AS avg_price, count(*) AS n FROM price_history p
       JOIN cards c ON c.card_id = p.card_id AND c.price_variant = p.variant, as_of
-      WHERE is_tracked AND current_price >= 10 AND condition = 'Near Mint' AND market_price > 5 AND date >= d - 7 GROUP BY ALL) WHERE n >= 2)
+      WHERE is_tracked AND current_price >= 10 AND condition = 'Near Mint' AND market_price > 5 AND date >= d - 90 GROUP BY ALL) WHERE n >= 2)
   WHERE ch > 15 OR ch < -25 ORDER BY abs(R2(ch)) DESC, card_id LIMIT 20""")
 def price_anomalies(t):
-    return M.price_anomalies(t.price_history, t.cards, t.as_of)
+    return M.price_anomalies(t.price_history, t.cards, t.as_of, days=90)
 
 
 @query("tracked_stats", """
