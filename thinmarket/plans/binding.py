@@ -178,7 +178,7 @@ class Tables:
         )
 
 
-STRATEGY_BY_REMAINDER = ("velocity_spike", "accumulation", "mean_reversion", "vintage_value")
+STRATEGY_BY_REMAINDER = ("velocity_spike", "accumulation_phase", "mean_reversion_v2", "vintage_value_buy")
 
 
 view("sales", """
@@ -230,7 +230,7 @@ view("trades", """
       SELECT *, s - least(0, min(s) OVER (PARTITION BY portfolio_id, card_id ORDER BY executed_at, trade_id)) AS held FROM (
         SELECT o_orderkey AS trade_id, o_custkey AS portfolio_id, (o_custkey + o_orderkey % 2) % 100 AS card_id,
           CASE o_orderstatus WHEN 'F' THEN 'sell' ELSE 'buy' END AS side, o_totalprice / 1000.0 AS price, o_orderpriority AS signal,
-          CASE o_orderkey % 4 WHEN 0 THEN 'velocity_spike' WHEN 1 THEN 'accumulation' WHEN 2 THEN 'mean_reversion' ELSE 'vintage_value' END AS strategy,
+          CASE o_orderkey % 4 WHEN 0 THEN 'velocity_spike' WHEN 1 THEN 'accumulation_phase' WHEN 2 THEN 'mean_reversion_v2' ELSE 'vintage_value_buy' END AS strategy,
           o_orderdate AS executed_at,
           sum(CASE o_orderstatus WHEN 'F' THEN -1 ELSE 1 END * (o_orderkey % 5 + 1)) OVER (PARTITION BY o_custkey, (o_custkey + o_orderkey % 2) % 100 ORDER BY o_orderdate, o_orderkey) AS s
         FROM orders))) WHERE held <> before""")

@@ -80,11 +80,13 @@ def dedup_by_date(t):
     return t.series.select("card_id", "date", *[rnd(F.col(c), 6).alias(c) for c in ("price", "low", "high")])
 
 
-view("cleaned", """rec:
+def clean_sql(src: str) -> str:
+    """Sequential cleaning as a recursion that carries the last seven cleaned prices."""
+    return f"""
   SELECT card_id, i, date, n, c AS price FROM (
     WITH RECURSIVE base AS (
       SELECT s.card_id, s.i, s.n, s.date, s.price,
-             list(s.price) OVER (PARTITION BY s.card_id ORDER BY s.i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead FROM ser s),
+             list(s.price) OVER (PARTITION BY s.card_id ORDER BY s.i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead FROM {src} s),
     steps AS (
       SELECT card_id, i, date, n, hist, c FROM (
         SELECT b.card_id, b.i, b.date, b.n, [] :: DOUBLE[] AS hist,
@@ -95,7 +97,10 @@ view("cleaned", """rec:
       FROM (SELECT *, list_sort(list_concat(hist, ahead))[CAST(floor((len(hist) + len(ahead)) / 2) AS INT) + 1] AS m FROM (
         SELECT b.card_id, b.i, b.date, b.n, b.price, b.ahead, list_append(w.hist, w.c)[-7:] AS hist
         FROM steps w JOIN base b ON b.card_id = w.card_id AND b.i = w.i + 1)))
-    SELECT * FROM steps)""")
+    SELECT * FROM steps)"""
+
+
+view("cleaned", clean_sql("ser"))
 
 
 @query("clean_outliers", "SELECT card_id, i::INT AS i, date::VARCHAR AS date, R6(price) AS price FROM cleaned")

@@ -65,8 +65,6 @@ def full_sql(body: str) -> str:
 
     visit(body)
     ctes = [f"{name} AS ({VIEWS[name]})" for name in needed]
-    # "rec:" marks the shared views that call themselves.
-    ctes = [c.replace("rec:", "") for c in ctes]
     head = "WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else ""
     return expand_rounding(f"{head}SELECT * FROM (\n{body.strip()}\n)")
 
