@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thinmarket.functions.numeric import pct_change, rnd
 from thinmarket.functions.text import money
 from thinmarket.operators import indicators as I
 from thinmarket.operators import sales as A
-from thinmarket.operators import series as S
+from thinmarket.operators.ranking import banded_rank
 
 
 # Closing sentences of the card summary.
@@ -62,19 +62,9 @@ def dedup_insights(existing: DataFrame, new: DataFrame, now: Column) -> DataFram
 
 def set_rank(cards: DataFrame) -> DataFrame:
     """Rank by price within the set and the number of ranked cards."""
-    live = cards.filter("is_tracked AND current_price > 0 AND set_name IS NOT NULL").withColumn(
-        "band", F.floor("current_price")
-    )
-    # Whole units of price as bands: a crowded set is ranked band by band, in parallel.
-    bands = live.groupBy("set_name", "band").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("set_name").orderBy(F.desc("band"))
-    offsets = bands.withColumn("above", F.sum("c").over(w) - F.col("c")).withColumn(
-        "set_total", F.sum("c").over(Window.partitionBy("set_name"))
-    )
-    inside = Window.partitionBy("set_name", "band").orderBy(F.desc("current_price"), "card_id")
-    return live.withColumn("k", F.row_number().over(inside)).join(offsets.drop("c"), ["set_name", "band"]).select(
-        "card_id", "set_name", (F.col("above") + F.col("k")).alias("set_rank"), "set_total"
-    )
+    live = cards.filter("is_tracked AND current_price > 0 AND set_name IS NOT NULL")
+    ranked = banded_rank(live, ["set_name"], F.floor("current_price"), [F.desc("current_price"), F.asc("card_id")], "set_rank")
+    return ranked.select("card_id", "set_name", "set_rank", F.col("group_size").alias("set_total"))
 
 
 def big_movers(cards: DataFrame, series: DataFrame, as_of: Column, threshold: float = 20.0) -> DataFrame:

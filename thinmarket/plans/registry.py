@@ -55,15 +55,15 @@ def full_sql(body: str) -> str:
     """Prefix the shared views that ``body`` mentions and expand the Rn() rounding shorthand."""
     needed: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, above: tuple[str, ...]) -> None:
         words = set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", text))
         for name in VIEWS:
-            if name in words and name not in needed:
-                visit(VIEWS[name])
+            if name in words and name not in needed and name not in above:
+                visit(VIEWS[name], (*above, name))
                 if name not in needed:
                     needed.append(name)
 
-    visit(body)
+    visit(body, ())
     ctes = [f"{name} AS ({VIEWS[name]})" for name in needed]
     head = "WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else ""
     return expand_rounding(f"{head}SELECT * FROM (\n{body.strip()}\n)")
