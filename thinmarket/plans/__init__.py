@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("prices", "indicators", "sales", "screener", "market", "catalogue", "quality", "backtests", "desk")
+GROUPS = ("prices", "indicators", "sales", "screener", "market", "catalogue", "quality", "backtests", "desk", "ingest", "streams")
 
 
 def load_all() -> None:
