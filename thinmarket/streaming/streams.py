@@ -97,7 +97,7 @@ def gate_steps(rows: list[tuple], last: tuple | None) -> tuple[list[bool], tuple
 def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])  # one card's share of one micro-batch
     last = state.get if state.exists else None
-    accepted, last = gate_steps(list(zip(rows["price"], rows["ts"].dt.to_pydatetime())), last)
+    accepted, last = gate_steps(list(zip(rows["price"], rows["ts"].tolist())), last)
     state.update(last)
     yield pd.DataFrame({"card_id": key[0], "event_id": rows["event_id"].to_numpy(), "price": rows["price"].to_numpy(), "accepted": accepted})
 
