@@ -85,8 +85,22 @@ def source(t):
     return B.backtest_series_of(t.price_history)
 
 
+# Query names of the strategies.
+SIGNAL_QUERIES = {
+    "sma_crossover": "sig_sma_crossover",
+    "rsi_mean_reversion": "sig_rsi",
+    "macd_signal": "sig_macd",
+    "bollinger_bounce": "sig_bollinger",
+    "combined": "sig_combined",
+    "momentum_breakout": "sig_breakout",
+    "mean_reversion_bands": "sig_mean_reversion_bands",
+    "trend_rider": "sig_trend_rider",
+    "steady_gainer": "sig_steady_gainer",
+}
+
+
 def _signal_query(strategy: str):
-    @query(f"sig_{strategy}", f"SELECT card_id, i::INT AS i, date::VARCHAR AS date, {strategy} AS signal FROM bt_sig WHERE {strategy} IS NOT NULL")
+    @query(SIGNAL_QUERIES[strategy], f"SELECT card_id, i::INT AS i, date::VARCHAR AS date, {strategy} AS signal FROM bt_sig WHERE {strategy} IS NOT NULL")
     def run(t):
         panel = H.indicator_panel(source(t))
         return H.signals(panel, (strategy,)).filter(F.col(strategy).isNotNull()).select("card_id", "i", "date", F.col(strategy).alias("signal"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thinmarket.functions.numeric import rnd
 from thinmarket.operators import series as S
 from thinmarket.plans.registry import view
+from thinmarket.session import reuse
 
 # Fixed values of the binding.
 RARITY_BY_REMAINDER = ("Illustration Rare", "Ultra Rare", "Rare Holo", "Common")
@@ -42,7 +43,7 @@ class Tables:
 
     @cached_property
     def price_history(self) -> DataFrame:
-        return S.bars_from_sales(self.sales)
+        return reuse(S.bars_from_sales(self.sales))
 
     @cached_property
     def series(self) -> DataFrame:
@@ -75,7 +76,7 @@ class Tables:
     @cached_property
     def cards(self) -> DataFrame:
         """Catalogue plus the newest Near Mint price of the card's variant."""
-        return self.catalogue.join(S.latest_price(self.price_history, self.catalogue), "card_id", "left")
+        return reuse(self.catalogue.join(S.latest_price(self.price_history, self.catalogue), "card_id", "left"))
 
     @cached_property
     def card_sets(self) -> DataFrame:

@@ -82,8 +82,20 @@ view("desk_pts", "SELECT *, CASE WHEN age >= 18 THEN 40 WHEN age >= 12 THEN 25 E
 view("desk_scan", "SELECT * FROM desk_hits WHERE is_tracked AND (current_price >= 20 OR (is_vintage AND current_price >= 15)) AND (liq >= 25 OR is_vintage)")
 
 
+# Query names of the rules.
+RULE_QUERIES = {
+    "velocity_spike": "sig_velocity_spike",
+    "accumulation_phase": "sig_accumulation",
+    "mean_reversion_v2": "sig_mean_reversion",
+    "vwap_divergence": "sig_vwap_divergence",
+    "oop_momentum": "sig_out_of_print",
+    "momentum_breakout": "sig_confirmed_momentum",
+    "vintage_value_buy": "sig_vintage_value",
+}
+
+
 def _rule_query(rule: str):
-    @query(f"sig_{'desk_' if rule == 'momentum_breakout' else ''}{rule}", f"SELECT card_id, strength, target_price, stop_loss, composite_score FROM desk_hits WHERE strategy = '{rule}'")
+    @query(RULE_QUERIES[rule], f"SELECT card_id, strength, target_price, stop_loss, composite_score FROM desk_hits WHERE strategy = '{rule}'")
     def run(t):
         return D.rule_hits(panel(t), (rule,)).select("card_id", "strength", "target_price", "stop_loss", "composite_score")
 

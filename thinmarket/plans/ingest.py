@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from thinmarket.functions.numeric import rnd
 from thinmarket.operators import screener as G
 from thinmarket.plans.indicators import r4
 from thinmarket.plans.registry import query, view
+from thinmarket.session import checkpoint_root
 from thinmarket.sources import feeds, sinks
 
 D6 = 6
@@ -269,6 +272,18 @@ def apply_pricepoints(t):
     return updated.select("card_id", "current_price", "price_variant", "updated")
 
 
+@query("write_tables", "SELECT year(date) AS year, count(*) AS n_rows, R2(sum(market_price)) AS total FROM price_history GROUP BY 1")
+def write_tables(t):
+    """Bars written in two overlapping loads: the second load only adds what is missing."""
+    path = f"{checkpoint_root(t.spark)}/bars-{uuid.uuid4().hex}"
+    keys = ["card_id", "date", "variant", "condition"]
+    bars = t.price_history.withColumn("year", F.year("date"))
+    sinks.append_new(bars.filter("card_id % 2 = 0"), path, keys, ["year"])
+    sinks.append_new(bars, path, keys, ["year"])
+    saved = t.spark.read.parquet(path)
+    return saved.groupBy("year").agg(F.count("*").alias("n_rows"), rnd(F.sum("market_price")).alias("total")).withColumn("year", F.col("year").cast("long"))
+
+
 @query("export_csv", """SELECT name AS "Name", set_name AS "Set", printf('%.2f', current_price) AS "Price", printf('%.1f', R1(least(100, appreciation_score / (1 + exp(-0.1e0 * (liq - 30))) + rarity_score * 0.15e0))) AS "Investment Score",
   printf('%.1f', liquidity_score::DOUBLE) AS "Liquidity", printf('%.1f', appreciation_score) AS "Appreciation", regime AS "Regime", printf('%.2f', est_profit) AS "Est Profit", printf('%.1f', R1(est_profit / current_price * 100)) AS "Return %",
   printf('%.2f', sales_per_day) AS "Velocity" FROM cand""")

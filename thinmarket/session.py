@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
+    # Series work is heavy per byte: coalesce by parallelism, not up to a megabyte.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32KB",
     # Call-site capture costs several driver round trips per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +50,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+
+
+REUSE_LIMIT_BYTES = 16 * 1024**3
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keeps a table that one session reads many times, if its estimated size is within bounds.
+
+    Beyond the bound the plan is left as it is: such a table belongs in storage, written once by
+    ``sources.sinks``, and is then read with pruning like any other. Lost blocks are recomputed.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if size <= REUSE_LIMIT_BYTES else df
