@@ -72,12 +72,13 @@ def hot_cards(bars: DataFrame, cards: DataFrame, limit: int = 12) -> DataFrame:
     )
     picked = F.broadcast(few)  # at most 5 x limit ids
     full = I.analyze_cards(bars.join(picked, "card_id", "left_semi"), cards.join(picked, "card_id", "left_semi"))
-    top = (
-        full.filter(F.col("activity_score").isNotNull())
-        .filter(~F.coalesce(F.col("volatility") > 500, F.lit(False)) & ~F.coalesce(F.abs("change_7d") > 500, F.lit(False)))
-        .orderBy(F.desc("activity_score"), "card_id").limit(limit)
+    # Ranking by window keeps the filter above the analysis: pushed below, it would repeat it.
+    everything = Window.partitionBy(F.lit(1))  # at most 5 x limit rows
+    odd = F.coalesce(F.col("volatility") > 500, F.lit(False)) | F.coalesce(F.abs("change_7d") > 500, F.lit(False))
+    ranked = full.withColumn("fit", F.col("activity_score").isNotNull() & ~odd).withColumn(
+        "rank", F.row_number().over(everything.orderBy(F.desc("fit"), F.desc("activity_score"), "card_id"))
     )
-    everything = Window.partitionBy(F.lit(1))  # at most `limit` rows
+    top = ranked.filter(F.col("fit") & (F.col("rank") <= limit))
     low, high = F.min("activity_score").over(everything), F.max("activity_score").over(everything)
     scaled = F.when(high > low, rnd((F.col("activity_score") - low) / (high - low) * 100, 1)).otherwise(F.col("activity_score"))
     return top.select(
