@@ -47,14 +47,12 @@ def card_with_set(cards: DataFrame, sets: DataFrame) -> DataFrame:
     return cards.join(sets, "set_id", "left")
 
 
-def name_matches(cards: DataFrame) -> DataFrame:
-    """(base, low): distinct lower-case names that contain a base name, without comparing all pairs.
+def substring_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(low, base): distinct texts that contain a needle, without comparing all pairs.
 
-    Every distinct name is cut into its distinct substrings, which then meet the base names in an
-    ordinary equi-join.
+    Every distinct text ``low`` is cut into its distinct substrings, which then meet the needles
+    ``base`` in an ordinary equi-join.
     """
-    names = cards.select(F.lower("name").alias("low")).distinct()
-    bases = cards.select(F.lower(X.base_name(F.col("name"))).alias("base")).distinct()
     n = F.length("low")
     cuts = F.array_distinct(
         F.flatten(
@@ -64,7 +62,14 @@ def name_matches(cards: DataFrame) -> DataFrame:
             )
         )
     )
-    return names.select("low", F.explode(cuts).alias("base")).join(bases, "base")
+    return texts.filter(n > 0).select("low", F.explode(cuts).alias("base")).join(needles, "base")
+
+
+def name_matches(cards: DataFrame) -> DataFrame:
+    """Distinct lower-case names with the base names they contain."""
+    names = cards.select(F.lower("name").alias("low")).distinct()
+    bases = cards.select(F.lower(X.base_name(F.col("name"))).alias("base")).distinct()
+    return substring_pairs(names, bases)
 
 
 def similar_cards(cards: DataFrame, prices: DataFrame, as_of: Column, key: str = "card_id", k: int = 3) -> DataFrame:

@@ -24,8 +24,7 @@ def trajectory_panel(series: DataFrame) -> DataFrame:
         return F.when(F.lag("price", k).over(w) > 0, F.lag("price", k).over(w))
 
     i, p = F.col("i"), F.col("price")
-    mids = series.select("card_id", "date", "mid")
-    rows = I.trajectories(series, min_points=MIN_POINTS).join(mids, ["card_id", "date"])
+    rows = I.trajectories(series, min_points=MIN_POINTS)
     mid20, dev20 = F.avg("price").over(back(20)), F.stddev_samp("price").over(back(20))
     rows = (
         rows.withColumn("sma_7", F.when(i >= 7, F.avg("price").over(back(7)))).withColumn("sma_30", F.when(i >= 30, F.avg("price").over(back(30))))

@@ -235,11 +235,11 @@ def trajectories(series: DataFrame, clean: bool = False, min_points: int = 1) ->
     t = packed.select("card_id", "bars", udf(prices_of("bars")).alias("t"))
     zipped = F.arrays_zip(
         F.transform("bars", lambda b: b["date"]).alias("date"),
-        F.transform("bars", lambda b: (b["high"] - b["low"])).alias("bar_range"),
+        F.transform("bars", lambda b: b["mid"]).alias("mid"),
         *[F.col(f"t.{c}").alias(c) for c in _COLUMNS],
     )
     return t.select("card_id", F.size("bars").alias("n"), F.posexplode(zipped).alias("pos", "r")).select(
-        "card_id", (F.col("pos") + 1).alias("i"), "n", F.col("r.date").alias("date"), F.col("r.clean").alias("price"),
+        "card_id", (F.col("pos") + 1).alias("i"), "n", F.col("r.date").alias("date"), F.col("r.clean").alias("price"), F.col("r.mid").alias("mid"),
         *[F.col(f"r.{c}").alias(c) for c in _COLUMNS[1:]],
     )
 

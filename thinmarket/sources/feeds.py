@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thinmarket.functions import text as X
 from thinmarket.functions.numeric import rnd
+from thinmarket.operators.catalogue import substring_pairs
 
 # Names of printings in the bulk feed and in the price-point feed.
 SUBTYPE_TO_VARIANT = {
@@ -415,16 +416,16 @@ def map_products_to_cards(groups: DataFrame, products: DataFrame, cards: DataFra
 def discover_products(groups: DataFrame, products: DataFrame, entries: DataFrame, cards: DataFrame, min_price: float = 10.0) -> DataFrame:
     """What to do with every product that is dear enough: already_tracked, re_track, map_existing or create.
 
-    Sets match when the catalogue's set name contains the group title; both are few and distinct,
-    so the comparison runs on distinct titles only.
+    Sets match when the catalogue's set name contains the group title.
     """
     best = best_price_entry(entries).withColumn("price", F.coalesce(F.nullif(F.col("marketPrice"), F.lit(0.0)), F.col("midPrice")))
     dear = product_fields(products).join(best.filter(F.col("price") >= min_price).select("productId", "price", "variant"), "productId")
     known = cards.filter("product_id IS NOT NULL").select(F.col("product_id").alias("productId"), F.col("is_tracked").alias("tracked"))
     synthetic = cards.filter("tcg_id LIKE 'tcgcsv-%'").select("tcg_id", F.lit(True).alias("synthetic"))
     titles = groups.select("groupId", X.set_title(F.col("name")).alias("title"))
-    sets = cards.select("set_name").distinct()
-    close = titles.join(sets, F.lower("set_name").contains(F.col("title"))).select("groupId", "set_name")
+    sets = cards.select("set_name").distinct().withColumn("low", F.lower("set_name"))
+    pairs = substring_pairs(sets.select("low").distinct(), titles.select(F.col("title").alias("base")).distinct())
+    close = titles.join(pairs.withColumnRenamed("base", "title"), "title").join(sets, "low").select("groupId", "set_name")
     numbered = cards.groupBy("set_name", "number").agg(F.min("card_id").alias("card_id"))
     match = dear.join(close, "groupId").join(numbered, ["set_name", "number"]).groupBy("productId").agg(F.min("card_id").alias("match_id"))
     rows = (
