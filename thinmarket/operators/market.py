@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thinmarket.functions import economics as E
 from thinmarket.functions.numeric import rnd
 from thinmarket.operators import indicators as I
 from thinmarket.operators import sales as A

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from thinmarket.functions.numeric import rnd
 from thinmarket.operators import sales as A
-from thinmarket.operators import series as S
 
 # Rarities worth tracking. The case of the words is as given.
 TRACKABLE_RARITIES = (

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from thinmarket.functions import economics as E
 from thinmarket.functions import folds as K
 from thinmarket.functions.numeric import clamp, rnd
-from thinmarket.operators import sales as A
 from thinmarket.operators import series as S
 from thinmarket.operators.panel import with_sales
 

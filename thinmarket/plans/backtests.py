@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from thinmarket.functions.numeric import rnd
 from thinmarket.operators import backtest as B
 from thinmarket.operators import strategies as H
 from thinmarket.plans.indicators import r4, trajectory_sql

@@ -8,9 +8,7 @@ from thinmarket.functions import economics as E
 from thinmarket.functions import text as X
 from thinmarket.functions.numeric import rnd
 from thinmarket.operators import catalogue as C
-from thinmarket.operators import ledger as L
 from thinmarket.operators import picks as K
-from thinmarket.operators import predictions as R
 from thinmarket.plans.indicators import r4
 from thinmarket.plans.registry import query, view
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thinmarket.functions.numeric import rnd
-from thinmarket.operators import backtest as B
 from thinmarket.operators import catalogue as C
 from thinmarket.operators import desk as D
 from thinmarket.operators import history as H

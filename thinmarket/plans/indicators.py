@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from thinmarket.functions import economics as E
 from thinmarket.functions import folds as K
 from thinmarket.functions.numeric import rnd
 from thinmarket.operators import indicators as I
 from thinmarket.operators import panel as P
-from thinmarket.operators import sales as A
 from thinmarket.operators import series as S
 from thinmarket.plans.registry import query, view
 

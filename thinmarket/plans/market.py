@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from thinmarket.functions.numeric import rnd
 from thinmarket.operators import market as M
 from thinmarket.operators import screener as G
-from thinmarket.plans.indicators import r4
 from thinmarket.plans.registry import query, view
 
 view("moved", """
