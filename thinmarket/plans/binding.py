@@ -100,7 +100,7 @@ class Tables:
     @cached_property
     def item_prices(self) -> DataFrame:
         """Daily mean price per item."""
-        return self.sales.groupBy("item_id", F.to_date("order_date").alias("date")).agg(F.avg("purchase_price").alias("price"))
+        return reuse(self.sales.groupBy("item_id", F.to_date("order_date").alias("date")).agg(F.avg("purchase_price").alias("price")))
 
     @cached_property
     def trades(self) -> DataFrame:

@@ -11,6 +11,7 @@ from thinmarket.operators import catalogue as C
 from thinmarket.operators import picks as K
 from thinmarket.plans.indicators import r4
 from thinmarket.plans.registry import query, view
+from thinmarket.session import reuse
 
 
 @query("list_cards", "SELECT card_id, name, set_name, rarity, current_price FROM cards WHERE is_tracked AND name ILIKE '%000%' ORDER BY current_price DESC NULLS LAST, card_id LIMIT 20 OFFSET 20")
@@ -43,7 +44,7 @@ _BASE = r"""CASE WHEN trim(regexp_split_to_array(name, '\s+(ex|EX|GX|V|VMAX|VSTA
 
 def item_cards(t):
     prices = t.item_prices.groupBy("item_id").agg(rnd(F.max_by("price", "date")).alias("current_price"))
-    return t.items.join(prices, "item_id")
+    return reuse(t.items.join(prices, "item_id"))
 
 
 @query("similar_cards", f"""

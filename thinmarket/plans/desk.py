@@ -16,6 +16,7 @@ from thinmarket.operators import series as S
 from thinmarket.plans.indicators import indicators_sql, liquidity_sql, r4, trajectory_sql
 from thinmarket.plans.registry import query, view
 from thinmarket.plans.sales import slippage_sql
+from thinmarket.session import reuse
 
 VINTAGE_SQL = "set_id < 8"  # the binding's vintage sets
 
@@ -214,7 +215,8 @@ view("pit_base", f"""
 
 
 def pit(t, strict: bool = False):
-    return H.pit_panel(t.price_history, t.cards, t.sales, t.card_sets, F.lit(START).cast("date"), t.as_of, STEP, F.expr(VINTAGE_SQL), strict)
+    start = F.lit(START).cast("date")
+    return reuse(H.pit_panel(t.price_history, t.cards, t.sales, t.card_sets, start, t.as_of, STEP, F.expr(VINTAGE_SQL), strict))
 
 
 @query("pit_panel", """SELECT sim_date::VARCHAR AS sim_date, card_id, i::INT AS n_points, R4(current_price) AS current_price, regime, R4(rsi) AS rsi_14, R4(adx) AS adx, R4(sma_7) AS sma_7, R4(sma_30) AS sma_30, R4(high_30) AS high_30, R4(low_30) AS low_30,
