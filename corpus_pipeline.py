@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinmarket.llm import quality
+from thinmarket.llm import lines, quality
 from thinmarket.session import checkpoint_root
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def as_articles(docs: DataFrame) -> DataFrame:
     return docs.withColumnsRenamed({"doc_id": "article_id", "text": "body", "lang": "language"})
 
 
+def as_documents(articles: DataFrame) -> DataFrame:
+    """The columns of documents, the length taken from the text as it is now."""
+    return articles.select(F.col("article_id").alias("doc_id"), F.col("body").alias("text"), F.col("language").alias("lang"), "source", F.length("body").cast("long").alias("n_chars"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy keeps."""
-    return quality.keep_articles(as_articles(docs), "v2").select(*[F.col(a).alias(b) for a, b in zip(("article_id", "body", "language", "source", "n_chars"), COLUMNS)])
+    return as_documents(quality.keep_articles(as_articles(docs), "v2"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand earlier; one of which nothing is left goes."""
+    out = lines.drop_repeated_lines(as_articles(docs))
+    return as_documents(out.filter(~((F.col("n_removed_lines") > 0) & ~F.col("body").rlike(r"[^\x20\x09-\x0D]"))))
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup)]
 ORACLE_SQL = None
 
 

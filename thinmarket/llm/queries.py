@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinmarket.llm import quality
+from thinmarket.llm import lines, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("article_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.kept("base")).alias("base_failed"), quality.kept("v2").alias("kept"), "n_lines", "n_bare_words", "fail_bits",
     )
+
+
+@register("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.drop_repeated_lines(articles(spark, sf_dir))
+    return out.select(F.col("article_id").alias("doc_id"), F.col("body").alias("text"), "n_removed_lines")
