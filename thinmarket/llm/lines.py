@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thinmarket.llm.rows import packed, row_key, unpacked
-
 #: (seed, divisor) of each chunking: a boundary stands where the rolling hash is 0 modulo the divisor.
 CHUNKINGS = ((11, 2), (12, 2), (13, 3), (14, 3), (15, 5), (16, 8))
 
@@ -29,29 +27,37 @@ def _bounds(h: Column, seed: int, divisor: int) -> Column:
     return F.filter(places, lambda i: (i == 0) | (F.pmod(rolled(i), F.lit(divisor)) == 0))
 
 
-def repeated_chunks(articles: DataFrame, article_id: str = "article_id", body: str = "body") -> DataFrame:
-    """(key, start, n) of every chunk of lines that stands earlier in the corpus as well.
+def _keyed(articles: DataFrame, article_id: str, body: str) -> DataFrame:
+    """(k1, k2, id, body, rest): 128 never-null bits of the row, and all its columns.
+
+    The comparison and the removal both read all of these, so their exchange by key is made once.
+    """
+    i, b = F.col(f"`{article_id}`"), F.col(f"`{body}`").cast("string")
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(articles.columns) if c != body], F.lit(True).alias("any"))
+    plain = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in articles.schema.fields]
+    marks = [F.isnull(f"`{c}`") for c in articles.columns]
+    return articles.select(F.xxhash64(*plain, *marks).alias("k1"), F.xxhash64(F.lit("second"), *marks, *plain[::-1]).alias("k2"), i.alias("id"), b.alias("body"), rest.alias("rest"))
+
+
+def repeated_chunks(keyed: DataFrame) -> DataFrame:
+    """(k1, k2, start, n) of every chunk of lines that stands earlier in the corpus as well.
 
-    Earlier means a smaller (id, key, start); a null id is the smallest. Hashes propose, bytes decide:
-    chunks count as equal only if their lines are equal byte for byte.
+    Earlier means a smaller (id, tag of the other columns, k1, k2, start); a null id is the smallest. Hashes propose, bytes
+    decide: chunks count as equal only if their lines are equal byte for byte.
     """
-    key = row_key(F.col(article_id), F.col(body)).alias("key")
-    split = articles.filter(F.col(body).contains("\n")).select(F.col(article_id).alias("id"), key, F.split(F.col(body).cast("string"), "\n").alias("lines"))
     blank = r"^[\x20\x09-\x0D]*$"
-    hashed = split.select("key", F.transform("lines", lambda x: F.when(x.rlike(blank), F.lit(0)).otherwise(F.xxhash64(x))).alias("h"))
-    h = F.col("h")
-    bounded = hashed.select("key", "h", *[_bounds(h, s, d).alias(f"b{s}") for s, d in CHUNKINGS])
-    found = bounded.select("key", F.explode(F.array_distinct(F.concat(*[_chunks(h, F.col(f"b{s}")) for s, _ in CHUNKINGS]))).alias("c"))
-    found = found.select("key", "c.start", "c.n", "c.hash")
+    hashed = keyed.filter(F.col("body").contains("\n")).select("k1", "k2", F.transform(F.split("body", "\n"), lambda x: F.when(x.rlike(blank), F.lit(0)).otherwise(F.xxhash64(x))).alias("h"))
+    bounded = hashed.select("k1", "k2", "h", *[_bounds(F.col("h"), s, d).alias(f"b{s}") for s, d in CHUNKINGS])
+    found = bounded.select("k1", "k2", F.explode(F.array_distinct(F.concat(*[_chunks(F.col("h"), F.col(f"b{s}")) for s, _ in CHUNKINGS]))).alias("c"))
+    found = found.select("k1", "k2", "c.start", "c.n", "c.hash")
     often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("hash")
-    wanted = found.join(often, "hash").groupBy("key").agg(F.collect_set(F.struct("start", "n", "hash")).alias("wanted"))
+    wanted = found.join(often, "hash").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "hash")).alias("wanted"))
 
-    # Only rows with a proposed chunk bring their lines here.
-    told = split.join(wanted, "key").select("id", "key", "lines", F.explode("wanted").alias("c"))
-    told = told.select("id", "key", "c.start", "c.n", "c.hash", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("bytes"))
-    first = told.groupBy("hash", "bytes").agg(F.min(F.struct("id", "key", "start")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    here = F.struct("id", "key", "start")
-    return told.join(first.select("hash", "bytes", "first"), ["hash", "bytes"]).filter(here != F.col("first")).select("key", "start", "n")
+    told = keyed.join(wanted, ["k1", "k2"]).select("id", "k1", "k2", F.split("body", "\n").alias("lines"), "rest", F.explode("wanted").alias("c"))
+    told = told.select("id", "k1", "k2", F.xxhash64(F.to_json("rest")).alias("tag"), "c.start", "c.n", "c.hash", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("bytes"))
+    here = F.struct("id", "tag", "k1", "k2", "start")
+    first = told.groupBy("hash", "bytes").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    return told.join(first.select("hash", "bytes", "first"), ["hash", "bytes"]).filter(here != F.col("first")).select("k1", "k2", "start", "n")
 
 
 def drop_repeated_lines(articles: DataFrame, article_id: str = "article_id", body: str = "body") -> DataFrame:
@@ -65,18 +71,18 @@ def drop_repeated_lines(articles: DataFrame, article_id: str = "article_id", bod
 
     All columns return, ``body`` without the removed lines, and ``n_removed_lines`` (long) is added or
     replaced. Every article stays, even if its body becomes empty. A null body stays null; empty
-    bodies and empty tables pass. Rows equal in id and body count as one article and get the same
+    bodies and empty tables pass. Rows equal in all columns count as one article and get the same
     result; a null id is the smallest id. Only built-in expressions run. Joins are on hashes, so a
     passage that a third of all articles share is split by the engine's handling of skewed joins and
     summed before shuffles.
     """
-    key = row_key(F.col(article_id), F.col(body)).alias("key")
-    rows = articles.select(packed(articles), key, F.split(F.col(body).cast("string"), "\n").alias("lines"))
-    gone = repeated_chunks(articles, article_id, body).groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    keyed = _keyed(articles, article_id, body)
+    gone = repeated_chunks(keyed).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     places = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
-    joined = rows.join(gone, "key", "left").select("row", "lines", F.when(F.col("spans").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), places)).alias("left"))
     lines, left = F.col("lines"), F.col("left")
-    text = F.when(left.isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    joined = keyed.join(gone, ["k1", "k2"], "left").select("body", "rest", F.when(F.col("spans").isNotNull(), F.split("body", "\n")).alias("lines"), "spans")
+    joined = joined.select("body", "rest", "lines", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), places).alias("left"))
+    text = F.when(left.isNull(), F.col("body")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     removed = F.when(left.isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long")
-    columns = [c for c in articles.columns if c != "n_removed_lines"]
-    return joined.select(*unpacked(articles.columns, **{body: text}), removed.alias("__removed")).select(*[f"`{c}`" for c in columns], F.col("__removed").alias("n_removed_lines"))
+    columns = [text.alias(c) if c == body else F.col(f"rest.c{n}").alias(c) for n, c in enumerate(articles.columns) if c != "n_removed_lines"]
+    return joined.select(*columns, removed.alias("n_removed_lines"))
