@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (seed, divisor) of each chunking: a boundary stands where the rolling hash is 0 modulo the divisor.
-CHUNKINGS = ((11, 2), (12, 2), (13, 3), (14, 3), (15, 5), (16, 8))
+CHUNKINGS = ((11, 2), (12, 2), (13, 3), (14, 5))
 
 
 def _chunks(h: Column, bounds: Column) -> Column:
@@ -40,24 +40,25 @@ def _keyed(articles: DataFrame, article_id: str, body: str) -> DataFrame:
 
 
 def repeated_chunks(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, start, n) of every chunk of lines that stands earlier in the corpus as well.
+    """(k1, k2, start, n, bytes) of every chunk whose hash stands earlier in the corpus as well.
 
-    Earlier means a smaller (id, tag of the other columns, k1, k2, start); a null id is the smallest. Hashes propose, bytes
-    decide: chunks count as equal only if their lines are equal byte for byte.
+    Earlier means a smaller (id, k1, k2, start); a null id is the smallest. ``bytes`` are the lines of
+    the first chunk with that hash, for the comparison that decides. Until then only hashes move.
     """
     blank = r"^[\x20\x09-\x0D]*$"
-    hashed = keyed.filter(F.col("body").contains("\n")).select("k1", "k2", F.transform(F.split("body", "\n"), lambda x: F.when(x.rlike(blank), F.lit(0)).otherwise(F.xxhash64(x))).alias("h"))
-    bounded = hashed.select("k1", "k2", "h", *[_bounds(F.col("h"), s, d).alias(f"b{s}") for s, d in CHUNKINGS])
-    found = bounded.select("k1", "k2", F.explode(F.array_distinct(F.concat(*[_chunks(F.col("h"), F.col(f"b{s}")) for s, _ in CHUNKINGS]))).alias("c"))
-    found = found.select("k1", "k2", "c.start", "c.n", "c.hash")
-    often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("hash")
-    wanted = found.join(often, "hash").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "hash")).alias("wanted"))
+    hashed = keyed.filter(F.col("body").contains("\n")).select("id", "k1", "k2", F.transform(F.split("body", "\n"), lambda x: F.when(x.rlike(blank), F.lit(0)).otherwise(F.xxhash64(x))).alias("h"))
+    bounded = hashed.select("id", "k1", "k2", "h", *[_bounds(F.col("h"), s, d).alias(f"b{s}") for s, d in CHUNKINGS])
+    found = bounded.select("id", "k1", "k2", F.explode(F.array_distinct(F.concat(*[_chunks(F.col("h"), F.col(f"b{s}")) for s, _ in CHUNKINGS]))).alias("c"))
+    found = found.select("c.hash", F.struct("id", "k1", "k2", "c.start", "c.n").alias("here"))
+    often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("here").alias("first")).filter("times > 1").select("hash", "first")
+    later = found.join(often, "hash").filter(F.col("here") != F.col("first")).select("hash", "here")
 
-    told = keyed.join(wanted, ["k1", "k2"]).select("id", "k1", "k2", F.split("body", "\n").alias("lines"), "rest", F.explode("wanted").alias("c"))
-    told = told.select("id", "k1", "k2", F.xxhash64(F.to_json("rest")).alias("tag"), "c.start", "c.n", "c.hash", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("bytes"))
-    here = F.struct("id", "tag", "k1", "k2", "start")
-    first = told.groupBy("hash", "bytes").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    return told.join(first.select("hash", "bytes", "first"), ["hash", "bytes"]).filter(here != F.col("first")).select("k1", "k2", "start", "n")
+    firsts = often.groupBy("first.k1", "first.k2").agg(F.collect_list(F.struct("hash", "first.start", "first.n")).alias("firsts"))
+    # The condition on both sides holds for every row; it keeps all columns, so that the exchange is shared.
+    whole = F.length(F.to_json("rest")) + F.size("firsts") > 0
+    told = keyed.join(firsts, ["k1", "k2"]).filter(whole).select(F.split("body", "\n").alias("lines"), F.explode("firsts").alias("c"))
+    told = told.select("c.hash", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("bytes")).groupBy("hash").agg(F.first("bytes").alias("bytes"))
+    return later.join(told, "hash").select("here.k1", "here.k2", "here.start", "here.n", "bytes")
 
 
 def drop_repeated_lines(articles: DataFrame, article_id: str = "article_id", body: str = "body") -> DataFrame:
@@ -74,13 +75,14 @@ def drop_repeated_lines(articles: DataFrame, article_id: str = "article_id", bod
     bodies and empty tables pass. Rows equal in all columns count as one article and get the same
     result; a null id is the smallest id. Only built-in expressions run. Joins are on hashes, so a
     passage that a third of all articles share is split by the engine's handling of skewed joins and
-    summed before shuffles.
+    summed before shuffles. A chunk whose hash equals another's by chance only is never removed.
     """
     keyed = _keyed(articles, article_id, body)
-    gone = repeated_chunks(keyed).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    places = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
+    gone = repeated_chunks(keyed).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "bytes")).alias("spans"))
     lines, left = F.col("lines"), F.col("left")
     joined = keyed.join(gone, ["k1", "k2"], "left").select("body", "rest", F.when(F.col("spans").isNotNull(), F.split("body", "\n")).alias("lines"), "spans")
+    equal = F.filter("spans", lambda s: F.array_join(F.slice("lines", s["start"] + 1, s["n"]), "\n") == s["bytes"])
+    places = F.flatten(F.transform(equal, lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))
     joined = joined.select("body", "rest", "lines", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), places).alias("left"))
     text = F.when(left.isNull(), F.col("body")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     removed = F.when(left.isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)).cast("long")
