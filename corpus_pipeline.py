@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinmarket.llm import decontaminate, lines, quality
+from thinmarket.llm import decontaminate, lines, neighbours, quality
 from thinmarket.session import checkpoint_root
 
 
@@ -29,12 +29,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return as_documents(out.filter(~((F.col("n_removed_lines") > 0) & ~F.col("body").rlike(r"[^\x20\x09-\x0D]"))))
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; documents without words all stay."""
+    return as_documents(neighbours.one_of_each(as_articles(docs)))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return as_documents(decontaminate.clean_articles(as_articles(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("benchmark_decontamination", benchmark_decontamination)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard_join", ngram_jaccard_join), ("benchmark_decontamination", benchmark_decontamination)]
 ORACLE_SQL = None
 
 
