@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinmarket.llm import decontaminate, lines, neighbours, quality
+from thinmarket.llm import bpe, decontaminate, lines, neighbours, quality
 from thinmarket.session import checkpoint_root
 
 
@@ -39,7 +39,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return as_documents(decontaminate.clean_articles(as_articles(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard_join", ngram_jaccard_join), ("benchmark_decontamination", benchmark_decontamination)]
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document that is left."""
+    from thinmarket.llm.queries import tokenizer_path
+
+    return bpe.encode_articles(as_articles(docs), tokenizer_path()).withColumnRenamed("article_id", "doc_id")
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard_join", ngram_jaccard_join), ("benchmark_decontamination", benchmark_decontamination), ("bpe_encoding", bpe_encoding)]
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinmarket.llm import decontaminate, lines, neighbours, quality
+from thinmarket.llm import bpe, decontaminate, lines, neighbours, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,12 @@ def register(name: str, oracle: str | None = None):
     return wrap
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as scraped articles."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
@@ -88,3 +94,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_ngram_jaccard_join")
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(articles(spark, sf_dir)).withColumnRenamed("article_id", "doc_id")
+
+
+@register("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_articles(articles(spark, sf_dir), tokenizer_path()).withColumnRenamed("article_id", "doc_id")
