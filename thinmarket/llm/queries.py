@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinmarket.llm import bpe, decontaminate, lines, neighbours, quality
+from thinmarket.llm import bpe, decontaminate, hosts, lines, neighbours, placement, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,29 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_bpe")
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_articles(articles(spark, sf_dir), tokenizer_path()).withColumnRenamed("article_id", "doc_id")
+
+
+@register("op6_secret_scans")
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(articles(spark, sf_dir))
+    return found.select(
+        F.col("article_id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2(F.array_join("base_spans", ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join("spans", ",").alias("spans"), "n_live", "n_examples",
+    )
+
+
+PAGE_RULES = [
+    hosts.Rule("allow", "org", "/"), hosts.Rule("block", "example.org", "/es/"), hosts.Rule("block", "example.org", "/en/1"),
+    hosts.Rule("allow", "com", "/fr/"), hosts.Rule("block", "com", "/de/"),
+]
+
+
+@register("op7_url_filters")
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), PAGE_RULES)
+
+
+@register("op10_sharding")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = placement.shard_manifest(articles(spark, sf_dir), placement.even_tree(8))
+    return told.select(F.col("article_id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
