@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinmarket.llm import bpe, decontaminate, hosts, lines, neighbours, placement, quality, secrets
+from thinmarket.llm import archive, bpe, decontaminate, hosts, lines, neighbours, placement, quality, render, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,20 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = placement.shard_manifest(articles(spark, sf_dir), placement.even_tree(8))
     return told.select(F.col("article_id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
+
+
+@register("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@register("op8_warc", """
+  WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+  f AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1),
+  parts AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v // k) % 32 AS INT) + 1, 1), '' ORDER BY j, k DESC) AS d
+            FROM (SELECT h, j, CAST('0x' || substr(h, CAST(5 * j + 1 AS INT), 5) AS BIGINT) AS v FROM f, range(8) r(j)), (VALUES (32768), (1024), (32), (1)) s(k) GROUP BY 1)
+  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, d AS payload_digest,
+         CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+  FROM p JOIN f USING (h) JOIN parts USING (h)""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
