@@ -133,3 +133,12 @@ def test_picks_one_card_each_in_order(spark):
     cards = spark.createDataFrame([(1, "Ember ex", "Dawn", 100.0), (2, "Ember ex", "Dusk", 104.0), (3, "Ember", "Dawn", 98.0), (4, "Tide", "Dawn", 10.0)], "card_id long, name string, set_name string, current_price double")
     got = {r["block"]: (r["card_id"], r["price_tier"], r["signal"]) for r in P.extract_picks(spark.createDataFrame([(1, text)], "text_id long, text string"), cards).collect()}
     assert got == {1: (1, "premium", "buy"), 2: (2, "mid_high", "watch"), 3: (3, "mid", "hold")}
+
+
+def test_second_load_finds_null_keys(spark, tmp_path):
+    from thinmarket.sources import sinks
+
+    rows = spark.createDataFrame([(1, None, 2.0), (1, "Near Mint", 3.0)], "card_id long, condition string, market_price double")
+    for _ in range(3):
+        sinks.append_new(rows, f"{tmp_path}/prices", ["card_id", "condition"])
+    assert spark.read.parquet(f"{tmp_path}/prices").count() == 2

@@ -59,25 +59,16 @@ def set_relative_strength(bars: DataFrame, cards: DataFrame, as_of: Column, days
 
 
 def hot_cards(bars: DataFrame, cards: DataFrame, limit: int = 12) -> DataFrame:
-    """Most active cards: cheap pre-ranking by price range, analysis of five times the limit."""
+    """Most active cards of all that have ten bars and a price."""
     live = cards.filter("is_tracked AND current_price >= 2.0")
-    stats = own_variant(bars, live).groupBy("card_id").agg(
-        F.count("*").alias("n"), F.avg("market_price").alias("avg_price"),
-        ((F.max("market_price") - F.min("market_price")) / F.avg("market_price")).alias("range_ratio"),
-    )
-    few = (
-        stats.filter("n >= 10 AND avg_price >= 2.0").orderBy(F.desc(rnd(F.col("range_ratio"), 6)), "card_id")
-        .limit(limit * 5).select("card_id")
-    )
-    picked = F.broadcast(few)  # at most 5 x limit ids
-    full = I.analyze_cards(bars.join(picked, "card_id", "left_semi"), cards.join(picked, "card_id", "left_semi"))
-    # Ranking by window keeps the filter above the analysis: pushed below, it would repeat it.
-    everything = Window.partitionBy(F.lit(1))  # at most 5 x limit rows
+    stats = own_variant(bars, live).groupBy("card_id").agg(F.count("*").alias("n"), F.avg("market_price").alias("avg_price"))
+    fit_ids = stats.filter("n >= 10 AND avg_price >= 2.0").select("card_id")
+    full = I.analyze_cards(bars.join(fit_ids, "card_id", "left_semi"), cards.join(fit_ids, "card_id", "left_semi"))
     odd = F.coalesce(F.col("volatility") > 500, F.lit(False)) | F.coalesce(F.abs("change_7d") > 500, F.lit(False))
-    ranked = full.withColumn("fit", F.col("activity_score").isNotNull() & ~odd).withColumn(
-        "rank", F.row_number().over(everything.orderBy(F.desc("fit"), F.desc("activity_score"), "card_id"))
-    )
-    top = ranked.filter(F.col("fit") & (F.col("rank") <= limit))
+    ranked = full.withColumn("fit", F.col("activity_score").isNotNull() & ~odd)
+    # Filtered above the limit: pushed below it, the filter would repeat the analysis.
+    top = ranked.orderBy(F.desc("fit"), F.desc("activity_score"), "card_id").limit(limit).filter("fit")
+    everything = Window.partitionBy(F.lit(1))  # at most limit rows
     low, high = F.min("activity_score").over(everything), F.max("activity_score").over(everything)
     scaled = F.when(high > low, rnd((F.col("activity_score") - low) / (high - low) * 100, 1)).otherwise(F.col("activity_score"))
     return top.select(

@@ -34,8 +34,7 @@ def set_relative_strength(t):
 
 @query("hot_cards", """
   WITH c AS (SELECT p.card_id FROM price_history p JOIN cards c ON c.card_id = p.card_id AND c.price_variant = p.variant
-             WHERE is_tracked AND current_price >= 2 GROUP BY 1 HAVING count(*) >= 10 AND avg(market_price) >= 2
-             ORDER BY R6((max(market_price) - min(market_price)) / avg(market_price)) DESC, p.card_id LIMIT 60),
+             WHERE is_tracked AND current_price >= 2 GROUP BY 1 HAVING count(*) >= 10 AND avg(market_price) >= 2),
   h AS (SELECT i.* FROM ind_chosen i JOIN c USING (card_id) WHERE act IS NOT NULL AND NOT coalesce(vol > 500, FALSE) AND NOT coalesce(abs(c7) > 500, FALSE)
         ORDER BY act DESC, card_id LIMIT 12),
   m AS (SELECT min(act) AS lo, max(act) AS hi FROM h)

@@ -470,10 +470,10 @@ def is_finance_url(url: Column) -> Column:
     return low.contains("pok") & low.rlike("|".join(ARTICLE_WORDS)) & ~low.contains("japanese-pok")
 
 
-def extract_articles(pages: DataFrame, finance_only: bool = True, limit: int | None = None, max_chars: int = 3000) -> DataFrame:
+def extract_articles(pages: DataFrame, finance_only: bool = True, limit: int | None = None, max_chars: int = 0) -> DataFrame:
     """Title, date and body of article pages; the newest ``limit`` of them if one is given.
 
-    The body is a summary cut at ``max_chars`` by definition of the report; pass 0 for all of it.
+    The body is whole; a report that shows a summary passes ``max_chars``.
     """
     rows = pages.filter(is_finance_url(F.col("url"))) if finance_only else pages
     body = F.regexp_extract("html", r"(?is)<article\b[^>]*>(.*?)</article>", 1)

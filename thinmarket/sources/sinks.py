@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -17,12 +20,14 @@ def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
-    """Insert-if-absent: rows whose keys the table lacks, each key once.
+    """Insert-if-absent: rows whose keys the table lacks, each key once; a null key equals a null key.
 
     The write replaces nothing, so a lost executor only repeats its own tasks.
     """
     have = read_or_empty(df.sparkSession, path, df)
-    fresh = df.dropDuplicates(keys).join(have.select(*keys), keys, "left_anti")
+    seen = have.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [df[k].eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)])
+    fresh = df.join(seen, same, "left_anti").dropDuplicates(keys)
     writer = fresh.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
