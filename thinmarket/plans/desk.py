@@ -191,7 +191,7 @@ def position_size(t):
     return panel(t).withColumn("sc", D.composite_buy_score(F.lit(0.9))).select("card_id", size.alias("copies"))
 
 
-START, STEP = "1999-01-04", 28
+START, STEP = "1995-01-02", 28
 view("pit_base", f"""
   WITH w AS (SELECT s.card_id, s.i, s.date, s.price AS current_price, s.mid, t.rsi, t.adx, t.e12, avg(s.price) OVER (q ROWS 59 PRECEDING) AS mean_60, stddev_pop(s.price) OVER (q ROWS 59 PRECEDING) AS std_60,
       CASE WHEN s.i >= 7 THEN avg(s.price) OVER (q ROWS 6 PRECEDING) END AS sma_7, CASE WHEN s.i >= 30 THEN avg(s.price) OVER (q ROWS 29 PRECEDING) END AS sma_30, CASE WHEN s.i >= 200 THEN avg(s.price) OVER (q ROWS 199 PRECEDING) END AS m200,
