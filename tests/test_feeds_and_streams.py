@@ -57,3 +57,47 @@ def test_gate_state_survives_micro_batches(spark, tmp_path):
     stream = Z.read_folder(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
     got = {r["event_id"]: r["accepted"] for r in Z.run_available(Z.price_gate_stream(stream)).collect()}
     assert got == {0: True, 1: False, 2: True}
+
+
+def insight_files(spark, folder, layout):
+    days = [(1, 1, 0), (2, 1, 20), (3, 2, 0), (4, 2, 1), (5, 5, 0)]  # id, day, hour; 24 h after the first is still its day
+    for ids in layout:
+        rows = [(i, 7, "spike", dt.datetime(2024, 1, d, h)) for i, d, h in days if i in ids]
+        spark.createDataFrame(rows, "insight_id long, card_id long, type string, created_at timestamp").coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).schema
+
+
+def test_insights_open_alike_from_one_file_or_many(spark, tmp_path):
+    for n, layout in enumerate([[{1, 2, 3, 4, 5}], [{1}, {2}, {3}, {4}, {5}], [{1, 2}, {3, 4, 5}]]):
+        folder = str(tmp_path / f"in{n}")
+        schema = insight_files(spark, folder, layout)
+        out = Z.run_available(Z.insight_dedup_stream(Z.read_folder(spark, folder, schema, files_per_trigger=1)))
+        assert sorted((r["insight_id"], r["open_id"], r["action"]) for r in out.collect()) == [(1, 1, "insert"), (2, 1, "update"), (3, 1, "update"), (4, 4, "insert"), (5, 5, "insert")]
+
+
+def test_stream_goes_on_after_a_stop(spark, tmp_path):
+    folder, path = str(tmp_path / "in"), str(tmp_path / "job")
+    schema = insight_files(spark, folder, [{1}])
+    run = lambda: Z.run_available(Z.insight_dedup_stream(Z.read_folder(spark, folder, schema)), path=path).collect()
+    assert [r["action"] for r in run()] == ["insert"]
+    insight_files(spark, folder, [{2}])
+    assert sorted((r["insight_id"], r["open_id"], r["action"]) for r in run()) == [(1, 1, "insert"), (2, 1, "update")]
+    assert len(run()) == 2
+
+
+def test_stream_without_files_is_empty(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    schema = "event_id long, card_id long, ts timestamp, price double"
+    stream = Z.read_folder(spark, str(tmp_path / "none"), spark.createDataFrame([], schema).schema)
+    assert Z.run_available(Z.price_gate_stream(stream)).collect() == []
+
+
+def test_alerts_fire_once_by_the_first_rule(spark, tmp_path):
+    at = lambda d: dt.datetime(2024, 1, d)
+    prices = spark.createDataFrame([(1, 1, at(1), 50.0), (1, 2, at(2), 104.0), (1, 3, at(3), 0.0), (1, 4, at(4), 200.0)], "card_id long, event_id long, ts timestamp, price double")
+    prices.coalesce(1).write.parquet(str(tmp_path / "in"))
+    rules = "alert_id long, card_id long, threshold_above double, threshold_below double, spread_threshold double, is_active boolean, last_triggered_at timestamp"
+    alerts = spark.createDataFrame([(1, 1, 150.0, None, None, True, None), (2, 1, 0.0, None, 5.0, True, None), (3, 1, None, 60.0, None, True, at(1)), (4, 1, 1.0, None, None, False, None)], rules)
+    medians = spark.createDataFrame([(1, 100.0)], "card_id long, median_sold double")
+    got = Z.run_available(Z.alerts_stream(Z.read_folder(spark, str(tmp_path / "in"), prices.schema), alerts, medians)).collect()
+    assert sorted((r["alert_id"], r["event_id"], r["fired"]) for r in got) == [(1, 4, "above"), (2, 2, "spread_below")]

@@ -54,6 +54,11 @@ class Tables:
         """Newest sale date as a scalar subquery: evaluated once, reused, never collected."""
         return self.sales.agg(F.max(F.to_date("order_date"))).scalar()
 
+    @cached_property
+    def n_cards(self) -> Column:
+        """Number of cards as a scalar subquery; keys of other tables are folded onto all cards by it."""
+        return self.read("supplier").agg(F.count("*")).scalar()
+
     @cached_property
     def catalogue(self) -> DataFrame:
         key = F.col("s_suppkey")
@@ -112,7 +117,7 @@ class Tables:
         raw = self.read("orders").select(
             F.col("o_orderkey").alias("trade_id"),
             F.col("o_custkey").alias("portfolio_id"),
-            ((F.col("o_custkey") + F.col("o_orderkey") % 2) % 100).alias("card_id"),
+            ((F.col("o_custkey") + F.col("o_orderkey") % 2) % self.n_cards).alias("card_id"),
             F.when(status == "F", "sell").otherwise("buy").alias("side"),
             (F.col("o_orderkey") % 5 + 1).cast("int").alias("quantity"),
             (F.col("o_totalprice") / 1000.0).alias("price"),
@@ -148,7 +153,7 @@ class Tables:
         bal, key = F.col("c_acctbal"), F.col("c_custkey")
         return self.read("customer").select(
             key.alias("alert_id"),
-            (key % 100).alias("card_id"),
+            (key % self.n_cards).alias("card_id"),
             F.col("c_name").alias("email"),
             F.when(key % 3 == 0, bal / 10.0).alias("threshold_above"),
             F.when(key % 3 == 1, bal / 20.0).alias("threshold_below"),
@@ -166,7 +171,7 @@ class Tables:
         signal = F.when(prio == "1", "buy").when(prio == "2", "accumulate").when(prio == "3", "hold").when(prio == "4", "watch").otherwise("avoid")
         made = self.read("orders").select(
             F.col("o_orderkey").alias("prediction_id"),
-            (F.col("o_custkey") % 100).alias("card_id"),
+            (F.col("o_custkey") % self.n_cards).alias("card_id"),
             signal.alias("signal"),
             F.when(F.col("o_custkey") % 3 == 0, "analyst").when(F.col("o_custkey") % 3 == 1, "trader").otherwise("scanner").alias("source"),
             F.col("o_orderdate").cast("date").alias("predicted_at"),
@@ -229,17 +234,17 @@ view("trades", """
          CASE WHEN side = 'sell' THEN R2(abs(held - before) * (price - 250)) END AS realized_pnl FROM (
     SELECT *, coalesce(lag(held) OVER (PARTITION BY portfolio_id, card_id ORDER BY executed_at, trade_id), 0) AS before FROM (
       SELECT *, s - least(0, min(s) OVER (PARTITION BY portfolio_id, card_id ORDER BY executed_at, trade_id)) AS held FROM (
-        SELECT o_orderkey AS trade_id, o_custkey AS portfolio_id, (o_custkey + o_orderkey % 2) % 100 AS card_id,
+        SELECT o_orderkey AS trade_id, o_custkey AS portfolio_id, card_id,
           CASE o_orderstatus WHEN 'F' THEN 'sell' ELSE 'buy' END AS side, o_totalprice / 1000.0 AS price, o_orderpriority AS signal,
           CASE o_orderkey % 4 WHEN 0 THEN 'velocity_spike' WHEN 1 THEN 'accumulation_phase' WHEN 2 THEN 'mean_reversion_v2' ELSE 'vintage_value_buy' END AS strategy,
           o_orderdate AS executed_at,
-          sum(CASE o_orderstatus WHEN 'F' THEN -1 ELSE 1 END * (o_orderkey % 5 + 1)) OVER (PARTITION BY o_custkey, (o_custkey + o_orderkey % 2) % 100 ORDER BY o_orderdate, o_orderkey) AS s
-        FROM orders))) WHERE held <> before""")
+          sum(CASE o_orderstatus WHEN 'F' THEN -1 ELSE 1 END * (o_orderkey % 5 + 1)) OVER (PARTITION BY o_custkey, card_id ORDER BY o_orderdate, o_orderkey) AS s
+        FROM (SELECT *, (o_custkey + o_orderkey % 2) % (SELECT count(*) FROM supplier) AS card_id FROM orders)))) WHERE held <> before""")
 view("insights", """
   SELECT event_id AS insight_id, event_type AS type, CASE WHEN value > 100 THEN 'urgent' WHEN value > 50 THEN 'notable' ELSE 'info' END AS severity,
          user_id AS card_id, ts AS created_at, event_id % 2 = 0 AS acknowledged, props AS metadata_json, value FROM events""")
 view("alerts", """
-  SELECT c_custkey AS alert_id, c_custkey % 100 AS card_id, c_name AS email,
+  SELECT c_custkey AS alert_id, c_custkey % (SELECT count(*) FROM supplier) AS card_id, c_name AS email,
          CASE WHEN c_custkey % 3 = 0 THEN c_acctbal / 10.0 END AS threshold_above,
          CASE WHEN c_custkey % 3 = 1 THEN c_acctbal / 20.0 END AS threshold_below,
          CASE WHEN c_custkey % 3 = 2 THEN c_acctbal / 100.0 END AS spread_threshold,
@@ -250,7 +255,7 @@ view("alerts", """
 view("predictions", """
   SELECT *, CASE WHEN signal IN ('buy', 'accumulate') THEN entry_price * 1.25e0 END AS target_price,
     CASE WHEN signal IN ('buy', 'accumulate') THEN entry_price * 0.88e0 END AS stop_loss FROM (SELECT q.*, (SELECT arg_max(s.price, s.date) FROM series s WHERE s.card_id = q.card_id AND s.date <= q.predicted_at) AS entry_price
-  FROM (SELECT o_orderkey AS prediction_id, o_custkey % 100 AS card_id,
+  FROM (SELECT o_orderkey AS prediction_id, o_custkey % (SELECT count(*) FROM supplier) AS card_id,
                CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'buy' WHEN '2' THEN 'accumulate' WHEN '3' THEN 'hold' WHEN '4' THEN 'watch' ELSE 'avoid' END AS signal,
                CASE o_custkey % 3 WHEN 0 THEN 'analyst' WHEN 1 THEN 'trader' ELSE 'scanner' END AS source,
                CAST(o_orderdate AS DATE) AS predicted_at

@@ -171,13 +171,13 @@ def exit_signals(t):
 
 
 @query("buy_candidates", """
-  WITH u AS (SELECT DISTINCT alert_id AS portfolio_id, card_id FROM alerts UNION SELECT alert_id, (card_id + 50) % 100 FROM alerts), s AS (SELECT * FROM trades, as_of WHERE side = 'sell'),
+  WITH u AS (SELECT DISTINCT alert_id AS portfolio_id, card_id FROM alerts UNION SELECT alert_id, (card_id + 50) % (SELECT count(*) FROM supplier) FROM alerts), s AS (SELECT * FROM trades, as_of WHERE side = 'sell'),
   b AS (SELECT portfolio_id, card_id FROM open_pos UNION SELECT portfolio_id, card_id FROM s WHERE realized_pnl < 0 AND CAST(executed_at AS DATE) >= d - 60 UNION SELECT portfolio_id, card_id FROM s WHERE CAST(executed_at AS DATE) >= d - 14
         UNION SELECT portfolio_id, card_id FROM s WHERE realized_pnl < 0 GROUP BY 1, 2 HAVING count(*) >= 2)
   SELECT u.portfolio_id, u.card_id, strategy, composite_score FROM u ANTI JOIN b ON b.portfolio_id = u.portfolio_id AND b.card_id = u.card_id JOIN desk_scan USING (card_id) WHERE composite_score >= 40""")
 def buy_candidates(t):
     watched = t.alerts.select(F.col("alert_id").alias("portfolio_id"), "card_id")
-    universe = watched.unionByName(watched.withColumn("card_id", (F.col("card_id") + 50) % 100))
+    universe = watched.unionByName(watched.withColumn("card_id", (F.col("card_id") + 50) % t.n_cards)).distinct()
     out = D.buy_candidates(D.scan_signals(panel(t)), universe, positions(t), t.trades, t.as_of, min_score=40.0)
     return out.select("portfolio_id", "card_id", "strategy", "composite_score")
 

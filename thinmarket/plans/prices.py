@@ -140,10 +140,10 @@ def forward_fill_calendar(t):
 
 @query("asof_price", """
   SELECT o_orderkey AS key_id, R6((SELECT arg_max(s.price, s.date) FROM series s
-         WHERE s.card_id = o_custkey % 100 AND s.date <= CAST(o_orderdate AS DATE))) AS asof_price FROM orders""")
+         WHERE s.card_id = card_id_of AND s.date <= CAST(o_orderdate AS DATE))) AS asof_price FROM (SELECT *, o_custkey % (SELECT count(*) FROM supplier) AS card_id_of FROM orders)""")
 def asof_price(t):
     keys = t.read("orders").select(
-        F.col("o_orderkey").alias("key_id"), (F.col("o_custkey") % 100).alias("card_id"), F.to_date("o_orderdate").alias("day")
+        F.col("o_orderkey").alias("key_id"), (F.col("o_custkey") % t.n_cards).alias("card_id"), F.to_date("o_orderdate").alias("day")
     )
     out = S.asof_price(keys, t.series, ["card_id"], "day", "key_id")
     return out.select("key_id", rnd(F.col("asof_price"), 6).alias("asof_price"))
@@ -151,10 +151,10 @@ def asof_price(t):
 
 @query("nearest_price", """
   SELECT o_orderkey AS key_id, R6((SELECT arg_min(s.price, (abs(s.date - CAST(o_orderdate AS DATE)), s.date)) FROM series s
-         WHERE s.card_id = o_custkey % 100 AND abs(s.date - CAST(o_orderdate AS DATE)) <= 3)) AS near_price FROM orders""")
+         WHERE s.card_id = card_id_of AND abs(s.date - CAST(o_orderdate AS DATE)) <= 3)) AS near_price FROM (SELECT *, o_custkey % (SELECT count(*) FROM supplier) AS card_id_of FROM orders)""")
 def nearest_price(t):
     keys = t.read("orders").select(
-        F.col("o_orderkey").alias("key_id"), (F.col("o_custkey") % 100).alias("card_id"), F.to_date("o_orderdate").alias("day")
+        F.col("o_orderkey").alias("key_id"), (F.col("o_custkey") % t.n_cards).alias("card_id"), F.to_date("o_orderdate").alias("day")
     )
     out = S.nearest_price(keys, t.series, ["card_id"], "day", 3, "key_id")
     return out.select("key_id", rnd(F.col("near_price"), 6).alias("near_price"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thinmarket.functions.numeric import rnd
+from thinmarket.operators.sales import spread_vs_median
 from thinmarket.plans.indicators import r4
 from thinmarket.plans.ingest import entries, mapped_cards, raw_sales
 from thinmarket.plans.registry import query, view
@@ -67,11 +68,15 @@ def stream_price_gate(t):
 
 
 @query("stream_alerts", """
-  SELECT alert_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(price, (ts, event_id)) AS price, arg_min(CASE WHEN price >= threshold_above THEN 'above' ELSE 'below' END, (ts, event_id)) AS fired
-  FROM ev JOIN alerts USING (card_id) WHERE is_active AND (last_triggered_at IS NULL OR ts >= last_triggered_at + INTERVAL 24 HOUR) AND (price >= threshold_above OR price <= threshold_below) GROUP BY 1""")
+  WITH m AS (SELECT card_id, quantile_cont(purchase_price, 0.5) AS med FROM sday WHERE od >= d - 90 GROUP BY 1),
+  f AS (SELECT alert_id, event_id, ts, price, CASE WHEN threshold_above <> 0 AND price >= threshold_above THEN 'above' WHEN threshold_below <> 0 AND price <= threshold_below THEN 'below'
+               WHEN abs(price - med) / med * 100 <= spread_threshold THEN 'spread_below' END AS fired
+        FROM ev JOIN alerts USING (card_id) LEFT JOIN m USING (card_id) WHERE price > 0 AND is_active AND (last_triggered_at IS NULL OR ts >= last_triggered_at + INTERVAL 24 HOUR))
+  SELECT alert_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(price, (ts, event_id)) AS price, arg_min(fired, (ts, event_id)) AS fired FROM f WHERE fired IS NOT NULL GROUP BY 1""")
 def stream_alerts(t):
     prices = events(t).select("card_id", "event_id", "ts", "price")
-    return Z.run_available(Z.alerts_stream(prices, t.alerts))
+    medians = spread_vs_median(t.cards, t.sales, t.as_of).select("card_id", "median_sold")
+    return Z.run_available(Z.alerts_stream(prices, t.alerts, medians))
 
 
 @query("stream_viable_flag", "SELECT card_id, max(price) >= 120 AS is_viable FROM ev GROUP BY 1")
@@ -80,10 +85,16 @@ def stream_viable_flag(t):
     return out.groupBy("card_id").agg(F.max("is_viable").alias("is_viable"))
 
 
-@query("stream_insight_dedup", "SELECT DISTINCT card_id, type FROM ev")
+@query("stream_insight_dedup", """
+  SELECT insight_id, card_id, type, open_id, CASE WHEN insight_id = open_id THEN 'insert' ELSE 'update' END AS action FROM (
+    WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY card_id, type ORDER BY ts, event_id) AS k FROM ev),
+    w AS (SELECT event_id AS insight_id, card_id, type, k, event_id AS open_id, ts AS opened FROM o WHERE k = 1
+      UNION ALL SELECT o.event_id, o.card_id, o.type, o.k, CASE WHEN o.ts > w.opened + INTERVAL 24 HOUR THEN o.event_id ELSE w.open_id END, CASE WHEN o.ts > w.opened + INTERVAL 24 HOUR THEN o.ts ELSE w.opened END
+      FROM w JOIN o ON o.card_id = w.card_id AND o.type = w.type AND o.k = w.k + 1)
+    SELECT * FROM w)""")
 def stream_insight_dedup(t):
-    insights = events(t).select("card_id", "type", F.col("ts").alias("created_at"))
-    return Z.run_available(Z.insight_dedup_stream(insights)).select("card_id", "type")
+    insights = events(t).select(F.col("event_id").alias("insight_id"), "card_id", "type", F.col("ts").alias("created_at"))
+    return Z.run_available(Z.insight_dedup_stream(insights))
 
 
 @query("refresh_cycle")

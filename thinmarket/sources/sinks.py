@@ -13,9 +13,12 @@ from thinmarket.functions.numeric import rnd
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table at ``path``, or an empty one like ``like`` if there is nothing at that path."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return like.limit(0)
 
 

@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from thinmarket.session import checkpoint_root
+from thinmarket.sources.sinks import read_or_empty
+
+DAY = pd.Timedelta(hours=24)
 
 
 def read_folder(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -25,14 +28,16 @@ def read_folder(spark: SparkSession, path: str, schema: T.StructType, glob: str
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None, path: str | None = None) -> DataFrame:
     """Drains a stream into a Parquet folder and returns that table.
 
-    Every micro-batch overwrites its own subfolder, so a batch repeated after a failure leaves
-    the table as it was.
+    ``path`` holds the checkpoint and the output: a later call with the same path goes on where the
+    last one stopped, with its state, and reads new files only. Without it a new folder is made below
+    the cluster's shared one. Every micro-batch overwrites its own subfolder, so a batch repeated
+    after a failure leaves the table as it was; a stream without any file gives an empty table.
     """
     spark = stream.sparkSession
-    base = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    base = path or f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -44,7 +49,7 @@ def run_available(stream: DataFrame, mode: str = "append", transform: Callable[[
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+    return read_or_empty(spark, out, spark.createDataFrame([], stream.schema)).select(*stream.columns)
 
 
 def dedup_sales_stream(sales: DataFrame, key: str = "listing_id", time: str = "order_date", delay: str = "7 days") -> DataFrame:
@@ -127,14 +132,21 @@ def _first_fire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         yield pd.DataFrame({"alert_id": [key[0]], "event_id": [best["event_id"]], "price": [best["price"]], "fired": [best["fired"]]})
 
 
-def alerts_stream(prices: DataFrame, alerts: DataFrame) -> DataFrame:
+def alerts_stream(prices: DataFrame, alerts: DataFrame, medians: DataFrame) -> DataFrame:
     """Rules that fire, each once, not within a day of its last firing.
 
-    Rows that fire nothing are dropped before the state, so only hits are shuffled.
+    The first that holds of: at or above, at or below (a threshold of 0 is none), distance from the
+    card's median sale of ``medians`` (card_id, median_sold) in percent. Rows that fire nothing are
+    dropped before the state, so only hits are shuffled.
     """
-    hit = F.when(F.col("price") >= F.col("threshold_above"), "above").when(F.col("price") <= F.col("threshold_below"), "below")
+    price, median = F.col("price"), F.col("median_sold")
+    above = (F.col("threshold_above") != 0) & (price >= F.col("threshold_above"))
+    below = (F.col("threshold_below") != 0) & (price <= F.col("threshold_below"))
+    close = (median > 0) & (F.abs(price - median) / median * 100 <= F.col("spread_threshold"))
+    hit = F.when(above, "above").when(below, "below").when(close, "spread_below")
     quiet = F.col("last_triggered_at").isNull() | (F.col("ts") >= F.col("last_triggered_at") + F.expr("INTERVAL 24 HOURS"))
-    hits = prices.join(alerts.filter("is_active"), "card_id").filter(quiet).withColumn("fired", hit).filter("fired IS NOT NULL")
+    rules = alerts.filter("is_active").join(medians, "card_id", "left")
+    hits = prices.filter("price > 0").join(rules, "card_id").filter(quiet).withColumn("fired", hit).filter("fired IS NOT NULL")
     return hits.select("alert_id", "event_id", "ts", "price", "fired").groupBy("alert_id").applyInPandasWithState(
         _first_fire, ALERT_OUTPUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout
     )
@@ -145,5 +157,46 @@ def viable_stream(prices: DataFrame, threshold: float = 20.0) -> DataFrame:
     return prices.groupBy("card_id").agg((F.max("price") >= threshold).alias("is_viable"))
 
 
-def insight_dedup_stream(insights: DataFrame, delay: str = "24 hours") -> DataFrame:
-    return insights.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["card_id", "type"])
+INSIGHT_OUTPUT = T.StructType(
+    [
+        T.StructField("insight_id", T.LongType()), T.StructField("card_id", T.LongType()), T.StructField("type", T.StringType()),
+        T.StructField("open_id", T.LongType()), T.StructField("action", T.StringType()),
+    ]
+)
+INSIGHT_STATE = T.StructType([T.StructField("open_id", T.LongType()), T.StructField("at", T.TimestampType())])
+
+
+def open_insights(times: pd.Series, ids: pd.Series, last: tuple | None) -> tuple[list, tuple | None]:
+    """The open insight that each of some insights in order of time belongs to, and the last one.
+
+    One opens at the first insight and at the first one more than a day after the last opening. A
+    late insight, older than the open one, belongs to it.
+    """
+    out, i = [], 0
+    while i < len(times):
+        if last is None or times.iloc[i] > last[1] + DAY:
+            last = (int(ids.iloc[i]), times.iloc[i])
+        end = int(times.searchsorted(last[1] + DAY, side="right"))
+        out += [last[0]] * (end - i)
+        i = end
+    return out, last
+
+
+def _opened(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(batches)).sort_values(["created_at", "insight_id"])  # one key's share of one micro-batch
+    last = (state.get[0], pd.Timestamp(state.get[1])) if state.exists else None
+    open_id, last = open_insights(rows["created_at"], rows["insight_id"], last)
+    state.update((last[0], last[1].to_pydatetime()))
+    rows = rows.assign(card_id=key[0], type=key[1], open_id=open_id)
+    rows["action"] = (rows["insight_id"] == rows["open_id"]).map({True: "insert", False: "update"})
+    yield rows[INSIGHT_OUTPUT.names]
+
+
+def insight_dedup_stream(insights: DataFrame) -> DataFrame:
+    """Each insight (insight_id, card_id, type, created_at) as an insert, or as an update of the open one of its card and type.
+
+    An insight stays open for a day from its creation, not from its last update. Insights are taken in
+    the order of time within a micro-batch; the state holds the open one only.
+    """
+    rows = insights.select("insight_id", "card_id", "type", "created_at")
+    return rows.groupBy("card_id", "type").applyInPandasWithState(_opened, INSIGHT_OUTPUT, INSIGHT_STATE, "append", GroupStateTimeout.NoTimeout)
