@@ -142,3 +142,22 @@ def test_second_load_finds_null_keys(spark, tmp_path):
     for _ in range(3):
         sinks.append_new(rows, f"{tmp_path}/prices", ["card_id", "condition"])
     assert spark.read.parquet(f"{tmp_path}/prices").count() == 2
+
+
+def test_second_backfill_keeps_what_is_filled_and_closed(spark):
+    from thinmarket.operators import predictions as R
+
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    made = spark.createDataFrame(
+        [(1, 1, "buy", day(0), 10.0, None, 8.0), (2, 1, "avoid", day(0), 10.0, 100.0, 1.0), (3, 1, "hold", day(40), 10.0, None, None)],
+        "prediction_id long, card_id long, signal string, predicted_at date, entry_price double, target_price double, stop_loss double",
+    )
+    cards = spark.createDataFrame([(1, 7.0)], "card_id long, current_price double")
+    early = spark.createDataFrame([(1, day(7), 11.0), (1, day(30), 12.0)], "card_id long, date date, price double")
+    later = spark.createDataFrame([(1, day(7), 99.0), (1, day(30), 5.0), (1, day(60), 13.0), (1, day(70), 10.5)], early.schema)
+    first = R.backfill_predictions(made, early, cards, F.lit(day(35)))
+    second = R.backfill_predictions(first, later, cards, F.lit(day(75)))
+    pick = lambda df: {r["prediction_id"]: (r["price_7d"], r["price_30d"], r["return_pct_30d"], r["price_60d"], r["outcome"]) for r in df.collect()}
+    assert pick(first) == {1: (11.0, 12.0, 20.0, None, "correct"), 2: (11.0, 12.0, 20.0, None, "pending"), 3: (None, None, None, None, "pending")}
+    assert pick(second) == {1: (11.0, 12.0, 20.0, None, "correct"), 2: (11.0, 12.0, 20.0, 13.0, "pending"), 3: (None, 10.5, 5.0, None, "correct")}
+    assert second.columns == first.columns

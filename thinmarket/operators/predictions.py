@@ -13,9 +13,17 @@ RETURN_HORIZONS = (7, 30, 90)
 
 
 def backfill_predictions(predictions: DataFrame, series: DataFrame, cards: DataFrame, as_of: Column) -> DataFrame:
-    """Prices at each elapsed horizon, returns, and the outcome of pending predictions."""
+    """All predictions, the pending ones with prices at elapsed horizons, returns and outcome.
+
+    Takes first and later runs alike: columns that are not there yet count as empty, a filled horizon
+    keeps its price and return, and a row with an outcome other than pending stays as it is.
+    """
+    made = {**{f"price_{h}d": "double" for h in HORIZONS}, **{f"return_pct_{h}d": "double" for h in RETURN_HORIZONS}, "outcome": "string"}
+    old = predictions.withColumns({c: F.lit(None).cast(kind) for c, kind in made.items() if c not in predictions.columns})
+    is_open = F.coalesce("outcome", F.lit("pending")) == "pending"
+    empty = F.array(*[F.when(F.col(f"price_{h}d").isNull(), h) for h in HORIZONS])
     asked = (
-        predictions.select("prediction_id", "card_id", "predicted_at", F.explode(F.array(*map(F.lit, HORIZONS))).alias("days"))
+        old.filter(is_open).select("prediction_id", "card_id", "predicted_at", F.explode(F.array_compact(empty)).alias("days"))
         .withColumn("day", F.expr("date_add(predicted_at, days)"))
         .filter(F.col("day") <= as_of)
     )
@@ -23,27 +31,22 @@ def backfill_predictions(predictions: DataFrame, series: DataFrame, cards: DataF
     wide = near.groupBy("prediction_id").agg(
         *[F.max(F.when(F.col("days") == h, F.col("near_price"))).alias(f"raw_{h}") for h in HORIZONS]
     )
-    rows = predictions.join(wide, "prediction_id", "left").join(cards.select("card_id", "current_price"), "card_id", "left")
-    prices = [rnd(F.col(f"raw_{h}")).alias(f"price_{h}d") for h in HORIZONS]
-    returns = [rnd(pct_change(F.col(f"raw_{h}"), F.col("entry_price"))).alias(f"return_pct_{h}d") for h in RETURN_HORIZONS]
+    rows = old.join(wide, "prediction_id", "left").join(cards.select("card_id", F.col("current_price").alias("price_now")), "card_id", "left")
+    filled = {f"price_{h}d": F.coalesce(f"price_{h}d", rnd(F.col(f"raw_{h}"))) for h in HORIZONS}
+    filled |= {f"return_pct_{h}d": F.coalesce(f"return_pct_{h}d", rnd(pct_change(F.col(f"raw_{h}"), F.col("entry_price")))) for h in RETURN_HORIZONS}
     ret30 = F.col("return_pct_30d")
     rising = F.col("signal").isin("buy", "accumulate")
     at_30 = (
         F.when(rising, F.when(ret30 > 0, "correct").otherwise("incorrect"))
         .when(F.col("signal") == "hold", F.when(F.abs(ret30) < 10, "correct").otherwise("incorrect"))
-        .when(F.col("signal") == "watch", "expired").otherwise("pending")
+        .when(F.col("signal") == "watch", "expired")
     )
-    resolved = F.when(F.col("price_30d").isNotNull(), at_30).otherwise("pending")
     hit = (
-        F.when(F.col("current_price") <= F.col("stop_loss"), "incorrect")
-        .when(F.col("current_price") >= F.col("target_price"), "correct").otherwise("pending")
-    )
-    return (
-        rows.select(*predictions.columns, "current_price", *prices, *returns)
-        .withColumn("outcome", resolved)
-        .withColumn("outcome", F.when(F.col("outcome") == "pending", hit).otherwise(F.col("outcome")))
-        .drop("current_price")
+        F.when(F.col("price_now") <= F.col("stop_loss"), "incorrect")
+        .when(F.col("price_now") >= F.col("target_price"), "correct").otherwise("pending")
     )
+    outcome = F.when(~is_open, F.col("outcome")).otherwise(F.coalesce(F.when(F.col("price_30d").isNotNull(), at_30), hit))
+    return rows.withColumns(filled).withColumn("outcome", outcome).select(*predictions.columns, *[c for c in made if c not in predictions.columns])
 
 
 def accuracy_report(done: DataFrame) -> DataFrame:

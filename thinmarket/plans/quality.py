@@ -105,10 +105,16 @@ def resolved(t):
     return R.backfill_predictions(t.predictions, t.series, t.cards, t.as_of)
 
 
-@query("backfill_predictions", """SELECT prediction_id, card_id, signal, p7 AS price_7d, p14 AS price_14d, p30 AS price_30d, p60 AS price_60d, p90 AS price_90d, r7 AS return_pct_7d, r30 AS return_pct_30d,
-  r90 AS return_pct_90d, outcome FROM resolved""")
+_FILLED = {"p7": "price_7d", "p14": "price_14d", "p30": "price_30d", "p60": "price_60d", "p90": "price_90d", "r7": "return_pct_7d", "r30": "return_pct_30d", "r90": "return_pct_90d"}
+
+
+@query("backfill_predictions", f"""SELECT prediction_id, card_id, signal, {", ".join(f"CASE WHEN prediction_id % 7 <> 0 THEN {k} END AS {v}" for k, v in _FILLED.items())},
+  CASE WHEN prediction_id % 7 = 0 THEN 'expired' ELSE outcome END AS outcome FROM resolved""")
 def backfill_predictions(t):
-    return resolved(t).drop("source", "predicted_at", "entry_price", "target_price", "stop_loss")
+    """Every seventh prediction is closed already."""
+    some = t.predictions.withColumn("outcome", F.when(F.col("prediction_id") % 7 == 0, "expired"))
+    out = R.backfill_predictions(some, t.series, t.cards, t.as_of)
+    return out.drop("source", "predicted_at", "entry_price", "target_price", "stop_loss")
 
 
 @query("accuracy_report", """SELECT source, signal, count(*) AS resolved, count(*) FILTER (WHERE outcome = 'correct') AS correct, R1(count(*) FILTER (WHERE outcome = 'correct') * 100 / count(*)) AS hit_rate,
@@ -130,7 +136,7 @@ def recent_picks(t):
 
 @query("auto_predictions", """
   WITH c AS (SELECT p.card_id FROM price_history p JOIN cards c ON c.card_id = p.card_id AND c.price_variant = p.variant WHERE is_tracked AND current_price >= 2
-             GROUP BY 1 HAVING count(*) >= 10 AND avg(market_price) >= 2 ORDER BY R6((max(market_price) - min(market_price)) / avg(market_price)) DESC, p.card_id LIMIT 100),
+             GROUP BY 1 HAVING count(*) >= 10 AND avg(market_price) >= 2),
   h AS (SELECT i.* FROM ind_chosen i JOIN c USING (card_id) WHERE act IS NOT NULL AND NOT coalesce(vol > 500, FALSE) AND NOT coalesce(abs(c7) > 500, FALSE) ORDER BY act DESC, card_id LIMIT 20)
   SELECT card_id, signal_name AS signal, 'signal_engine' AS source, current_price AS entry_price, d::VARCHAR AS predicted_at FROM h JOIN cards USING (card_id), as_of
   WHERE signal_name <> 'hold' AND card_id NOT IN (SELECT card_id FROM resolved WHERE outcome = 'pending')""")
