@@ -161,3 +161,11 @@ def test_second_backfill_keeps_what_is_filled_and_closed(spark):
     assert pick(first) == {1: (11.0, 12.0, 20.0, None, "correct"), 2: (11.0, 12.0, 20.0, None, "pending"), 3: (None, None, None, None, "pending")}
     assert pick(second) == {1: (11.0, 12.0, 20.0, None, "correct"), 2: (11.0, 12.0, 20.0, 13.0, "pending"), 3: (None, 10.5, 5.0, None, "correct")}
     assert second.columns == first.columns
+
+
+def test_date_bound_reaches_the_scan(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, d, h), 5.0) for d in (1, 2, 3) for h in (0, 23)]
+    spark.createDataFrame(rows, "card_id long, order_date timestamp, purchase_price double").write.parquet(str(tmp_path / "s"))
+    recent = spark.read.parquet(str(tmp_path / "s")).filter(A.since(F.lit(dt.date(2024, 1, 4)), 2))
+    assert {r["order_date"].day for r in recent.collect()} == {2, 3} and recent.count() == 4
+    assert "GreaterThanOrEqual(order_date" in recent._jdf.queryExecution().executedPlan().toString()

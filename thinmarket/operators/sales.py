@@ -47,7 +47,8 @@ def grouped_medians(
 
 
 def since(as_of: Column, days: int, col: str = "order_date") -> Column:
-    return F.to_date(col) >= F.date_sub(as_of, days)
+    """Whether a time lies within so many days before ``as_of``; the bare column is compared, so that the scan can skip the rest."""
+    return F.col(col) >= F.date_sub(as_of, days).cast("timestamp")
 
 
 def sales_window_stats(sales: DataFrame, as_of: Column) -> DataFrame:
