@@ -55,3 +55,27 @@ def test_edges(spark):
     assert by[4] == ("one\n\n\n\none", 0) and by[5] == by[6] == ("\n\n\n\n", 0) and by[7][1] >= 0 and len(got) == len(rows)
     assert dedup(spark, rows).columns == ["article_id", "body", "key", "start", "n_removed_lines"]
     assert dedup(spark, []).count() == 0
+
+
+def removed_of_planted(spark, copies: int) -> dict[int, tuple[int, int]]:
+    """By length of the passage: (lines removed, lines of the later copies), 40 passages each amid foreign lines."""
+    rows, size, i = [], {}, 0
+    for n in range(1, 11):
+        for p in range(40):
+            passage = [f"line {k} of passage {p} with {n}" for k in range(n)]
+            for _ in range(copies):
+                around = [f"own {i} {k}" for k in range(2 + i % 3)]
+                rows.append((i, "\n".join(around[:1] + passage + around[1:])))
+                size[i], i = n, i + 1
+    out = {n: [0, 40 * n * (copies - 1)] for n in range(1, 11)}
+    for r in dedup(spark, rows).collect():
+        out[size[r.article_id]][0] += r.n_removed_lines
+    return {n: tuple(x) for n, x in out.items()}
+
+
+def test_planted_passages_go_whole(spark):
+    for copies in (2, 12):
+        got = removed_of_planted(spark, copies)
+        print(copies, got)
+        assert got.pop(1)[0] == 0  # single lines stay
+        assert all(gone == lines for gone, lines in got.values())

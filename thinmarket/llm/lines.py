@@ -1,30 +1,34 @@
-"""Removal of line passages that the corpus repeats, by content-defined chunks of lines."""
+"""Removal of line passages that the corpus repeats, by hashes that roll over the lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (seed, divisor) of each chunking: a boundary stands where the rolling hash is 0 modulo the divisor.
-CHUNKINGS = ((11, 2), (12, 2), (13, 3), (14, 5))
+#: (place, step): each cuts the lines with words two by two, from the first or the second on; together they hold every two neighbours.
+CHUNKINGS = ((0, 2), (1, 2))
 
 
-def _chunks(h: Column, bounds: Column) -> Column:
+def _chunks(h: Column, whole: Column, bounds: Column) -> Column:
     """(start, n, hash) of the chunks with two or more lines that have words."""
 
     def chunk(start, i):
         n = F.coalesce(F.get(bounds, i + 1), F.size(h)) - start
-        part = F.slice(h, start + 1, n)
-        return F.struct(start.alias("start"), n.alias("n"), F.xxhash64(part).alias("hash"), F.size(F.filter(part, lambda x: x != 0)).alias("full"))
+        return F.struct(start.alias("start"), n.alias("n"), F.xxhash64(F.slice(whole, start + 1, n)).alias("hash"), F.size(F.filter(F.slice(h, start + 1, n), lambda x: x != 0)).alias("full"))
 
     return F.filter(F.transform(bounds, chunk), lambda c: c["full"] >= 2)
 
 
-def _bounds(h: Column, seed: int, divisor: int) -> Column:
-    """Places where the rolling hash over the line and the one before says so; 0 always."""
-    places = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
-    rolled = lambda i: F.xxhash64(F.get(h, i - 1), F.get(h, i), F.lit(seed))
-    return F.filter(places, lambda i: (i == 0) | (F.pmod(rolled(i), F.lit(divisor)) == 0))
+def _bounds(h: Column, place: int, step: int) -> Column:
+    """Where chunks of ``step`` lines with words begin, counted from number ``place`` of these, and where they have ended; 0 always.
+
+    Lines without words (0) belong to a chunk only inside it, so no chunk depends on what stands around it.
+    """
+    places = F.filter(F.transform(h, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    turn = lambda i: F.pmod(i - place, F.lit(step))
+    both = F.flatten(F.transform(places, lambda at, i: F.array(F.when(turn(i) == 0, at), F.when(turn(i) == step - 1, at + 1))))
+    bounds = F.array_distinct(F.concat(F.array(F.lit(0)), F.filter(both, lambda i: i < F.size(h))))
+    return F.when(F.size(h) > 0, bounds).otherwise(F.array().cast("array<int>"))
 
 
 def _keyed(articles: DataFrame, article_id: str, body: str) -> DataFrame:
@@ -46,9 +50,10 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     the first chunk with that hash, for the comparison that decides. Until then only hashes move.
     """
     blank = r"^[\x20\x09-\x0D]*$"
-    hashed = keyed.filter(F.col("body").contains("\n")).select("id", "k1", "k2", F.transform(F.split("body", "\n"), lambda x: F.when(x.rlike(blank), F.lit(0)).otherwise(F.xxhash64(x))).alias("h"))
-    bounded = hashed.select("id", "k1", "k2", "h", *[_bounds(F.col("h"), s, d).alias(f"b{s}") for s, d in CHUNKINGS])
-    found = bounded.select("id", "k1", "k2", F.explode(F.array_distinct(F.concat(*[_chunks(F.col("h"), F.col(f"b{s}")) for s, _ in CHUNKINGS]))).alias("c"))
+    split = F.split("body", "\n")
+    hashed = keyed.filter(F.col("body").contains("\n")).select("id", "k1", "k2", F.transform(split, lambda x: F.when(x.rlike(blank), F.lit(0)).otherwise(F.xxhash64(x))).alias("whole"), F.transform(split, lambda x: F.when(x.rlike(blank), F.lit(0)).otherwise(F.lit(1))).alias("h"))
+    bounded = hashed.select("id", "k1", "k2", "h", "whole", *[_bounds(F.col("h"), p, s).alias(f"b{p}") for p, s in CHUNKINGS])
+    found = bounded.select("id", "k1", "k2", F.explode(F.concat(*[_chunks(F.col("h"), F.col("whole"), F.col(f"b{p}")) for p, _ in CHUNKINGS])).alias("c"))
     found = found.select("c.hash", F.struct("id", "k1", "k2", "c.start", "c.n").alias("here"))
     often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("here").alias("first")).filter("times > 1").select("hash", "first")
     later = found.join(often, "hash").filter(F.col("here") != F.col("first")).select("hash", "here")
@@ -64,11 +69,11 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
 def drop_repeated_lines(articles: DataFrame, article_id: str = "article_id", body: str = "body") -> DataFrame:
     """Articles without the multi-line passages that stand earlier in the corpus.
 
-    Lines are what ``\\n`` separates. A rolling hash over the hashes of each line and the line before
-    chooses boundaries, so a passage is cut alike wherever it stands; several independent chunkings
-    (``CHUNKINGS``) are united, as each alone misses the passage's rim. A chunk of two or more lines
-    with words that stands earlier as well is removed; of equal chunks the first one stays, so every
-    removed line keeps a copy in the corpus. Single repeated lines stay.
+    Lines are what ``\\n`` separates. A hash rolls over every two neighbouring lines with words and what
+    stands between them, so each line begins a chunk and a passage of two or more lines is found whole,
+    whatever stands around it. A chunk that stands earlier as well is
+    removed; so every line keeps its first copy in the corpus. Single repeated lines stay, and blank
+    lines before or after a passage.
 
     All columns return, ``body`` without the removed lines, and ``n_removed_lines`` (long) is added or
     replaced. Every article stays, even if its body becomes empty. A null body stays null; empty
