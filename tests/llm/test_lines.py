@@ -79,3 +79,10 @@ def test_planted_passages_go_whole(spark):
         print(copies, got)
         assert got.pop(1)[0] == 0  # single lines stay
         assert all(gone == lines for gone, lines in got.values())
+
+
+def test_blank_lines_count_by_their_bytes(spark):
+    rows = [(1, "A a\n\nB b\nown"), *[(i, f"own {i}\nA a\n \nB b") for i in range(2, 6)], *[(i, "A a\n\r\nB b") for i in range(6, 9)]]
+    got = {r.article_id: (r.body, r.n_removed_lines) for r in dedup(spark, rows).collect()}
+    assert got[1][1] == got[2][1] == got[6][1] == 0
+    assert all(got[i] == (f"own {i}", 3) for i in (3, 4, 5)) and all(got[i] == ("", 3) for i in (7, 8))

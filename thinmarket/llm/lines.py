@@ -10,7 +10,7 @@ CHUNKINGS = ((0, 2), (1, 2))
 
 
 def _chunks(h: Column, whole: Column, bounds: Column) -> Column:
-    """(start, n, hash) of the chunks with two or more lines that have words."""
+    """(start, n, hash) of the chunks with two or more lines that have words; the hash is over the bytes of all lines."""
 
     def chunk(start, i):
         n = F.coalesce(F.get(bounds, i + 1), F.size(h)) - start
@@ -51,7 +51,7 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     """
     blank = r"^[\x20\x09-\x0D]*$"
     split = F.split("body", "\n")
-    hashed = keyed.filter(F.col("body").contains("\n")).select("id", "k1", "k2", F.transform(split, lambda x: F.when(x.rlike(blank), F.lit(0)).otherwise(F.xxhash64(x))).alias("whole"), F.transform(split, lambda x: F.when(x.rlike(blank), F.lit(0)).otherwise(F.lit(1))).alias("h"))
+    hashed = keyed.filter(F.col("body").contains("\n")).select("id", "k1", "k2", F.transform(split, lambda x: F.xxhash64(x)).alias("whole"), F.transform(split, lambda x: F.when(x.rlike(blank), F.lit(0)).otherwise(F.lit(1))).alias("h"))
     bounded = hashed.select("id", "k1", "k2", "h", "whole", *[_bounds(F.col("h"), p, s).alias(f"b{p}") for p, s in CHUNKINGS])
     found = bounded.select("id", "k1", "k2", F.explode(F.concat(*[_chunks(F.col("h"), F.col("whole"), F.col(f"b{p}")) for p, _ in CHUNKINGS])).alias("c"))
     found = found.select("c.hash", F.struct("id", "k1", "k2", "c.start", "c.n").alias("here"))
@@ -71,7 +71,7 @@ def drop_repeated_lines(articles: DataFrame, article_id: str = "article_id", bod
 
     Lines are what ``\\n`` separates. A hash rolls over every two neighbouring lines with words and what
     stands between them, so each line begins a chunk and a passage of two or more lines is found whole,
-    whatever stands around it. A chunk that stands earlier as well is
+    whatever stands around it. A chunk that stands earlier as well, blank lines alike to the byte, is
     removed; so every line keeps its first copy in the corpus. Single repeated lines stay, and blank
     lines before or after a passage.
 
