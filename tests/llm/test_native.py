@@ -82,6 +82,29 @@ def test_hosts_equal_a_plain_rank(spark):
     assert H.judge_pages(df.limit(0), rules).count() == 0
 
 
+def solved(seed, ways):
+    """The limit by elimination: score = (1 - d) * seed + d * flow of all scores."""
+    names, fan = sorted({h for w in ways for h in w} | set(seed)), Counter(a for a, _ in ways)
+    rows = [[float(x == h) - 0.85 * ((x, h) in ways) / max(fan[x], 1) for x in names] + [0.15 * seed.get(h, 0)] for h in names]
+    for i in range(len(rows)):
+        rows[i] = [v / rows[i][i] for v in rows[i]]
+        for j in range(len(rows)):
+            if j != i and rows[j][i]:
+                rows[j] = [v - rows[j][i] * u for v, u in zip(rows[j], rows[i])]
+    return {h: r[-1] for h, r in zip(names, rows)}
+
+
+def test_flow_reaches_far_and_cycles_converge(spark):
+    links = {**{f"c{i}.net": [f"c{i - 1}.net"] for i in range(2, 21)}, "c1.net": ["bad.org"], "bad.org": [], "x.com": ["y.com"], "y.com": ["x.com"], "w.com": ["good.org", "x.com"], "good.org": ["y.com"]}
+    rules = [H.Rule("block", "bad.org", "/"), H.Rule("allow", "good.org", "/"), H.Rule("block", "x.com", "/bad")]
+    rows = [(h, f"http://{h}/{'bad' if h == 'x.com' else ''}", "".join(f"<a href='//{t}/'>" for t in to)) for h, to in links.items()]
+    got = {r.host: r for r in H.judge_pages(spark.createDataFrame(rows, "page_id string, url string, html string"), rules).collect()}
+    edges = {(h, t) for h, to in links.items() for t in to}
+    trust, distrust = solved({"good.org": 1}, edges), solved({"bad.org": 1, "x.com": 1}, {(t, h) for h, t in edges})
+    assert all(abs(got[h].trust - trust[h]) < 1e-9 and abs(got[h].distrust - distrust[h]) < 1e-9 for h in links)
+    assert [got[f"c{i}.net"].verdict for i in range(1, 21)] == ["block"] * 12 + ["allow"] * 8
+
+
 def test_manifest(spark):
     rows = [(i, f"text {i} é", "x") for i in range(4000)] + [(None, None, "x"), (5, "again", "y")] + [(5, "again", "y")] * 300 + [(4001, "", None)]
     df = spark.createDataFrame(rows, "article_id long, body string, shard string")

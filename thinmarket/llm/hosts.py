@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from thinmarket.session import ensure_checkpoint_dir
 
-DAMPING, ROUNDS, BLOCK_FROM = 0.85, 8, 0.02
+DAMPING, TOLERANCE, BLOCK_FROM = 0.85, 1e-10, 0.02
+#: What a mass of one takes to fall below the tolerance; how many a plain iteration needs, no limit here.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,13 +42,17 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.array_max(F.array(*fits)) if len(fits) > 1 else fits[0]
 
 
-def host_scores(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def host_scores(pages: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from pages with host, html and the verdict of their rule.
 
     Trust is PageRank restarted at hosts with allowed pages and flows along links; distrust restarts
     at hosts with blocked pages and flows against them, to whoever links there. A host's seed is the
     share of its pages so judged; an edge between two hosts counts once, and a host's flow is dealt
     evenly over its edges. Links within a host do not count.
+
+    Each round sends on what the round before added. It goes on until all that is still to come, summed
+    over the hosts, is at most ``tolerance``; no score is further from the limit. What is sent shrinks
+    by ``damping`` at least, so this ends.
     """
     ensure_checkpoint_dir(pages.sparkSession)
     share = lambda v: F.avg(F.coalesce((F.col("verdict") == v).cast("double"), F.lit(0.0)))
@@ -59,10 +66,14 @@ def host_scores(pages: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS
     else:
         flow = edges.select(F.col("host").alias("at"), F.col("to"), named("trust")).unionAll(edges.select(F.col("to").alias("at"), F.col("host").alias("to"), named("distrust")))
         flow = flow.join(flow.groupBy("at", "kind").agg(F.count(F.lit(1)).alias("ways")), ["at", "kind"]).checkpoint()
-        scores = seed.withColumn("score", F.col("seed") * (1 - damping))
-        for _ in range(rounds):
-            sent = flow.join(scores.select(F.col("host").alias("at"), "kind", "score"), ["at", "kind"]).select(F.col("to").alias("host"), "kind", (damping * F.col("score") / F.col("ways")).alias("score"))
-            scores = sent.unionAll(seed.select("host", "kind", (F.col("seed") * (1 - damping)).alias("score"))).groupBy("host", "kind").agg(F.sum("score").alias("score")).checkpoint()
+        scores = seed.select("host", "kind", F.lit(0.0).alias("score"), (F.col("seed") * (1 - damping)).alias("added"))
+        left = scores.agg(F.sum("added")).first()[0] or 0.0
+        while left * damping > tolerance * (1 - damping):
+            sent = flow.join(scores.filter("added > 0").select(F.col("host").alias("at"), "kind", "added"), ["at", "kind"]).select(F.col("to").alias("host"), "kind", F.lit(0.0).alias("score"), (damping * F.col("added") / F.col("ways")).alias("added"))
+            held = scores.select("host", "kind", (F.col("score") + F.col("added")).alias("score"), F.lit(0.0).alias("added"))
+            scores = sent.unionAll(held).groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("added").alias("added")).checkpoint()
+            left = scores.agg(F.sum("added")).first()[0]
+        scores = scores.select("host", "kind", (F.col("score") + F.col("added")).alias("score"))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     return scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
 
