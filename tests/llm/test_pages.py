@@ -24,6 +24,20 @@ def test_layout(html, text):
     assert R.visible_text(html) == text
 
 
+SEEN = [
+    ("<head><title>x</title><p>text", "text"), ("<head><title>x <p> y</title><meta name=a>\n bare text<p>more", "bare text\n\nmore"),
+    ("<html><head><script>no</script><noscript><img alt=no></noscript><style>no</style></head>yes", "yes"), ("<head><title>x</title><body>text", "text"),
+    ("<span aria-hidden='true'>seen</span>", "seen"), ("<textarea>\na &lt;b>\n  <i>c</textarea>d", "a <b>\n  <i>cd"), ("<p>a</p><textarea>open &amp; on", "a\n\nopen & on"),
+    ("<select><option>one<option selected>two</select>", "two"), ("<select><option disabled>none<optgroup><option>one<option>two</select>", "one"), ("<select multiple><option>one<option>two</select>", "one two"),
+    ("a<![x]>b<![ if]>c<![if !IE]>d<![endif]>e", "abcde"), ("a<![x", "a"), ("a<![ if", "a"), ("<![CDATA[x]]>a", "a"),
+]
+
+
+@pytest.mark.parametrize("html,text", SEEN)
+def test_nothing_visible_is_lost(html, text):
+    assert R.visible_text(html) == text
+
+
 def test_every_visible_word_once(spark):
     rng = random.Random(6)
     tags = "p div li ul ol table tr td b span h2 article pre".split()

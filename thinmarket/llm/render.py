@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 
 # Element names of HTML by their role in the layout.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("audio canvas datalist head iframe noscript object script select style svg template textarea title video".split())
+HIDDEN = frozenset("audio canvas datalist head iframe noscript object script style svg template title video".split())
 SPACED = frozenset("blockquote dl figure form h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt fieldset figcaption footer header hgroup html legend li main menu nav section summary tr caption tbody thead tfoot".split())
 CELLS = frozenset(("td", "th"))
+#: What a head can hold; anything else ends it. Elements whose content is text up to their end tag.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+TEXT = frozenset(("textarea", "title"))
+KEPT = frozenset(("pre", "textarea"))
 #: What an opening tag ends, and what keeps it from looking further up.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -33,12 +38,30 @@ class Node:
         self.tag, self.attrs, self.children = tag, dict(attrs), []
 
     def hidden(self) -> bool:
-        return self.tag in HIDDEN or "hidden" in self.attrs or self.attrs.get("aria-hidden") == "true" or bool(INVISIBLE.search(self.attrs.get("style") or ""))
+        return self.tag in HIDDEN or "hidden" in self.attrs or bool(INVISIBLE.search(self.attrs.get("style") or ""))
+
+
+def shown_options(select: Node) -> list[Node]:
+    """The options that a reader sees: all of a list, else the chosen one, which is the first unless said otherwise."""
+    options, todo = [], list(reversed(select.children))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, Node) and not node.hidden():
+            if node.tag == "option":
+                options.append(node)
+            todo.extend(reversed(node.children))
+    size = (select.attrs.get("size") or "").strip()
+    if "multiple" in select.attrs or size.isdecimal() and int(size) > 1:
+        return options
+    chosen = [o for o in options if "selected" in o.attrs][-1:]
+    return chosen or [o for o in options if "disabled" not in o.attrs][:1]
 
 
 class TreeBuilder(HTMLParser):
     """Tags to a tree, with implied ends; stray end tags are ignored and open elements end with the text."""
 
+    CDATA_CONTENT_ELEMENTS = (*HTMLParser.CDATA_CONTENT_ELEMENTS, *sorted(TEXT))
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
@@ -55,7 +78,22 @@ class TreeBuilder(HTMLParser):
             if self.open[i].tag in fence or self.open[i].tag in CELLS and tag not in IMPLIED:
                 return
 
+    def parse_marked_section(self, i, report=1):
+        """Declarations that the parser does not know or that never end are comments."""
+        try:
+            k = super().parse_marked_section(i, report)
+        except AssertionError:
+            k = -1
+        return k if k >= 0 else self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def close(self):
+        super().close()
+        if self.rawdata and self.cdata_elem in TEXT:  # never ended
+            self.handle_data(self.rawdata)
+
     def handle_starttag(self, tag, attrs):
+        if self.open[-1].tag == "head" and tag not in HEAD:
+            self.open.pop()
         self.end_implied(tag)
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
@@ -76,6 +114,10 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.cdata_elem in TEXT:
+            data = unescape(data)
+        if self.open[-1].tag == "head" and data.strip(" \t\n\f\r"):
+            self.open.pop()
         self.open[-1].children.append(data)
 
 
@@ -155,12 +197,18 @@ def visible_text(html: str | None) -> str:
             if tag == "img":
                 c.text(node.attrs.get("alt") or "", False)
                 continue
+            if tag == "select":
+                node.children = shown_options(node)
             if tag in CELLS and tables:
                 if not tables[-1]:
                     tables[-1].append([])
                 canvases.append(Canvas())
             elif tag in BLOCK:
                 c.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
+            elif tag == "option":
+                c.text(" ", False)
+            elif tag == "textarea":
+                node.children = ["".join(node.children).removeprefix("\n")]
             if tag == "table":
                 tables.append([])
                 canvases.append(Canvas())
@@ -173,11 +221,11 @@ def visible_text(html: str | None) -> str:
                 if lists and lists[-1] is not None:
                     lists[-1] += 1
                 c.mark = f"{lists[-1]}. " if lists and lists[-1] is not None else "- "
-            keep += tag == "pre"
+            keep += tag in KEPT
             todo.append((node, True))
             todo.extend((child, False) for child in reversed(node.children))
             continue
-        keep -= tag == "pre"
+        keep -= tag in KEPT
         if tag in CELLS and tables:
             c.end()
             canvases.pop()
@@ -209,7 +257,9 @@ def render_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html")
     """(page_id, text): everything a reader of a scraped page sees, whole, one row per page.
 
     A tree is built with the ends that HTML implies; scripts, styles, heads and what ``hidden`` or an
-    inline style hides give nothing. Blocks start lines, paragraphs, headings, lists and tables stand
+    inline style hides give nothing. A head ends where something stands that it cannot hold. Text areas
+    give their text, a select its chosen option or, if it is a list, all of them. Unknown declarations
+    are comments. Blocks start lines, paragraphs, headings, lists and tables stand
     apart by a blank line, list items are marked and indented, table cells are padded to columns,
     preformatted text keeps its spaces, images give their alternative text.
 
