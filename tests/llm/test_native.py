@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from thinmarket.llm import hosts as H
 from thinmarket.llm import placement as P
 from thinmarket.llm import secrets as S
@@ -32,6 +34,19 @@ def test_secrets_equal_a_plain_scan(spark):
     assert S.find_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_copied_inside_one_owner_and_mirrored_leaks(spark):
+    prose = lambda seed: " ".join(random.Random(seed).choices([f"word{k}" for k in range(500)], k=300))
+    key = lambda c: "ghp_" + c * 24
+    rows = [(i, f"{prose(i)} {key('a')}", "one") for i in range(12)]  # a placeholder all over one owner
+    rows += [(i, f"{prose(i)} {key('b')} x", f"src{i % 4}") for i in range(20, 32)]  # and over many
+    leak = prose(40)
+    rows += [(40, f"{leak} {key('c')}", "one"), (41, f"Mirrored. {leak}  {key('c')} end", "two"), (42, f"{leak} {key('c')}", "three")]
+    rows += [(50, f"{prose(50)} {key('d')}", "one"), (51, f"{prose(51)} {key('d')}", "one"), (52, key("e"), None)]
+    df = spark.createDataFrame(rows, "article_id long, body string, source string").withColumn("language", F.lit("en"))
+    got = {r.article_id: (len(r.spans), r.n_live, r.n_examples) for r in S.find_secrets(df).collect()}
+    assert got == {i: (1, 1, 0) if i >= 40 else (0, 0, 1) for i, *_ in rows}
+
+
 def plain_scores(pages):
     """pages: (host, links, rule verdict)"""
     seed = {k: {h: sum(v == w for x, _, v in pages if x == h) / sum(x == h for x, _, _ in pages) for h in {p[0] for p in pages} - {""}} for k, w in (("trust", "allow"), ("distrust", "block"))}

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Independent samples of a text's words by which near-equal texts are known.
+SAMPLES = (21, 22, 23, 24)
+
+
 class Kind(NamedTuple):
     name: str
     pattern: str
@@ -43,15 +47,39 @@ def candidates(text: Column, kind: Kind) -> Column:
     return F.when(text.rlike(kind.pattern), F.aggregate(told, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])).otherwise(none)
 
 
-def find_secrets(articles: DataFrame, article_id: str = "article_id", body: str = "body", owner: str = "source", repository: tuple[str, ...] = ("source", "language"), live_owners: int = 1) -> DataFrame:
+def sampled(text: Column) -> Column:
+    """Array of (sample, key): by each of ``SAMPLES`` the least hash of three neighbouring words.
+
+    Two texts share a key with the chance of their Jaccard similarity, so mirrored ones share some.
+    """
+    held = lambda x, use: F.get(F.transform(F.array(x), use), 0)  # noqa: E731  # x is worked out once, not at each use
+    hashed = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)), lambda w: F.xxhash64(w))
+    runs = held(hashed, lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - 3, F.lit(0))), lambda i: F.xxhash64(F.slice(h, i + 1, 3))))
+    least = lambda r, s: F.array_min(F.transform(r, lambda x: F.xxhash64(x, F.lit(s))))
+    return held(runs, lambda r: F.array(*[F.struct(F.lit(s), least(r, s)) for s in SAMPLES])).cast("array<struct<sample: int, key: bigint>>")
+
+
+def spread_of(found: DataFrame) -> DataFrame:
+    """(hash, owners, repositories) of every value; found has hash, owner, repository and samples.
+
+    Texts that share a key count for the owner and repository that are first among them only. Each
+    sample gives a count; the least holds, as near-equal texts may differ in some samples.
+    """
+    texts = found.select("hash", "owner", "repository", F.explode("samples").alias("s")).groupBy("hash", "s.sample", "s.key").agg(F.min(F.struct("owner", "repository")).alias("by"))
+    counted = texts.groupBy("hash", "sample").agg(F.count_distinct("by.owner").alias("owners"), F.count_distinct("by.repository").alias("repositories"))
+    return counted.groupBy("hash").agg(F.min("owners").alias("owners"), F.min("repositories").alias("repositories"))
+
+
+def find_secrets(articles: DataFrame, article_id: str = "article_id", body: str = "body", owner: str = "source", repository: tuple[str, ...] = ("article_id",), live_owners: int = 1, live_repositories: int = 3) -> DataFrame:
     """Per article: base_spans, spans (arrays of kind:start:end), n_assign, n_access, n_hex, n_live, n_examples.
 
     The project has no repositories, so an article's ``owner`` is its source and its repository the
-    columns ``repository``; any other columns may be named. Base kinds are always reported. All
-    candidates of the corpus are hashed by value and counted by distinct repositories and owners: a
-    value with at most ``live_owners`` owners is specific to them and counts as live, others are
-    examples that many copy. Candidates of the further kinds (web tokens, logins in links, prefixed
-    keys) become spans only if they are live.
+    columns ``repository``, by default the article; any other columns may be named. Base kinds are
+    always reported. All candidates of the corpus are hashed by value and counted by distinct owners
+    and repositories; near-equal texts, as mirrored articles are, count once. A value with at most
+    ``live_owners`` owners and ``live_repositories`` repositories is specific to them and counts as
+    live, others are examples that many copy. Candidates of the further kinds (web tokens, logins in
+    links, prefixed keys) become spans only if they are live.
 
     A null body is empty. A null owner or repository is one of its own. Rows equal in all columns used
     share their result; null and repeated ids are kept. Spans are ordered by start, then kind. Empty
@@ -63,11 +91,11 @@ def find_secrets(articles: DataFrame, article_id: str = "article_id", body: str
     rows = articles.select(F.col(article_id).alias("id"), text.alias("text"), who.alias("owner"), held.alias("repository"))
     rows = rows.withColumns({"k1": F.xxhash64("id", "text", "owner", "repository"), "k2": F.xxhash64(F.lit("second"), "repository", "owner", "text", "id")})
     every = F.concat(*[candidates(F.col("text"), k) for k in KINDS])
-    found = rows.select("k1", "k2", "owner", "repository", F.explode(every).alias("c")).select("k1", "k2", "owner", "repository", "c.start", "c.kind", "c.end", F.unhex(F.sha2(F.col("c.value").cast("binary"), 256)).alias("hash"))
-    spread = found.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
-    live = F.col("owners") <= live_owners
+    listed = rows.select("k1", "k2", "owner", "repository", sampled(F.col("text")).alias("samples"), every.alias("every")).filter(F.size("every") > 0)
+    found = listed.select("k1", "k2", "owner", "repository", "samples", F.explode("every").alias("c")).select("k1", "k2", "owner", "repository", "samples", "c.start", "c.kind", "c.end", F.unhex(F.sha2(F.col("c.value").cast("binary"), 256)).alias("hash"))
+    live = (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)
     base = F.array_contains(F.lit([KINDS.index(k) for k in KINDS if k.base]), F.col("kind"))
-    marked = found.join(spread, "hash").select("k1", "k2", F.struct("start", "kind", "end", live.alias("live"), base.alias("base")).alias("s"))
+    marked = found.drop("samples").join(spread_of(found), "hash").select("k1", "k2", F.struct("start", "kind", "end", live.alias("live"), base.alias("base")).alias("s"))
     mine = marked.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("s")).alias("all"))
     names = F.array(*[F.lit(k.name) for k in KINDS])
     shown = lambda a: F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
