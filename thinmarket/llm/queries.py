@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thinmarket.llm import archive, bpe, decontaminate, hosts, lines, neighbours, placement, quality, render, secrets
+from thinmarket.llm import archive, audit, bpe, codes, decontaminate, hosts, lines, neighbours, placement, quality, render, replies, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,69 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM p JOIN f USING (h) JOIN parts USING (h)""")
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@register("op11_vector_codes", """
+  WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS (SELECT vec_id, label, q, v[q * 16 + 1:q * 16 + 16] AS v FROM k, range(4) r(q)),
+  e0 AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY vec_id) - 1 AS e, v FROM p QUALIFY e < 256),
+""" + ",\n".join(f"""
+  a{i} AS (SELECT vec_id, any_value(p.label) AS label, p.q, arg_min(e, d * 256 + e) AS e, min(d) AS d, any_value(p.v) AS v
+           FROM (SELECT p.vec_id, p.label, p.q, p.v, c.e, list_sum(list_transform(range(1, 17), lambda j: (p.v[j] - c.v[j]) * (p.v[j] - c.v[j]))) AS d FROM p JOIN e{i} c USING (q)) p GROUP BY vec_id, p.q)""" + (f""",
+  s{i} AS (SELECT q, e, j, CAST(floor(sum(v[j]) / count(*)) AS BIGINT) AS x FROM (SELECT q, e, v, unnest(range(1, 17)) AS j FROM a{i}) GROUP BY q, e, j),
+  n{i} AS (SELECT q, e, list(x ORDER BY j) AS v FROM s{i} GROUP BY q, e),
+  e{i + 1} AS (SELECT q, e, coalesce(n.v, o.v) AS v FROM e{i} o LEFT JOIN n{i} n USING (q, e))""" if i < 4 else "") for i in range(5)) + """,
+  h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY q, e)) AS codebooks_sha256 FROM e4),
+  c AS (SELECT vec_id, any_value(label) AS label, string_agg(lower(lpad(hex(e), 2, '0')), '' ORDER BY q) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id)
+  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h""")
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("card_id"), F.col("embedding").alias("window"), "label")
+    found, books = codes.compress_windows(windows)
+    listed = F.array_sort(F.collect_list(F.struct("part", "entry", "components")))
+    text = F.array_join(F.flatten(F.transform(listed, lambda b: b["components"])), ",")
+    digest = books.agg(F.sha2(text.cast("binary"), 256).alias("d")).first().d
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    told = codes.with_group_error(found.withColumn("code", code), "label")
+    return told.select(F.col("card_id").alias("vec_id"), "code", "error", F.col("group_error").alias("label_error"), F.lit(digest).alias("codebooks_sha256"))
+
+
+@register("op12_reply_trees", r"""
+  WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+             UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  f AS (SELECT conv_id, turn, role, text,
+               '<s>' || role || chr(10) || CASE WHEN role = 'assistant' THEN '' ELSE '[INST] ' END || regexp_replace(text, '(\\*(?:</?s>|\[/?INST\]))', '\\\1', 'g')
+               || CASE WHEN role = 'assistant' THEN '' ELSE ' [/INST]' END || chr(10) || '</s>' AS piece FROM t)
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length(piece)) AS BIGINT) AS formatted_chars
+  FROM f GROUP BY conv_id""")
+def op12_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("run_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").alias("content"))
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "run_id long, turn long, role string, content string")
+    told = replies.format_replies(replies.linear_replies(turns.unionByName(extra)))
+    return replies.conversation_digests(told).withColumnRenamed("run_id", "conv_id")
+
+
+@register("op13_filter_audit", r"""
+  WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+  m AS (SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+               (len(w) < 50)::INT AS a, (100 * len(list_distinct(w)) < 65 * len(w))::INT AS b, (100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text))::INT AS c,
+               regexp_matches(text, '[#$%&*|]')::INT AS d, coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)::INT AS e
+        FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+  cells AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+  f AS (SELECT i, substr('ABCDE', CAST(i AS INT) + 1, 1) AS x FROM range(5) r(i)),
+  o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.i, q.i, r.i, s.i, t.i] AS fs FROM f p, f q, f r, f s, f t
+        WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5),
+  steps AS (SELECT filter_order, k AS step, fs[k] AS x, CAST(1 << fs[k] AS BIGINT) AS bit, CAST(coalesce(list_sum(list_transform(fs[1:k - 1], lambda z: 1 << z)), 0) AS BIGINT) AS before FROM o, range(1, 6) r(k)),
+  out AS (SELECT part, filter_order, step, x, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+                 sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                 sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+          FROM cells, steps GROUP BY 1, 2, 3, 4)
+  SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+         CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM out""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "article_id")
+    return audit.audit_filters(articles(spark, sf_dir), labels).withColumnRenamed("source", "part")
