@@ -72,26 +72,26 @@ def best_paths(nodes: DataFrame, best: int | None) -> DataFrame:
     depth d takes about 2 log2(d) joins, each on rows of a few bytes.
     """
     narrow = nodes.select("key", "parent", "id", "score")
-    there = narrow.select(F.col("key").alias("up"))
-    first = narrow.withColumnRenamed("parent", "up").join(there.withColumn("found", F.lit(True)), "up", "left")
-    jumps = [first.select("key", F.when(F.col("found"), F.col("up")).alias("up"), F.col("found").cast("long").alias("steps"), F.col("score").alias("total"), "id")
-             .select("key", "up", F.coalesce("steps", F.lit(0).cast("long")).alias("steps"), "total", "id", F.when(F.col("up").isNull(), F.col("key")).alias("top")).checkpoint()]
-    while not jumps[-1].filter("up IS NOT NULL").isEmpty():
-        here = jumps[-1]
-        further = here.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"), F.col("top").alias("top2"))
-        zero = F.lit(0)
-        jumps.append(here.join(further, "up", "left").select(
-            "key", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", zero)).alias("steps"), (F.col("total") + F.coalesce("total2", zero.cast("double"))).alias("total"), "id", F.coalesce("top", "top2").alias("top"),
-        ).checkpoint())
-    parents = jumps[0].select(F.col("up").alias("key")).filter("key IS NOT NULL").distinct()
-    leaves = jumps[-1].join(parents, "key", "left_anti")
+    there = narrow.select(F.col("key").alias("up"), F.lit(True).alias("found"))
+    none = F.lit(0).cast("long")
+    state = narrow.withColumnRenamed("parent", "up").join(there, "up", "left").select(
+        "key", F.when(F.col("found"), F.col("up")).alias("up"), F.coalesce(F.col("found").cast("long"), none).alias("steps"), F.col("score").alias("total"), "id", F.when(F.col("found").isNull(), F.col("key")).alias("top"),
+    ).checkpoint()
+    parents = state.select(F.col("up").alias("key")).filter("key IS NOT NULL").distinct()
+    met, jumps = state.filter("up IS NULL"), []
+    left = state.filter("up IS NOT NULL")
+    while not left.isEmpty():  # only messages that have not met their root go on
+        jumps.append(left.select("key", "up"))
+        further = left.unionAll(met).select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"), F.col("top").alias("top2"))
+        state = left.join(further, "up").select("key", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).alias("total"), "id", F.col("top2").alias("top")).checkpoint()
+        met, left = met.unionAll(state.filter("up IS NULL")), state.filter("up IS NOT NULL")
+    leaves = met.join(parents, "key", "left_anti")
     if best is not None:
         rank = F.row_number().over(Window.partitionBy("top").orderBy(F.col("total").desc(), F.col("id").asc_nulls_last(), "key"))
         leaves = leaves.withColumn("rank", rank).filter(F.col("rank") <= best)
     paths = leaves.select(F.col("key").alias("leaf"), "key", F.col("steps").alias("depth"), "total").checkpoint()
-    for k in reversed(range(len(jumps) - 1)):
-        hops = jumps[k].filter("up IS NOT NULL").select("key", "up")
-        more = paths.join(hops, "key").select("leaf", F.col("up").alias("key"), (F.col("depth") - (1 << k)).alias("depth"), "total")
+    for k in reversed(range(len(jumps))):
+        more = paths.join(jumps[k], "key").select("leaf", F.col("up").alias("key"), (F.col("depth") - (1 << k)).alias("depth"), "total")
         paths = paths.unionAll(more).checkpoint()
     return paths
 
