@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thinmarket.session import checkpoint_root
+
 
 def text_key(text: Column) -> Column:
     """128 bits of the text; null for null."""
@@ -23,3 +27,10 @@ def packed(rows: DataFrame) -> Column:
 
 def unpacked(columns: list[str], **replaced: Column) -> list[Column]:
     return [replaced.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(columns)]
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows written once to the shared checkpoint folder and read again; unlike ``checkpoint`` it computes them once."""
+    path = f"{checkpoint_root(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
