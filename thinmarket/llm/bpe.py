@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -65,10 +65,10 @@ class Coder:
         for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
             self.words[w] = (" ".join(map(str, e.ids)), self.decode(e.ids), len(e.ids))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, str, int]]:
+    def encode(self, texts: Iterable[str]) -> Iterator[tuple[str, str, int]]:
         """Ids joined by spaces, decoded text and number of ids of each text."""
-        split = [[w for w in t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w] for t in texts]
-        for part in split:
+        for text in texts:
+            part = [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
             missing = {w for w in part if w not in self.words}
             if missing:
                 self.learn(missing | (set(part) if len(self.words) + len(missing) > REMEMBERED else set()))
@@ -158,7 +158,7 @@ def _short(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path)
         for batch in batches:
-            sums = [(n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest()) for i, d, n in coder.encode(batch.column("body").to_pylist())]
+            sums = [(n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest()) for i, d, n in coder.encode(x.as_py() for x in batch.column("body"))]
             n, ids, decoded = zip(*sums) if sums else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thinmarket.llm.rows import packed, unpacked
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOL = re.compile("[#*$%&|<>]")
 LETTER = re.compile("[A-Za-z\x80-\U0010ffff]")
@@ -58,7 +60,7 @@ def measure(body: str | None) -> tuple[int, ...]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = list(zip(*map(measure, batch.column(1).to_pylist()))) or [()] * len(MEASURES)
+        rows = list(zip(*(measure(x.as_py()) for x in batch.column(1)))) or [()] * len(MEASURES)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, pa.int64()) for r in rows)], ["key", *MEASURES])
 
 
@@ -97,10 +99,18 @@ def ablation(ledger: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def _judge(bodies: pa.Array) -> pa.Array:
+    """The measurements of each text, one text in hand at a time."""
+    rows = list(zip(*(measure(x.as_py()) for x in bodies))) or [()] * len(MEASURES)
+    return pa.StructArray.from_arrays([pa.array(r, pa.int64()) for r in rows], list(MEASURES))
+
 
 def keep_articles(articles: DataFrame, policy: str, body: str = "body") -> DataFrame:
-    """The articles that a policy keeps, with all their columns, in one pass without a shuffle."""
-    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(articles.columns)]
-    row = articles.select(F.struct(*columns).alias("row"), F.col(body).cast("string").alias("body"))
-    ledger = rule_ledger(row, "row", "body").filter(kept(policy))
-    return ledger.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(articles.columns)])
+    """The articles that a policy keeps, with all their columns, in one pass without a shuffle.
+
+    Only the body goes to Python and only numbers come back; the rows wait in the JVM.
+    """
+    measured = F.arrow_udf(_judge, "struct<" + ", ".join(f"{m}: long" for m in MEASURES) + ">")(F.col(f"`{body}`").cast("string"))
+    row = articles.select(packed(articles), measured.alias("m")).select("row", "m.*")
+    wanted = [test for name, test in RULES if name in POLICIES[policy]]
+    return row.filter(" AND ".join(f"NOT ({test})" for test in wanted)).select(*unpacked(articles.columns))
