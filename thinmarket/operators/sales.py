@@ -2,48 +2,88 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thinmarket.functions.numeric import rnd, safe_div
 
 
+#: Bands of a price range: so many to a factor of e. A band is about a thousandth of the price wide.
+BANDS_PER_E = 1024
+
+
+def value_band(value: Column) -> Column:
+    """A whole number that never falls as the value rises; equal values share it.
+
+    The logarithm never falls either, so bands are exact in order whatever its last digit is. The offset
+    is beyond every logarithm of a double; NaN is the largest.
+    """
+    far = 2_000_000
+    log = lambda v: F.floor(F.ln(v) * BANDS_PER_E).cast("int")
+    return F.when(F.isnan(value), 3 * far).when(value > 0, far + F.least(log(value), F.lit(far))).when(value < 0, -(far + F.least(log(-value), F.lit(far)))).otherwise(0)
+
+
 def grouped_medians(
     df: DataFrame, keys: list[str], value: str, measures: dict[str, Column]
 ) -> DataFrame:
     """Exact count, mean, min, max, true median and upper median per group for several filters.
 
     Rows are first counted per (group, value), which spreads a hot group over all tasks and
-    shrinks it to its distinct prices. Ranks then come from a running sum over those counts, in
-    a window that sorts and spills instead of holding the group in memory.
+    shrinks it to its distinct prices. These are counted by band of value; a running sum over a
+    group's bands, some thousand at most, tells which band holds each middle rank, and only the
+    values of those bands are sorted, by (group, band). So no task sorts a group, even if one
+    group holds most rows and all its prices differ.
     """
+    v = F.col(value)
     counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
+        df.filter(v.isNotNull())
+        .withColumn("__band", value_band(v))
+        .groupBy(*keys, "__band", value)
         .agg(*[F.count_if(cond).alias(f"{m}__c") for m, cond in measures.items()])
     )
-    ordered = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    per_band = [
+        a
+        for m in measures
+        for a in (
+            F.sum(f"{m}__c").alias(f"{m}__c"), F.sum(v * F.col(f"{m}__c")).alias(f"{m}__s"),
+            F.min(F.when(F.col(f"{m}__c") > 0, v)).alias(f"{m}_min"), F.max(F.when(F.col(f"{m}__c") > 0, v)).alias(f"{m}_max"),
+        )
+    ]
+    bands = counted.groupBy(*keys, "__band").agg(*per_band)
     whole = Window.partitionBy(*keys)
+    ordered = whole.orderBy("__band").rowsBetween(Window.unboundedPreceding, 0)
     for m in measures:
-        counted = counted.withColumn(f"{m}__cum", F.sum(f"{m}__c").over(ordered)).withColumn(
-            f"{m}__n", F.sum(f"{m}__c").over(whole)
-        )
-    aggs = []
+        bands = bands.withColumn(f"{m}__cum", F.sum(f"{m}__c").over(ordered)).withColumn(f"{m}__n", F.sum(f"{m}__c").over(whole))
+    told, marks = [], []
     for m in measures:
         c, cum, n = F.col(f"{m}__c"), F.col(f"{m}__cum"), F.col(f"{m}__n")
-        v = F.when(c > 0, F.col(value))
-        low_rank, high_rank = F.floor((n + 1) / 2), F.floor(n / 2) + 1
-        low = F.min(F.when(cum >= low_rank, v))
-        high = F.min(F.when(cum >= high_rank, v))
-        aggs += [
-            F.max(n).alias(f"{m}_count"),
-            safe_div(F.sum(F.col(value) * c), F.max(n)).alias(f"{m}_mean"),
-            F.min(v).alias(f"{m}_min"),
-            F.max(v).alias(f"{m}_max"),
-            ((low + high) / 2).alias(f"{m}_median"),
-            high.alias(f"{m}_upper"),
-        ]
-    return counted.groupBy(*keys).agg(*aggs)
+        told += [F.max(n).alias(f"{m}_count"), safe_div(F.sum(f"{m}__s"), F.max(n)).alias(f"{m}_mean"), F.min(f"{m}_min").alias(f"{m}_min"), F.max(f"{m}_max").alias(f"{m}_max")]
+        for which, rank in (("low", F.floor((n + 1) / 2)), ("high", F.floor(n / 2) + 1)):
+            # The rank counted from the band's first value, where the band holds it.
+            marks.append(F.when((cum >= rank) & (cum - c < rank), rank - (cum - c)).alias(f"{m}__{which}"))
+    groups = bands.groupBy(*keys).agg(*told)
+    names = [f"{m}__{which}" for m in measures for which in ("low", "high")]
+    middle = bands.select(*keys, "__band", *marks).filter(F.coalesce(*[F.col(x) for x in names]).isNotNull())
+
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    near = counted.alias("l").join(middle.alias("r"), reduce(and_, [*same, F.col("l.__band") == F.col("r.__band")])).select("l.*", *[F.col(f"r.{x}") for x in names])
+    inside = Window.partitionBy(*keys, "__band").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    for m in measures:
+        near = near.withColumn(f"{m}__cum", F.sum(f"{m}__c").over(inside))
+    at = lambda m, which: F.min(F.when((F.col(f"{m}__c") > 0) & (F.col(f"{m}__cum") >= F.col(f"{m}__{which}")), v))
+    picked = near.groupBy(*keys).agg(*[at(m, which).alias(f"{m}__{which}") for m in measures for which in ("low", "high")])
+    out = groups.alias("l").join(picked.alias("r"), reduce(and_, same), "left")
+    columns = [
+        c
+        for m in measures
+        for c in (
+            *[F.col(f"l.{m}_{x}") for x in ("count", "mean", "min", "max")], ((F.col(f"r.{m}__low") + F.col(f"r.{m}__high")) / 2).alias(f"{m}_median"), F.col(f"r.{m}__high").alias(f"{m}_upper"),
+        )
+    ]
+    return out.select(*[F.col(f"l.{k}") for k in keys], *columns)
 
 
 def since(as_of: Column, days: int, col: str = "order_date") -> Column:

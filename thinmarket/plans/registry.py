@@ -11,11 +11,12 @@ from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name`` with an optional SQL body."""
+def query(name: str, oracle: str | None = None, **instead: str):
+    """Register ``fn(tables) -> DataFrame`` under ``name`` with an optional SQL body and the views it redefines."""
 
     def wrap(fn):
         from thinmarket.plans.binding import Tables
@@ -29,7 +30,8 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = full_sql(oracle)
+            BODIES[name] = oracle
+            ORACLES[name] = full_sql(oracle, **instead)
         return fn
 
     return wrap
@@ -51,20 +53,30 @@ def view(name: str, sql: str) -> None:
     VIEWS[name] = sql
 
 
-def full_sql(body: str) -> str:
-    """Prefix the shared views that ``body`` mentions and expand the Rn() rounding shorthand."""
+def earlier_views(names: list[str]) -> None:
+    """Copies of views under their names with a 0, which refer to each other's copies."""
+    pattern = re.compile(r"\b(" + "|".join(names) + r")\b(?!\.)")
+    VIEWS.update({f"{name}0": pattern.sub(r"\g<1>0", VIEWS[name]) for name in names})
+
+
+def full_sql(body: str, **instead: str) -> str:
+    """Prefix the shared views that ``body`` mentions and expand the Rn() rounding shorthand.
+
+    ``instead`` has other definitions of some views; all views that build on these see them.
+    """
     needed: list[str] = []
+    views = {**VIEWS, **instead}
 
     def visit(text: str, above: tuple[str, ...]) -> None:
         words = set(re.findall(r"[A-Za-z_][A-Za-z_0-9]*", text))
-        for name in VIEWS:
+        for name in views:
             if name in words and name not in needed and name not in above:
-                visit(VIEWS[name], (*above, name))
+                visit(views[name], (*above, name))
                 if name not in needed:
                     needed.append(name)
 
     visit(body, ())
-    ctes = [f"{name} AS ({VIEWS[name]})" for name in needed]
+    ctes = [f"{name} AS ({views[name]})" for name in needed]
     head = "WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else ""
     return expand_rounding(f"{head}SELECT * FROM (\n{body.strip()}\n)")
 
