@@ -22,8 +22,8 @@ def value_band(value: Column) -> Column:
     is beyond every logarithm of a double; NaN is the largest.
     """
     far = 2_000_000
-    log = lambda v: F.floor(F.ln(v) * BANDS_PER_E).cast("int")
-    return F.when(F.isnan(value), 3 * far).when(value > 0, far + F.least(log(value), F.lit(far))).when(value < 0, -(far + F.least(log(-value), F.lit(far)))).otherwise(0)
+    log = lambda v: F.floor(F.least(F.ln(v) * BANDS_PER_E, F.lit(float(far)))).cast("int")
+    return F.when(F.isnan(value), 3 * far).when(value > 0, far + log(value)).when(value < 0, -(far + log(-value))).otherwise(0)
 
 
 def grouped_medians(
