@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,33 +19,77 @@ CONDITION_MULTIPLIERS = {
 TRADING_DAYS = 252
 
 
-def positions_from_trades(trades: DataFrame) -> DataFrame:
-    """Open positions: fills folded in time order, a buy averages in, a sell keeps the average.
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fills in order, key by key, to one position a key; only the position in hand is kept.
 
-    The fold starts over whenever a position is flat, so only the fills since then are gathered;
-    where that happened is found with a running sum, which streams.
+    A row with side ``state`` is a position of an earlier run; fills up to its last one are in it already.
+    """
+    schema = None
+    key, q, avg, entry, strategy, last = None, 0, 0.0, None, None, None
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    for batch in batches:
+        if schema is None:
+            kinds = {f.name: f.type for f in batch.schema}
+            schema = pa.schema([
+                ("portfolio_id", kinds["portfolio_id"]), ("card_id", kinds["card_id"]), ("quantity", pa.int64()), ("avg_entry_price", pa.float64()),
+                ("entry_us", pa.int64()), ("strategy", pa.string()), ("last_us", pa.int64()), ("last_trade_id", kinds["trade_id"]),
+            ])
+        done = []
+        for portfolio, card, at, trade, side, quantity, price, by, opened in zip(*(c.to_pylist() for c in batch.columns)):
+            if (portfolio, card) != key:
+                if key is not None:
+                    done.append((*key, q, avg, entry, strategy, *(last or (None, None))))
+                key, q, avg, entry, strategy, last = (portfolio, card), 0, 0.0, None, None, None
+            if side == "state":
+                q, avg, entry, strategy, last = quantity, price, opened, by, (at, trade)
+                continue
+            if last is not None and (at, trade) <= last:
+                continue
+            if q == 0:
+                avg, entry, strategy = 0.0, at, by
+            if side == "buy":
+                avg = round((avg * q + price * quantity) / (q + quantity) + 1e-9, 2) if q + quantity else 0.0
+                q += quantity
+            else:
+                q -= quantity
+            last = (at, trade)
+        if done:
+            yield told(done)
+    if key is not None:
+        yield told([(*key, q, avg, entry, strategy, *(last or (None, None)))])
+
+
+def position_snapshot(trades: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The state of every (portfolio, card) after all its fills, flat ones too, from which a later run goes on.
+
+    Fills meet by key and are sorted by time on disk if need be; one pass folds them, a buy averages in, a
+    sell keeps the average, and a flat position starts over. Memory holds one position, however many
+    fills it has. ``before`` is an earlier snapshot: its states come first and fills that it covers are
+    passed over, so new fills alone, or some of the old ones again, give what all fills give. The average is rounded at each
+    fill, so a position's fills have to be taken in turn. Columns: portfolio_id, card_id, quantity, avg_entry_price, entry_us
+    and strategy of the first fill since it was flat, last_us and last_trade_id; times in microseconds.
     """
-    w = Window.partitionBy("portfolio_id", "card_id").orderBy("executed_at", "trade_id")
-    signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
-    rows = trades.withColumn("held", F.sum(signed).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    flat_at = F.max(F.when(F.col("held") == 0, F.struct("executed_at", "trade_id"))).over(Window.partitionBy("portfolio_id", "card_id"))
-    live = rows.withColumn("flat_at", flat_at).filter(
-        F.col("flat_at").isNull() | (F.struct("executed_at", "trade_id") > F.col("flat_at"))
-    )
-    fills = F.sort_array(F.collect_list(F.struct("executed_at", "trade_id", "side", "quantity", "price", "strategy")))
-    start = F.struct(F.lit(0).cast("long").alias("q"), F.lit(0.0).alias("avg"))
-
-    def step(s: Column, f: Column) -> Column:
-        q = s["q"] + f["quantity"]
-        bought = F.struct(q.alias("q"), rnd((s["avg"] * s["q"] + f["price"] * f["quantity"]) / q).alias("avg"))
-        sold = F.struct((s["q"] - f["quantity"]).alias("q"), s["avg"].alias("avg"))
-        return F.when(f["side"] == "buy", bought).otherwise(sold)
-
-    folded = live.groupBy("portfolio_id", "card_id").agg(fills.alias("fills"))
-    return folded.withColumn("s", F.aggregate("fills", start, step)).select(
-        "portfolio_id", "card_id", F.col("s.q").alias("quantity"), F.col("s.avg").alias("avg_entry_price"),
-        F.get("fills", F.lit(0))["executed_at"].alias("entry_date"), F.get("fills", F.lit(0))["strategy"].alias("strategy"),
-    ).filter("quantity > 0")
+    kinds = {f.name: f.dataType.simpleString() for f in trades.schema.fields}
+    fills = trades.select(
+        "portfolio_id", "card_id", F.unix_micros("executed_at").alias("us"), "trade_id", "side", F.col("quantity").cast("long").alias("quantity"), F.col("price").cast("double").alias("price"),
+        F.col("strategy").cast("string").alias("strategy"), F.lit(None).cast("long").alias("opened"),
+    )
+    if before is not None:
+        fills = fills.unionByName(before.select(
+            "portfolio_id", "card_id", F.col("last_us").alias("us"), F.col("last_trade_id").alias("trade_id"), F.lit("state").alias("side"), "quantity", F.col("avg_entry_price").alias("price"), "strategy", F.col("entry_us").alias("opened"),
+        ))
+    placed = fills.repartition("portfolio_id", "card_id").sortWithinPartitions("portfolio_id", "card_id", F.col("side") != "state", "us", "trade_id")
+    shape = f"portfolio_id {kinds['portfolio_id']}, card_id {kinds['card_id']}, quantity long, avg_entry_price double, entry_us long, strategy string, last_us long, last_trade_id {kinds['trade_id']}"
+    return placed.mapInArrow(_fold, shape)
+
+
+def positions_from_trades(trades: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Open positions: fills folded in time order, a buy averages in, a sell keeps the average."""
+    held = position_snapshot(trades, before).filter("quantity > 0")
+    return held.select("portfolio_id", "card_id", "quantity", "avg_entry_price", F.timestamp_micros("entry_us").alias("entry_date"), "strategy")
 
 
 def fill_costs(orders: DataFrame, cards: DataFrame, liquidity: DataFrame, positions: DataFrame) -> DataFrame:
