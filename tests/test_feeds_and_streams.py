@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -59,6 +60,27 @@ def test_gate_state_survives_micro_batches(spark, tmp_path):
     assert got == {0: True, 1: False, 2: True}
 
 
+def test_gate_judges_in_order_of_time_whatever_the_files(spark, tmp_path):
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(c, 100 * c + k, start + dt.timedelta(hours=5 * k + c), round(rng.choice([10, 20, 45, 100]) * rng.uniform(0.5, 1.5), 2)) for c in (1, 2) for k in range(40)]
+    schema = "card_id long, event_id long, ts timestamp, price double"
+    rows.append((9, 999, start + dt.timedelta(days=30), 1.0))  # moves the watermark past all others
+    want = {}
+    for c in (1, 2):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[2], r[1]))
+        want |= dict(zip([r[1] for r in own], Z.gate_steps([(r[3], r[2]) for r in own], None)[0]))
+    by_time = sorted(rows, key=lambda r: (r[2], r[1]))
+    late = [r for i in range(0, len(by_time), 6) for r in by_time[i : i + 6][::-1]]  # up to 15 hours late
+    for n, (order, size) in enumerate([(by_time, 100), (by_time, 30), (late, 4)]):
+        folder = str(tmp_path / f"in{n}")
+        for i in range(0, len(order), size):
+            spark.createDataFrame(order[i : i + size], schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = Z.read_folder(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
+        got = {r["event_id"]: r["accepted"] for r in Z.run_available(Z.price_gate_stream(stream, delay="2 days")).collect()}
+        assert got == want and not all(got.values())
+
+
 def insight_files(spark, folder, layout):
     days = [(1, 1, 0), (2, 1, 20), (3, 2, 0), (4, 2, 1), (5, 5, 0)]  # id, day, hour; 24 h after the first is still its day
     for ids in layout:

@@ -67,9 +67,10 @@ def stream_daily_bars(t):
       UNION ALL SELECT event_id, card_id, price, k, ok, CASE WHEN ok THEN price ELSE lp END, CASE WHEN ok THEN ts ELSE lt END FROM (
         SELECT o.*, w.lp, w.lt, lp <= 0 OR (o.price / w.lp BETWEEN CASE WHEN far THEN 0.1 ELSE 0.33 END AND CASE WHEN far THEN 10 ELSE 3 END) AS ok
         FROM (SELECT * FROM w) w JOIN o ON o.card_id = w.card_id AND o.k = w.k + 1, LATERAL (SELECT epoch(o.ts - w.lt) >= 8 * 86400 AS far)))
-    SELECT * FROM w)""")
+    SELECT * FROM w JOIN (SELECT event_id, epoch_ms(ts) AS ms FROM ev) USING (event_id)) WHERE ms < (SELECT epoch_ms(max(ts)) FROM ev) - 86400000""")
 def stream_price_gate(t):
-    return Z.run_available(Z.price_gate_stream(events(t).select("card_id", "event_id", "ts", "price")))
+    """Prices that the watermark, a day behind the newest, has passed."""
+    return Z.run_available(Z.price_gate_stream(events(t).select("card_id", "event_id", "ts", "price"), delay="1 day"))
 
 
 @query("stream_alerts", """

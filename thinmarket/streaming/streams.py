@@ -7,6 +7,7 @@ are Parquet folders: nothing is kept on the driver.
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -107,9 +108,45 @@ def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame({"card_id": key[0], "event_id": rows["event_id"].to_numpy(), "price": rows["price"].to_numpy(), "accepted": accepted})
 
 
-def price_gate_stream(prices: DataFrame) -> DataFrame:
-    """Every price with whether the gate lets it pass (card_id, event_id, ts, price)."""
-    return prices.groupBy("card_id").applyInPandasWithState(_gate, GATE_OUTPUT, GATE_STATE, "append", GroupStateTimeout.NoTimeout)
+WAITING_STATE = T.StructType(
+    [
+        T.StructField("price", T.DoubleType()), T.StructField("at", T.LongType()), T.StructField("waiting_us", T.ArrayType(T.LongType())),
+        T.StructField("waiting_id", T.ArrayType(T.LongType())), T.StructField("waiting_price", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+
+def _gate_in_order(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Prices wait in the state until the watermark has passed them and are then judged by time, whatever batch brought them."""
+    price, at, us, ids, prices = state.get if state.exists else (None, None, [], [], [])
+    waiting = list(zip(us, ids, prices))
+    for f in batches:
+        waiting += zip(f["ts"].astype("datetime64[us]").astype("int64").tolist(), f["event_id"].tolist(), f["price"].tolist())
+    waiting.sort()
+    watermark = state.getCurrentWatermarkMs()
+    n = bisect.bisect_left(waiting, watermark, key=lambda w: w[0] // 1000)
+    last = None if price is None else (price, pd.Timestamp(at, unit="us"))
+    accepted, last = gate_steps([(p, pd.Timestamp(t, unit="us")) for t, _, p in waiting[:n]], last)
+    left = waiting[n:]
+    state.update((last and last[0], last and last[1].value // 1000, [t for t, _, _ in left], [i for _, i, _ in left], [p for _, _, p in left]))
+    if left:
+        state.setTimeoutTimestamp(max(left[0][0] // 1000, watermark + 1))
+    if n:
+        yield pd.DataFrame({"card_id": [key[0]] * n, "event_id": [i for _, i, _ in waiting[:n]], "price": [p for _, _, p in waiting[:n]], "accepted": accepted})
+
+
+def price_gate_stream(prices: DataFrame, delay: str | None = None) -> DataFrame:
+    """Every price with whether the gate lets it pass (card_id, event_id, ts, price).
+
+    With a ``delay`` a price is judged when the watermark, so far behind the newest time, has passed it:
+    prices that come late by less are judged in their order, and how files are split changes nothing. A card's state
+    holds its prices of one delay. A price that comes later than that is dropped, as by every watermark. Without a
+    delay each micro-batch is judged as it comes.
+    """
+    if delay is None:
+        return prices.groupBy("card_id").applyInPandasWithState(_gate, GATE_OUTPUT, GATE_STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = prices.withWatermark("ts", delay)
+    return timed.groupBy("card_id").applyInPandasWithState(_gate_in_order, GATE_OUTPUT, WAITING_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 ALERT_OUTPUT = T.StructType(
