@@ -266,11 +266,35 @@ def peak_since(positions: DataFrame, series: DataFrame, as_of: Column) -> DataFr
     return S._bracket(days, tops, ["card_id"], "entry_day").select("card_id", "entry_day", F.col("next.price").alias("peak"))
 
 
-def historic_exits(positions: DataFrame, panel: DataFrame, series: DataFrame, sim_date: Column) -> DataFrame:
-    """All exit reasons per open position; before the minimum hold only the stop counts."""
+def held_at_steps(positions: DataFrame, panel: DataFrame, series: DataFrame, start: Column, step: int) -> DataFrame:
+    """Every position at each step of the panel from its entry on, with ``peak``, the highest price from entry to step.
+
+    Bars are reduced to the highest price of each card between two steps. The part of the interval
+    that follows an entry is looked up by (card, interval); from there on a running maximum over the steps of a
+    position's (card, entry day) adds one interval at a time. Joins are on equal keys, and the window of a
+    lot holds one row a step.
+    """
+    of_day = lambda day: F.ceil(F.datediff(day, start) / step).cast("int")  # noqa: E731  number of the first step that sees the day
+    bars = series.select("card_id", F.col("date").alias("bar_day"), of_day(F.col("date")).alias("k"), F.col("price").alias("bar_price"))
+    between = bars.groupBy("card_id", "k").agg(F.max("bar_price").alias("top"))
+    at_step = panel.drop("strategy").withColumn("k", F.floor(F.datediff("sim_date", start) / step).cast("int"))
+    steps = between.join(at_step.select("card_id", "k", F.struct(*[c for c in at_step.columns if c not in ("card_id", "k")]).alias("seen")), ["card_id", "k"], "full")
+
+    entered = positions.withColumn("entry_day", F.to_date("entry_date"))
+    lots = entered.select("card_id", "entry_day", of_day(F.col("entry_day")).alias("k")).distinct()
+    first = lots.join(bars, ["card_id", "k"]).filter("bar_day >= entry_day").groupBy("card_id", "entry_day").agg(F.max("bar_price").alias("first_top"))
+    lots = lots.join(first, ["card_id", "entry_day"], "left").withColumnRenamed("k", "first_k")
+    w = Window.partitionBy("card_id", "entry_day").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    shown = lots.join(steps, "card_id").filter("k >= first_k").withColumn("peak", F.max(F.when(F.col("k") == F.col("first_k"), F.col("first_top")).otherwise(F.col("top"))).over(w))
+    shown = shown.filter("seen IS NOT NULL AND seen.sim_date >= entry_day").select("card_id", "entry_day", "peak", "seen.*")
+    return entered.join(shown, ["card_id", "entry_day"])
+
+
+def historic_exits(positions: DataFrame, panel: DataFrame, series: DataFrame, start: Column, step: int) -> DataFrame:
+    """All exit reasons per open position and step from its entry on; before the minimum hold only the stop counts."""
+    sim_date = F.col("sim_date")
     rows = (
-        positions.withColumn("entry_day", F.to_date("entry_date")).join(panel.drop("strategy"), "card_id")
-        .join(peak_since(positions, series, sim_date), ["card_id", "entry_day"], "left")
+        held_at_steps(positions, panel, series, start, step)
         .withColumn("gain", F.when(F.col("entry_price") > 0, (F.col("current_price") - F.col("entry_price")) / F.col("entry_price")).otherwise(0.0))
         .withColumn("days_held", F.datediff(sim_date, F.col("entry_day")))
     )
@@ -293,6 +317,6 @@ def historic_exits(positions: DataFrame, panel: DataFrame, series: DataFrame, si
     )
     hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(s).alias("strength"), F.lit(n).alias("reason"))) for n, s, c in checks]))
     return rows.withColumn("hits", hits).filter(F.size("hits") > 0).select(
-        "portfolio_id", "card_id", "strategy", F.array_join(F.transform("hits", lambda h: h["reason"]), ",").alias("reasons"),
+        "sim_date", "portfolio_id", "card_id", "strategy", F.array_join(F.transform("hits", lambda h: h["reason"]), ",").alias("reasons"),
         F.array_max(F.transform("hits", lambda h: h["strength"])).alias("strength"), rnd(gain * 100).alias("pnl_pct"), "days_held",
     )

@@ -79,17 +79,21 @@ def stale_cards(cards: DataFrame, bars: DataFrame, as_of: Column, days: int = 30
 
 def audit_top_cards(
     cards: DataFrame, bars: DataFrame, sales: DataFrame, sets: DataFrame, as_of: Column,
-    limit: int = 100, modern_from: str = "2020-01-01",
+    limit: int | None = 100, modern_from: str = "2020-01-01",
 ) -> DataFrame:
-    """Six checks on the dearest cards, one row per finding.
+    """Six checks on the dearest cards, or on all priced cards if ``limit`` is None, one row per finding.
 
-    The cards are cut first; bars and sales are then filtered by them before any aggregation.
+    With a limit the cards are cut first; bars and sales are then filtered by them before any aggregation.
     """
-    top = cards.filter("current_price > 0").orderBy(F.desc("current_price"), "card_id").limit(limit)
-    ids = F.broadcast(top.select("card_id"))  # at most `limit` ids
-    sold = A.median_sold(sales.join(ids, "card_id", "left_semi"), as_of, 90)
+    top = cards.filter("current_price > 0")
     variant = F.coalesce("price_variant", F.lit("normal"))
-    own = bars.join(F.broadcast(top.select("card_id", variant.alias("want"))), "card_id")
+    few = lambda df: df
+    if limit is not None:
+        top = top.orderBy(F.desc("current_price"), "card_id").limit(limit)
+        few = F.broadcast  # at most `limit` rows
+        sales = sales.join(few(top.select("card_id")), "card_id", "left_semi")
+    sold = A.median_sold(sales, as_of, 90)
+    own = bars.join(few(top.select("card_id", variant.alias("want"))), "card_id")
     same = F.col("variant") == F.col("want")
     place = F.struct("date", "seq", "condition")
 

@@ -54,6 +54,11 @@ class Tables:
         """Newest sale date as a scalar subquery: evaluated once, reused, never collected."""
         return self.sales.agg(F.max(F.to_date("order_date"))).scalar()
 
+    @cached_property
+    def first_day(self) -> Column:
+        """Oldest sale date as a scalar subquery."""
+        return self.sales.agg(F.min(F.to_date("order_date"))).scalar()
+
     @cached_property
     def n_cards(self) -> Column:
         """Number of cards as a scalar subquery; keys of other tables are folded onto all cards by it."""

@@ -191,7 +191,7 @@ def position_size(t):
     return panel(t).withColumn("sc", D.composite_buy_score(F.lit(0.9))).select("card_id", size.alias("copies"))
 
 
-START, STEP = "1995-01-02", 28
+STEP = 28
 view("pit_base", f"""
   WITH w AS (SELECT s.card_id, s.i, s.date, s.price AS current_price, s.mid, t.rsi, t.adx, t.e12, avg(s.price) OVER (q ROWS 59 PRECEDING) AS mean_60, stddev_pop(s.price) OVER (q ROWS 59 PRECEDING) AS std_60,
       CASE WHEN s.i >= 7 THEN avg(s.price) OVER (q ROWS 6 PRECEDING) END AS sma_7, CASE WHEN s.i >= 30 THEN avg(s.price) OVER (q ROWS 29 PRECEDING) END AS sma_30, CASE WHEN s.i >= 200 THEN avg(s.price) OVER (q ROWS 199 PRECEDING) END AS m200,
@@ -200,7 +200,7 @@ view("pit_base", f"""
       CASE WHEN s.i >= 20 THEN avg(s.price) OVER (q ROWS 19 PRECEDING) + 2 * stddev_samp(s.price) OVER (q ROWS 19 PRECEDING) END AS bu, CASE WHEN s.i >= 20 THEN greatest(0, avg(s.price) OVER (q ROWS 19 PRECEDING) - 2 * stddev_samp(s.price) OVER (q ROWS 19 PRECEDING)) END AS bl,
       max(s.price) OVER (q ROWS 29 PRECEDING) AS high_30, min(s.price) OVER (q ROWS 29 PRECEDING) AS low_30, max(s.price) OVER (q ROWS 89 PRECEDING) AS high_90, lag(s.price, 6) OVER q AS p7, lag(s.price, 13) OVER q AS p14, lag(s.price, 29) OVER q AS p30
     FROM dom_ser s JOIN dom_traj t ON t.card_id = s.card_id AND t.i = s.i WINDOW q AS (PARTITION BY s.card_id ORDER BY s.i)),
-  steps AS (SELECT CAST(unnest(generate_series(DATE '{START}', d, INTERVAL {STEP} DAY)) AS DATE) AS sim_date FROM as_of),
+  steps AS (SELECT CAST(unnest(generate_series((SELECT min(CAST(order_date AS DATE)) FROM sales), d, INTERVAL {STEP} DAY)) AS DATE) AS sim_date FROM as_of),
   hit AS (SELECT c.card_id, sim_date, max(w.i) AS i FROM steps CROSS JOIN (SELECT card_id FROM cards WHERE is_tracked AND current_price > 0) c JOIN w ON w.card_id = c.card_id AND w.date <= sim_date GROUP BY 1, 2),
   mon AS (SELECT card_id AS mc, date_trunc('month', order_date)::DATE AS m, count(*) AS k FROM sales GROUP BY 1, 2),
   r AS (SELECT hit.sim_date, w.*, coalesce(a.k, 0) AS m0, coalesce(b.k, 0) AS m1, coalesce(e.k, 0) AS m2 FROM hit JOIN w ON w.card_id = hit.card_id AND w.i = hit.i
@@ -215,8 +215,7 @@ view("pit_base", f"""
 
 
 def pit(t, strict: bool = False):
-    start = F.lit(START).cast("date")
-    return reuse(H.pit_panel(t.price_history, t.cards, t.sales, t.card_sets, start, t.as_of, STEP, F.expr(VINTAGE_SQL), strict))
+    return reuse(H.pit_panel(t.price_history, t.cards, t.sales, t.card_sets, t.first_day, t.as_of, STEP, F.expr(VINTAGE_SQL), strict))
 
 
 @query("pit_panel", """SELECT sim_date::VARCHAR AS sim_date, card_id, i::INT AS n_points, R4(current_price) AS current_price, regime, R4(rsi) AS rsi_14, R4(adx) AS adx, R4(sma_7) AS sma_7, R4(sma_30) AS sma_30, R4(high_30) AS high_30, R4(low_30) AS low_30,
@@ -288,10 +287,10 @@ def historic_signal_score(t):
 
 
 @query("historic_exit_rules", """
-  WITH last AS (SELECT * FROM pit_base WHERE sim_date = (SELECT max(sim_date) FROM pit_base)),
-  p AS (SELECT o.portfolio_id, o.strategy, avg_entry_price AS e, CAST(entry_date AS DATE) AS ed, l.* FROM open_pos o JOIN last l ON l.card_id = o.card_id),
-  a AS (SELECT p.*, (current_price - e) / e AS g, (sim_date - ed)::INT AS held, greatest(current_price, coalesce((SELECT max(s.price) FROM dom_ser s WHERE s.card_id = p.card_id AND s.date >= ed AND s.date <= sim_date), current_price)) AS pk,
-      (sim_date - ed) >= CASE strategy WHEN 'velocity_spike' THEN 14 WHEN 'accumulation_phase' THEN 21 WHEN 'mean_reversion_v2' THEN 30 ELSE 45 END AS ripe, strategy = 'vintage_value_buy' AS vin FROM p),
+  WITH p AS (SELECT o.portfolio_id, o.strategy, avg_entry_price AS e, CAST(entry_date AS DATE) AS ed, l.* FROM open_pos o JOIN pit_base l ON l.card_id = o.card_id AND l.sim_date >= CAST(entry_date AS DATE)),
+  tops AS (SELECT k.card_id, k.ed, k.sim_date, max(s.price) AS top FROM (SELECT DISTINCT card_id, ed, sim_date FROM p) k JOIN dom_ser s ON s.card_id = k.card_id AND s.date BETWEEN k.ed AND k.sim_date GROUP BY 1, 2, 3),
+  a AS (SELECT p.*, (current_price - e) / e AS g, (sim_date - ed)::INT AS held, greatest(current_price, coalesce(top, current_price)) AS pk,
+      (sim_date - ed) >= CASE strategy WHEN 'velocity_spike' THEN 14 WHEN 'accumulation_phase' THEN 21 WHEN 'mean_reversion_v2' THEN 30 ELSE 45 END AS ripe, strategy = 'vintage_value_buy' AS vin FROM p LEFT JOIN tops USING (card_id, ed, sim_date)),
   h AS (SELECT *, list_filter([CASE WHEN current_price <= e * 0.8 THEN {'r': 'stop_loss', 's': 1e0} END, CASE WHEN ripe AND current_price >= e * 1.4 THEN {'r': 'take_profit', 's': 0.9e0} END,
       CASE WHEN ripe AND g >= 0.2 AND current_price <= pk * 0.92 AND pk > e THEN {'r': 'trailing_stop', 's': 0.85e0} END,
       CASE WHEN ripe AND strategy NOT IN ('mean_reversion_v2', 'vintage_value_buy') AND q7 >= q30 AND sma_7 < sma_30 THEN {'r': 'death_cross', 's': 0.7e0} END,
@@ -299,13 +298,10 @@ def historic_signal_score(t):
       CASE WHEN ripe AND strategy NOT IN ('mean_reversion_v2', 'vintage_value_buy') AND regime IN ('distribution', 'markdown') THEN {'r': 'bearish_regime', 's': 0.6e0} END,
       CASE WHEN ripe AND spd < 0.05 THEN {'r': 'liquidity_dry', 's': 0.5e0} END, CASE WHEN ripe AND held > CASE WHEN vin THEN 365 ELSE 180 END AND g < CASE WHEN vin THEN 0.05 ELSE 0.1 END THEN {'r': 'stale', 's': 0.45e0} END,
       CASE WHEN ripe AND month(sim_date) IN (11, 12) AND g > 0.05 THEN {'r': 'seasonal', 's': 0.55e0} END], lambda v: v IS NOT NULL) AS v FROM a)
-  SELECT portfolio_id, card_id, strategy, array_to_string(list_transform(v, lambda z: z.r), ',') AS reasons, list_max(list_transform(v, lambda z: z.s)) AS strength, R2(g * 100) AS pnl_pct, held AS days_held FROM h WHERE len(v) > 0""")
+  SELECT sim_date::VARCHAR AS sim_date, portfolio_id, card_id, strategy, array_to_string(list_transform(v, lambda z: z.r), ',') AS reasons, list_max(list_transform(v, lambda z: z.s)) AS strength, R2(g * 100) AS pnl_pct, held AS days_held FROM h WHERE len(v) > 0""")
 def historic_exit_rules(t):
-    steps = F.floor(F.datediff(t.as_of, F.lit(START).cast("date")) / STEP).cast("int") * STEP
-    last = F.date_add(F.lit(START).cast("date"), steps)
-    rows = pit(t).filter(F.col("sim_date") == last)
     series = S.dedup_by_date(S.dominant_variant(t.price_history))
-    return H.historic_exits(open_positions(t), rows, series, last)
+    return H.historic_exits(open_positions(t), pit(t), series, t.first_day, STEP)
 
 
 @query("fill_costs", f"""

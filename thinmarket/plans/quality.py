@@ -34,8 +34,8 @@ def enforce_quality(t):
     return out.select("card_id", F.coalesce("n_bars", F.lit(0)).alias("n_bars"), "latest", "removed")
 
 
-@query("audit_top_cards", """
-  WITH top AS (SELECT * FROM cards WHERE current_price > 0 ORDER BY current_price DESC, card_id LIMIT 100),
+_AUDIT = """
+  WITH top AS (SELECT * FROM cards WHERE current_price > 0 {cut}),
   s AS (SELECT card_id, R2(quantile_cont(purchase_price, 0.5)) AS med, count(*) AS k FROM sday WHERE od >= d - 90 AND purchase_price > 0 GROUP BY 1),
   p AS (SELECT h.card_id, max(date) AS latest, arg_max(market_price, (date, seq, condition)) FILTER (WHERE variant = want AND condition = 'Near Mint') AS nm,
       arg_max(market_price, (date, seq, condition)) FILTER (WHERE variant = want AND condition = 'Lightly Played') AS lp, arg_max(market_price, (date, seq, condition)) FILTER (WHERE variant = want) AS now,
@@ -47,11 +47,21 @@ def enforce_quality(t):
     UNION ALL SELECT *, 'stale_data', d - latest FROM a WHERE d - latest > 14
     UNION ALL SELECT *, 'zero_sales_expensive', current_price FROM a WHERE current_price > 20 AND k = 0
     UNION ALL SELECT *, 'condition_inversions', R0((lp / nm - 1) * 100) FROM a WHERE lp > nm * 1.2
-    UNION ALL SELECT *, 'extreme_changes', ch FROM a WHERE ch > 500 OR ch < -90)""")
+    UNION ALL SELECT *, 'extreme_changes', ch FROM a WHERE ch > 500 OR ch < -90)"""
+
+
+@query("audit_top_cards", _AUDIT.replace("{cut}", "ORDER BY current_price DESC, card_id LIMIT 100"))
 def audit_top_cards(t):
     return Q.audit_top_cards(t.cards, t.price_history, t.sales, t.card_sets, t.as_of, modern_from="1998-01-01")
 
 
+@query("audit_cards", f"""SELECT category, count(*) AS n_cards, R2(sum(value)) AS total, min(card_id) AS first_card FROM ({_AUDIT.replace("{cut}", "")}) GROUP BY 1""")
+def audit_cards(t):
+    """All priced cards: findings by category."""
+    found = Q.audit_top_cards(t.cards, t.price_history, t.sales, t.card_sets, t.as_of, limit=None, modern_from="1998-01-01")
+    return found.groupBy("category").agg(F.count("*").alias("n_cards"), rnd(F.sum("value")).alias("total"), F.min("card_id").alias("first_card"))
+
+
 @query("variant_mismatch_candidates", """
   WITH v AS (SELECT card_id, variant, avg(market_price) AS m FROM price_history WHERE variant <> 'normal' OR card_id % 2 = 0 GROUP BY 1, 2),
   o AS (SELECT card_id, max(m) FILTER (WHERE variant = 'normal') AS pref, min(m) AS low, arg_min(variant, m) AS lv FROM v GROUP BY 1)
