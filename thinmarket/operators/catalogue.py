@@ -9,6 +9,7 @@ from thinmarket.functions import economics as E
 from thinmarket.functions import text as X
 from thinmarket.functions.numeric import pct_change, rnd
 from thinmarket.operators import sales as A
+from thinmarket.operators.containment import containing
 
 LISTABLE = ("name", "set_name", "rarity", "current_price", "card_id")
 
@@ -47,29 +48,11 @@ def card_with_set(cards: DataFrame, sets: DataFrame) -> DataFrame:
     return cards.join(sets, "set_id", "left")
 
 
-def substring_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """(low, base): distinct texts that contain a needle, without comparing all pairs.
-
-    Every distinct text ``low`` is cut into its distinct substrings, which then meet the needles
-    ``base`` in an ordinary equi-join.
-    """
-    n = F.length("low")
-    cuts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), n),
-                lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("low"), i, k)),
-            )
-        )
-    )
-    return texts.filter(n > 0).select("low", F.explode(cuts).alias("base")).join(needles, "base")
-
-
 def name_matches(cards: DataFrame) -> DataFrame:
     """Distinct lower-case names with the base names they contain."""
     names = cards.select(F.lower("name").alias("low")).distinct()
     bases = cards.select(F.lower(X.base_name(F.col("name"))).alias("base")).distinct()
-    return substring_pairs(names, bases)
+    return containing(names, bases)
 
 
 def similar_cards(cards: DataFrame, prices: DataFrame, as_of: Column, key: str = "card_id", k: int = 3) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thinmarket.functions import text as X
+from thinmarket.operators.containment import containing
 
 # Headings that open and close the recommendation section.
 SECTION_STARTS = ("portfolio recommendations", "core holdings")
 SECTION_ENDS = ("watchlist", "where the desk agrees", "key risks", "the honest answer")
 MAX_PRICE_DISTANCE = 0.75
-GRAM = 4
 
 
 def plain_marks(text: Column) -> Column:
@@ -51,18 +51,12 @@ def recommendation_blocks(texts: DataFrame) -> DataFrame:
 def candidates(blocks: DataFrame, cards: DataFrame) -> DataFrame:
     """Blocks with every priced card whose name occurs in the line.
 
-    Lines and names meet on the first letters of the name: a line offers all its short runs, a
-    name its first one, so the join is an equi-join and ``contains`` only confirms.
+    Distinct lines and distinct names meet through the index of ``containment``.
     """
     names = cards.filter("current_price > 0 AND name IS NOT NULL").select(
         "card_id", "current_price", plain_marks(F.lower("name")).alias("low_name"), plain_marks(F.lower(F.coalesce("set_name", F.lit("")))).alias("low_set")
-    ).withColumn("gram", F.substring("low_name", 1, GRAM))
-    n = F.length("low")
-    grams = F.array_distinct(
-        F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.substring(F.col("low"), i, k))))
     )
-    lines = blocks.filter(n > 0).withColumn("gram", F.explode(grams))
-    hits = lines.join(names, "gram").filter(F.col("low").contains(F.col("low_name"))).drop("gram").distinct()
+    hits = blocks.join(containing(blocks, names, "low", "low_name"), "low").join(names, "low_name")
     distance = F.abs(F.col("current_price") - F.col("line_price")) / F.greatest(F.col("line_price"), F.lit(1.0))
     return (
         hits.withColumn("price_dist", F.when(F.col("line_price") > 0, distance))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thinmarket.functions import text as X
 from thinmarket.functions.numeric import rnd
-from thinmarket.operators.catalogue import substring_pairs
+from thinmarket.operators.containment import containing
 
 # Names of printings in the bulk feed and in the price-point feed.
 SUBTYPE_TO_VARIANT = {
@@ -424,7 +424,7 @@ def discover_products(groups: DataFrame, products: DataFrame, entries: DataFrame
     synthetic = cards.filter("tcg_id LIKE 'tcgcsv-%'").select("tcg_id", F.lit(True).alias("synthetic"))
     titles = groups.select("groupId", X.set_title(F.col("name")).alias("title"))
     sets = cards.select("set_name").distinct().withColumn("low", F.lower("set_name"))
-    pairs = substring_pairs(sets.select("low").distinct(), titles.select(F.col("title").alias("base")).distinct())
+    pairs = containing(sets.select("low").distinct(), titles.select(F.col("title").alias("base")).distinct())
     close = titles.join(pairs.withColumnRenamed("base", "title"), "title").join(sets, "low").select("groupId", "set_name")
     numbered = cards.groupBy("set_name", "number").agg(F.min("card_id").alias("card_id"))
     match = dear.join(close, "groupId").join(numbered, ["set_name", "number"]).groupBy("productId").agg(F.min("card_id").alias("match_id"))
