@@ -44,6 +44,17 @@ def test_append_new_keeps_first(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b"), (3, "c")]
 
 
+def test_overlay_rewrites_touched_partitions_only(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    shape = "k int, year int, v string, seq int"
+    sinks.append_new(spark.createDataFrame([(1, 2000, "b", 2), (1, 2000, "a", 1), (2, 2001, "c", 1), (3, 2001, "d", 1), (None, 2001, "n", 1)], shape), path, ["k", "year"], ["year"], ["seq"])
+    untouched = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t" / "year=2000").iterdir()}
+    sinks.overlay_partitions(spark.createDataFrame([(2, 2001, "late", 9), (2, 2001, "new", 5), (None, 2001, "m", 1), (7, 2002, "e", 1)], shape), path, ["k", "year"], ["year"], f"{tmp_path}/s", ["seq"])
+    got = sorted(((r.k or 0, r.year, r.v) for r in spark.read.parquet(path).collect()))
+    assert got == [(0, 2001, "m"), (1, 2000, "a"), (2, 2001, "new"), (3, 2001, "d"), (7, 2002, "e")]
+    assert {f.name: f.stat().st_mtime_ns for f in (tmp_path / "t" / "year=2000").iterdir()} == untouched
+
+
 def test_gate_widens_after_a_week():
     at = dt.datetime(2024, 1, 1)
     rows = [(10.0, at), (40.0, at + dt.timedelta(days=1)), (25.0, at + dt.timedelta(days=2)), (90.0, at + dt.timedelta(days=12))]

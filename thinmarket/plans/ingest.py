@@ -284,9 +284,29 @@ def write_tables(t):
     return saved.groupBy("year").agg(F.count("*").alias("n_rows"), rnd(F.sum("market_price")).alias("total")).withColumn("year", F.col("year").cast("long"))
 
 
+@query("overlay_tables", """
+  SELECT year(date) AS year, count(*) AS n_rows, R2(sum(CASE WHEN card_id % 3 = 0 AND year(date) = year(d) THEN market_price * 2 ELSE market_price END)) AS total FROM price_history, as_of
+  WHERE NOT (year(date) = year(d) - 1 AND card_id % 2 = 0) GROUP BY 1""")
+def overlay_tables(t):
+    """Stored bars, then corrected prices of the newest year laid over, then the year before written anew with half of its cards."""
+    base = f"{checkpoint_root(t.spark)}/bars-{uuid.uuid4().hex}"
+    keys = ["card_id", "date", "variant", "condition"]
+    bars = t.price_history.withColumn("year", F.year("date"))
+    sinks.append_new(bars, f"{base}/bars", keys, ["year"])
+    fixed = bars.filter((F.col("card_id") % 3 == 0) & (F.col("year") == F.year(t.as_of)))
+    # Each correction comes twice; the one with the smaller seq counts.
+    twice = fixed.withColumn("market_price", F.col("market_price") * 2).unionByName(fixed.withColumns({"market_price": F.lit(0.0), "seq": F.col("seq") + 1}))
+    sinks.overlay_partitions(twice, f"{base}/bars", keys, ["year"], f"{base}/staged", ["seq"])
+    sinks.replace_partitions(bars.filter((F.col("year") == F.year(t.as_of) - 1) & (F.col("card_id") % 2 == 1)), f"{base}/bars", ["year"])
+    saved = t.spark.read.parquet(f"{base}/bars")
+    return saved.groupBy("year").agg(F.count("*").alias("n_rows"), rnd(F.sum("market_price")).alias("total")).withColumn("year", F.col("year").cast("long"))
+
+
 @query("export_csv", """SELECT name AS "Name", set_name AS "Set", printf('%.2f', current_price) AS "Price", printf('%.1f', R1(least(100, appreciation_score / (1 + exp(-0.1e0 * (liq - 30))) + rarity_score * 0.15e0))) AS "Investment Score",
   printf('%.1f', liquidity_score::DOUBLE) AS "Liquidity", printf('%.1f', appreciation_score) AS "Appreciation", regime AS "Regime", printf('%.2f', est_profit) AS "Est Profit", printf('%.1f', R1(est_profit / current_price * 100)) AS "Return %",
   printf('%.2f', sales_per_day) AS "Velocity" FROM cand""")
 def export_csv(t):
     rows = G.candidates(t.cards, G.batch_metrics(t.price_history, t.cards, t.sales, t.as_of))
-    return sinks.screener_export(rows)
+    page, path = sinks.screener_export(rows), f"{checkpoint_root(t.spark)}/screener-{uuid.uuid4().hex}"
+    sinks.export_csv(page, path)
+    return t.spark.read.schema(page.schema).option("header", True).csv(path)

@@ -22,15 +22,29 @@ def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return like.limit(0)
 
 
-def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
+def first_of_each(df: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
+    """One row per key: the first by ``order_by``, by all other columns without it; nulls come first."""
+    order = order_by or [c for c in df.columns if c not in keys]
+    if not order:
+        return df.dropDuplicates(keys)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    best = df.groupBy(*keys).agg(F.min_by(row, F.struct(*[F.col(f"`{c}`") for c in order])).alias("__row"))
+    return best.select(*[F.col("__row")[c].alias(c) for c in df.columns])
+
+
+def without_keys(df: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``df`` whose keys ``keyed`` lacks; a null key equals a null key."""
+    seen = keyed.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keys)])
+    return df.join(seen, reduce(and_, [df[k].eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]), "left_anti")
+
+
+def append_new(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None, order_by: list[str] | None = None) -> None:
     """Insert-if-absent: rows whose keys the table lacks, each key once; a null key equals a null key.
 
-    The write replaces nothing, so a lost executor only repeats its own tasks.
+    Of several rows with a key the first by ``order_by`` is taken. The write replaces nothing, so a lost
+    executor only repeats its own tasks.
     """
-    have = read_or_empty(df.sparkSession, path, df)
-    seen = have.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keys)])
-    same = reduce(and_, [df[k].eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)])
-    fresh = df.join(seen, same, "left_anti").dropDuplicates(keys)
+    fresh = first_of_each(without_keys(df, read_or_empty(df.sparkSession, path, df), keys), keys, order_by)
     writer = fresh.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
@@ -40,11 +54,19 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def overlay_to(df: DataFrame, old_path: str, new_path: str, keys: list[str]) -> None:
-    """Rows of the old table overlaid by ``df`` on the keys, written to a new folder."""
-    old = df.sparkSession.read.parquet(old_path)
-    kept = old.join(df.select(*keys), keys, "left_anti")
-    kept.unionByName(df, allowMissingColumns=True).write.mode("error").parquet(new_path)
+def overlay_partitions(df: DataFrame, path: str, keys: list[str], partition_by: list[str], staging: str, order_by: list[str] | None = None) -> None:
+    """Lays rows over a table by key and rewrites only the partitions that they touch.
+
+    A key's partition must not change, so ``partition_by`` has to follow from the keys. Only the
+    touched partitions are read. The merged rows are written to the new folder ``staging`` first and replace the partitions
+    from there, so a job that is stopped between the two loses nothing: the last step can be done again from ``staging``.
+    """
+    spark = df.sparkSession
+    new = first_of_each(df, keys, order_by)
+    touched = new.select(*partition_by).distinct()
+    old = spark.read.parquet(path).join(F.broadcast(touched), partition_by, "left_semi").select(*df.columns)  # one row per partition
+    without_keys(old, new, keys).unionByName(new).write.mode("error").parquet(staging)
+    replace_partitions(spark.read.parquet(staging), path, partition_by)
 
 
 def screener_export(page: DataFrame) -> DataFrame:
