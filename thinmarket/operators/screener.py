@@ -10,6 +10,7 @@ from thinmarket.functions import folds as K
 from thinmarket.functions.numeric import clamp, rnd
 from thinmarket.operators import series as S
 from thinmarket.operators.panel import with_sales
+from thinmarket.sources.sinks import read_or_empty
 
 # Collectibility by rarity, 0 to 100.
 RARITY_SCORES = {
@@ -130,6 +131,16 @@ def liquidity_history_rows(metrics: DataFrame, history: DataFrame, as_of: Column
     return today.join(history.select("card_id", "date"), ["card_id", "date"], "left_anti")
 
 
+def record_liquidity(metrics: DataFrame, path: str, as_of: Column) -> None:
+    """Adds the day's liquidity to the history at ``path``, partitioned by day; cards that have a row of the day keep it.
+
+    So a second run on a day adds nothing. Only the day's partition is read.
+    """
+    today = metrics.select("card_id", as_of.alias("date"), "liquidity_score", "sales_30d", "sales_90d", rnd(F.col("spread_pct")).alias("spread_pct"))
+    stored = read_or_empty(metrics.sparkSession, path, today).filter(F.col("date") == as_of)
+    liquidity_history_rows(metrics, stored, as_of).write.mode("append").partitionBy("date").parquet(path)
+
+
 def demand_bonus(name: Column) -> Column:
     words = F.split(name, r"\s+")
     out = F.lit(0)

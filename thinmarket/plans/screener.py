@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from thinmarket.functions.numeric import rnd
 from thinmarket.operators import screener as G
 from thinmarket.plans.indicators import breakeven_sql, liquidity_sql, r4, time_to_sell_sql, trajectory_sql
 from thinmarket.plans.registry import query, view
+from thinmarket.session import checkpoint_root
 
 APP_SCORE = """R1(least(100, greatest(0, CASE WHEN r >= 0.5 THEN r * 40 WHEN r >= 0.3 THEN (r - 0.3e0) / 0.2e0 * 20 ELSE 0 END
    + CASE WHEN s > 0 THEN least(35, s * 175) ELSE 0 END + CASE WHEN w >= 55 THEN least(25, (w - 50) * 2.5e0) WHEN w >= 45 THEN 5 ELSE 0 END)))"""
@@ -105,6 +108,23 @@ def liquidity_trend(t):
     return G.liquidity_trend(weekly, t.as_of)
 
 
+@query("liquidity_history", """
+  SELECT card_id, (d - 30)::DATE::VARCHAR AS date, liquidity_score, sales_30d, sales_90d, R2(spread_pct) AS spread_pct FROM metrics, as_of WHERE card_id % 2 = 0
+  UNION ALL SELECT card_id, d::VARCHAR, CASE WHEN card_id % 5 = 1 THEN 1 ELSE liquidity_score END, sales_30d, sales_90d, R2(spread_pct) FROM metrics, as_of""")
+def liquidity_history(t):
+    """The trend of 90 days read from a history that was appended to by day.
+
+    The store holds some cards of 200 and 30 days ago and a first row of today; two runs of today then add the rest once.
+    """
+    path = f"{checkpoint_root(t.spark)}/liquidity-{uuid.uuid4().hex}"
+    rows = metrics(t)
+    for days, some in ((200, rows), (30, rows.filter("card_id % 2 = 0")), (0, rows.filter("card_id % 5 = 1").withColumn("liquidity_score", F.lit(1)))):
+        G.record_liquidity(some, path, F.date_sub(t.as_of, days))
+    for _ in range(2):
+        G.record_liquidity(rows, path, t.as_of)
+    return G.liquidity_trend(t.spark.read.parquet(path), t.as_of).select("card_id", "date", "liquidity_score", "sales_30d", "sales_90d", "spread_pct")
+
+
 _FLIP = """SELECT card_id, name, current_price, med0 AS median_sold, sales_per_day, R4(med0 - current_price * 1.1255e0) AS flip_profit, R4((med0 - current_price * 1.1255e0) / current_price * 100) AS flip_roi,
   CASE WHEN sc >= 70 AND breakeven_adjusted_slope > 0 THEN 'Good Value' WHEN sc < 30 OR breakeven_adjusted_slope < -0.1 THEN 'Overpriced' ELSE 'Fair' END AS badge,
   R4((current_price - med0) / med0 * 100) AS spread_pct
