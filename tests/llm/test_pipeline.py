@@ -5,6 +5,7 @@ import hashlib
 import corpus_pipeline as C
 from test_bpe import CODER
 from test_decontaminate import plain as leaks
+from test_lines import repeats
 from test_neighbours import linked_groups
 from thinmarket.llm import quality as Q
 
@@ -29,6 +30,15 @@ def test_stages(spark, tmp_path):
             lines = lambda texts: {x for t in texts for x in t.split("\n")}
             assert lines(before.values()) == lines(r.text for r in rows.values())  # every line keeps a copy
             assert all(set(r.text.split("\n")) <= set(before[i].split("\n")) for i, r in rows.items())
+            want = repeats(list(before.items()))  # lines of passages that stand earlier: nothing else goes, and nearly all of these do
+            gone = 0
+            for i, t in before.items():
+                split, kept = t.split("\n"), rows[i].text.split("\n") if i in rows else []
+                rest = iter(kept)
+                assert all(any(x == y for y in rest) for j, x in enumerate(split) if j not in want[i])
+                gone += len(split) - len(kept)
+            total = sum(map(len, want.values()))
+            assert gone >= 0.9 * total > 0
         elif name == "ngram_jaccard_join":
             groups = linked_groups(list(before.items()))
             texts = [r.text for r in rows.values()]
