@@ -1,10 +1,13 @@
 """Rendering by hand-worked pages and word for word; archives by exact round trips."""
 
+import io
 import random
 import re
+import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from thinmarket.llm import archive as A
 from thinmarket.llm import render as R
@@ -74,6 +77,33 @@ def test_archive_round_trip(spark, tmp_path):
 def test_dictionary_helps_and_frames_stand_alone():
     records = [A.record(str(i), f"https://x.org/{i}", f"<html><head><title>{i}</title></head><body>{i * 7}</body></html>".encode(), None, False) for i in range(400)]
     data = A.archive_bytes(records)
-    assert list(A.archive_records(data)) == records
+    assert list(A.archive_records(io.BytesIO(data))) == records
     assert len(data) < sum(len(zlib.compress(r)) for r in records)
-    assert list(A.archive_records(A.archive_bytes(records[:1]))) == records[:1]
+    assert list(A.archive_records(io.BytesIO(A.archive_bytes(records[:1])))) == records[:1]
+
+
+def test_reading_is_linear_and_tells_cut_files():
+    records = [A.record(str(i), None, random.Random(i).randbytes(i % 50_000), None, False) for i in range(4000)]
+    data = A.archive_bytes(records)
+    start = time.perf_counter()
+    assert list(A.archive_records(io.BytesIO(data))) == records
+    assert time.perf_counter() - start < 2
+    with pytest.raises(ValueError):
+        list(A.archive_records(io.BytesIO(data[:-5])))
+    with pytest.raises(ValueError):
+        list(A.archive_records(io.BytesIO(data[8:])))
+
+
+def test_odd_ids_and_a_task_per_file(spark, tmp_path):
+    ids = ["a\r\nPage-ID: b", "", " x: y ", "é%0A", None, "a\r\nPage-ID: b"]
+    df = spark.createDataFrame([(i, None, f"<p>{i}") for i in ids], "page_id string, url string, html string")
+    got = [r.page_id for r in A.round_trip(df, f"file://{tmp_path}/odd").collect()]
+    assert sorted(got, key=str) == sorted(ids, key=str)
+    many = spark.range(4000).selectExpr("id AS page_id", "'u' AS url", "repeat(CAST(id AS STRING), 50) AS html").repartition(3)
+    files = A.write_archives(many, f"file://{tmp_path}/many", file_bytes=40_000)
+    n = files.count()
+    read = A.read_archives(files, f"file://{tmp_path}/many")
+    tasks = read.rdd.getNumPartitions()
+    assert tasks == min(n, 4 * spark.sparkContext.defaultParallelism) and n > 8
+    per_task = read.groupBy(F.spark_partition_id()).count().count()
+    assert per_task > tasks // 2 and read.count() == 4000

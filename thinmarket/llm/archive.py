@@ -7,7 +7,9 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from itertools import islice
+from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -20,6 +22,7 @@ from thinmarket.session import checkpoint_root, ensure_checkpoint_dir
 #: Fixed value of the format: the magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 FILE_BYTES, DICTIONARY_BYTES = 64 << 20, 64 << 10
+READ_BYTES, BATCH_ROWS = 16 << 10, 10_000
 COLUMNS = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
@@ -39,10 +42,10 @@ def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str
     head = {
         "WARC-Type": "revisit" if is_revisit else "response", "WARC-Record-ID": name(page_id), "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=%~"), "WARC-Payload-Digest": f"sha1:{own}",
-        "Content-Type": "application/http; msgtype=response", "Page-ID": page_id,
+        "Content-Type": "application/http; msgtype=response", "Page-ID": None if page_id is None else quote(page_id, safe=""),
     }
     if is_revisit:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": name(refers_to), "Refers-To-Page-ID": refers_to}
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": name(refers_to), "Refers-To-Page-ID": None if refers_to is None else quote(refers_to, safe="")}
     lines = [f"{k}: {v}" for k, v in head.items() if v is not None] + [f"Content-Length: {len(block)}"]
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -56,7 +59,8 @@ def parsed(data: bytes) -> tuple[str | None, int, str, str, str | None]:
     own = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "response" and (len(payload) != size or digest(payload) != own):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-    return fields.get("Page-ID"), size, own, fields["WARC-Type"], fields.get("Refers-To-Page-ID")
+    page_id, refers_to = (None if fields.get(k) is None else unquote(fields[k]) for k in ("Page-ID", "Refers-To-Page-ID"))
+    return page_id, size, own, fields["WARC-Type"], refers_to
 
 
 def archive_bytes(records: list[bytes], dictionary_bytes: int = DICTIONARY_BYTES) -> bytes:
@@ -72,19 +76,25 @@ def archive_bytes(records: list[bytes], dictionary_bytes: int = DICTIONARY_BYTES
     return struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed + b"".join(map(write.compress, records))
 
 
-def archive_records(data: bytes) -> Iterator[bytes]:
+def archive_records(source: BinaryIO) -> Iterator[bytes]:
+    """The records of an open file in order. Only the record at hand is in memory, and each byte is read once."""
     import zstandard as z
 
-    magic, size = struct.unpack_from("<II", data)
+    magic, size = struct.unpack("<II", source.read(8))
     if magic != DICTIONARY_FRAME:
         raise ValueError("no dictionary frame")
-    content = z.ZstdDecompressor().decompress(data[8 : 8 + size])
+    content = z.ZstdDecompressor().decompress(source.read(size))
     kind = z.DICT_TYPE_FULLDICT if content[:4] == b"\x37\xa4\x30\xec" else z.DICT_TYPE_RAWCONTENT
-    read, rest = z.ZstdDecompressor(dict_data=z.ZstdCompressionDict(content, dict_type=kind)), data[8 + size :]
-    while rest:
-        one = read.decompressobj()
-        yield one.decompress(rest)
-        rest = one.unused_data
+    read, waiting = z.ZstdDecompressor(dict_data=z.ZstdCompressionDict(content, dict_type=kind)), source.read(READ_BYTES)
+    while waiting:
+        one, parts = read.decompressobj(), []
+        while not one.eof:
+            if not waiting:
+                raise ValueError("the last record is cut off")
+            parts.append(one.decompress(waiting))
+            waiting = one.unused_data if one.eof else source.read(READ_BYTES)
+        yield b"".join(parts)
+        waiting = waiting or source.read(READ_BYTES)
 
 
 def _writer(folder: str, file_bytes: int):
@@ -115,13 +125,16 @@ def _writer(folder: str, file_bytes: int):
 
 
 def _reader(folder: str):
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with store.open_input_stream(f"{base}/{name}") as f:
-                    rows = list(zip(*map(parsed, archive_records(f.read()))))
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64() if k == 1 else pa.string()) for k, r in enumerate(rows)], [c.split()[0] for c in COLUMNS.split(", ")])
+                    records = map(parsed, archive_records(f))
+                    while some := list(islice(records, BATCH_ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64() if k == 1 else pa.string()) for k, r in enumerate(zip(*some))], names)
 
     return run
 
@@ -135,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     built from all of its records, so any file can be read alone. Files of lost or repeated attempts
     lie beside the others but are not in the list. The list is stored, so nothing is written twice.
 
-    Null html is an empty payload. A null id never is the smallest unless there is no other. Null urls
+    Null html is an empty payload. Ids are percent-encoded in the heads. A null id never is the smallest unless there is no other. Null urls
     have no target. Empty tables write nothing. ``folder`` must be shared by driver and executors.
     """
     ensure_checkpoint_dir(pages.sparkSession)
@@ -151,8 +164,14 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
 
 def read_archives(files: DataFrame, folder: str, page_id_type: str = "long") -> DataFrame:
-    """One row per record of the listed files: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    rows = files.select("file").repartition("file").mapInArrow(_reader(folder), COLUMNS)
+    """One row per record of the listed files: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    The list is far too small for the engine to split by its size, so the number of tasks is stated: one
+    per file, up to four per core. Null file names are left out.
+    """
+    names = files.select("file").filter("file IS NOT NULL")
+    tasks = min(names.count(), 4 * names.sparkSession.sparkContext.defaultParallelism)
+    rows = names.repartitionByRange(max(tasks, 1), "file").mapInArrow(_reader(folder), COLUMNS)
     return rows.withColumn("page_id", F.col("page_id").cast(page_id_type)).withColumn("refers_to", F.col("refers_to").cast(page_id_type))
 
 
