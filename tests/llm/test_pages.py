@@ -41,6 +41,63 @@ def test_nothing_visible_is_lost(html, text):
     assert R.visible_text(html) == text
 
 
+SPANS = [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a | b\n  | c"), ("<table><tr><td colspan=2>wide title<tr><td>a<td>b</table>", "wide title\na | b"),
+    ("<table><tr><td>a<td rowspan=2>b<tr><td>c<tr><td>d<td>e</table>", "a | b\nc\nd | e"), ("<table><tr><td colspan=1000>a<tr><td>b<td>c</table>", "a\nb | c"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a | b\nc | d"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
+    ("<table><tr><td>カード<td>x<tr><td>abc<td>y</table>", "カード | x\nabc    | y"), ("<table><tr><td colspan=x rowspan=-1>a<td>b<tr><td>c</table>", "a | b\nc"),
+    ("<div style='visibility:hidden'>no<br><b style='visibility: visible'>yes</b>no</div>", "yes"), ("<input value=go type=submit><input type=hidden value=no>", "go"),
+]
+
+
+@pytest.mark.parametrize("html,text", SPANS)
+def test_spans_and_visibility(html, text):
+    assert R.visible_text(html) == text
+
+
+def test_tables_against_a_painted_grid():
+    """Cells are put into a matrix slot by slot and painted character by character."""
+    rng = random.Random(4)
+    for _ in range(200):
+        high, wide = rng.randint(1, 6), rng.randint(1, 6)
+        grid, cells = {}, []
+        for r in range(high):
+            for c in range(wide):
+                if (r, c) not in grid:
+                    most = next((k for k in range(1, wide - c) if (r, c + k) in grid), wide - c)
+                    cells.append((r, c, rng.randint(1, min(most, 3)), rng.randint(1, min(high - r, 3)), rng.choice("abc") * rng.randint(1, 9)))
+                    grid |= {(r + i, c + k): len(cells) for i in range(cells[-1][3]) for k in range(cells[-1][2])}
+        html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}" for rr, _, w, h, t in cells if rr == r) for r in range(high)) + "</table>"
+        starts = sorted({c for _, c, *_ in cells})
+        width = {c: max([len(t) for _, k, w, _, t in cells if k == c and sum(c <= s < c + w for s in starts) == 1], default=0) for c in starts}
+        for _, c, w, _, t in cells:
+            inside = [s for s in starts if c <= s < c + w]
+            width[inside[-1]] += max(0, len(t) - sum(width[s] for s in inside) - 3 * (len(inside) - 1))
+        left = {c: sum(width[s] + 3 for s in starts if s < c) for c in starts}
+        lines = []
+        for r in range(high):
+            own = [(c, t) for rr, c, _, _, t in cells if rr == r]
+            if own:
+                line = [" "] * 200
+                for c in starts:
+                    if 0 < c <= own[-1][0] and grid[r, c] != grid[r, c - 1]:
+                        line[left[c] - 2] = "|"
+                for c, t in own:
+                    line[left[c] : left[c] + len(t)] = t
+                lines.append("".join(line).rstrip())
+        assert R.visible_text(html) == "\n".join(lines).strip("\n")
+
+
+@pytest.mark.parametrize("html", [
+    "<b>" * 50_000 + "</i>" * 50_000, "<i><table><td>" + "<b>" * 50_000 + "</i>" * 50_000, "<b>" * 50_000 + "<p>" * 50_000, "<tr><td rowspan=65534>x" * 5000,
+    "<table>" + "<tr><td rowspan=65534 colspan=1000>x" * 20_000, "<table><tr><td>" + "long " * 100_000 + "<td>x" + "<tr><td>a<td>b" * 20_000,
+])
+def test_odd_pages_take_time_in_proportion(html):
+    start = time.perf_counter()
+    text = R.visible_text(html)
+    assert time.perf_counter() - start < 10 and len(text) < 400 * len(html)
+
+
 def test_every_visible_word_once(spark):
     rng = random.Random(6)
     tags = "p div li ul ol table tr td b span h2 article pre".split()

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
+from unicodedata import category, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +30,16 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     **{s: ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}) for s in ("tbody", "thead", "tfoot")}, "body": ({"head"}, set()),
 }
-INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+TABLE_PARTS = frozenset("table tbody tfoot thead tr".split())
+#: Form fields whose value is not text that a reader sees.
+NO_VALUE = frozenset("checkbox color file hidden image password radio range".split())
+#: Limits of spans that HTML sets.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
+#: Columns of a table are padded to this width at most, so that one long line does not widen every row.
+ALIGNED = 200
 
 
 class Node:
@@ -38,7 +49,15 @@ class Node:
         self.tag, self.attrs, self.children = tag, dict(attrs), []
 
     def hidden(self) -> bool:
-        return self.tag in HIDDEN or "hidden" in self.attrs or bool(INVISIBLE.search(self.attrs.get("style") or ""))
+        return self.tag in HIDDEN or "hidden" in self.attrs or bool(UNSHOWN.search(self.attrs.get("style") or ""))
+
+    def visible(self, inherited: bool) -> bool:
+        told = VISIBILITY.findall(self.attrs.get("style") or "")
+        return told[-1].lower() == "visible" if told else inherited
+
+    def number(self, name: str, least: int, most: int) -> int:
+        told = re.match(r"\s*\+?(\d{1,9})", self.attrs.get(name) or "")
+        return min(int(told[1]), most) if told and int(told[1]) >= least else 1
 
 
 def shown_options(select: Node) -> list[Node]:
@@ -66,17 +85,27 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.places = defaultdict(list)  # of the open elements by name, so that no tag walks the stack
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, i: int) -> None:
+        for node in self.open[i:]:
+            self.places[node.tag].pop()
+        del self.open[i:]
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def end_implied(self, tag: str) -> None:
         ends, fence = IMPLIED.get(tag, ({"p"}, {"td", "th", "li", "div", "button", "article", "section"}) if tag in BLOCK else (set(), set()))
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in ends:
-                while i > 1 and self.open[i - 1].tag in ends:
-                    i -= 1
-                del self.open[i:]
-                return
-            if self.open[i].tag in fence or self.open[i].tag in CELLS and tag not in IMPLIED:
-                return
+        i = self.last(ends)
+        if i > self.last(fence if tag in IMPLIED else fence | CELLS):
+            while i > 1 and self.open[i - 1].tag in ends:
+                i -= 1
+            self.cut(i)
 
     def parse_marked_section(self, i, report=1):
         """Declarations that the parser does not know or that never end are comments."""
@@ -93,31 +122,28 @@ class TreeBuilder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.open[-1].tag == "head" and tag not in HEAD:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         self.end_implied(tag)
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self.push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self.cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in CELLS and tag not in ("tr", "table", "tbody", "thead", "tfoot"):
-                return
+        i = self.last((tag,))
+        if i and (tag in TABLE_PARTS or i >= self.last(CELLS)):
+            self.cut(i)
 
     def handle_data(self, data):
         if self.cdata_elem in TEXT:
             data = unescape(data)
         if self.open[-1].tag == "head" and data.strip(" \t\n\f\r"):
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
@@ -160,15 +186,75 @@ class Canvas:
         self.gap |= spaced
 
 
-def _table(rows: list[list[list[str]]]) -> list[str]:
-    """Cells side by side, every column as wide as its widest line."""
-    wide = max(map(len, rows), default=0)
-    widths = [max((len(line) for row in rows if k < len(row) for line in row[k]), default=0) for k in range(wide)]
-    out = []
-    for row in rows:
-        for n in range(max((len(c) for c in row), default=0)):
-            out.append(" | ".join((row[k][n] if k < len(row) and n < len(row[k]) else "").ljust(widths[k]) for k in range(wide)).rstrip())
-    return out
+class Table:
+    """Rows of (lines, columns, rows) cells; row groups begin at ``groups``."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.groups: set[int] = set()
+
+    def placed(self, spans: bool = True) -> list[list[tuple[int, int, list[str] | None]]]:
+        """Per row (from, to, lines) in order of columns; lines are None where a cell from above reaches in.
+
+        Rows that reach far down in very many columns would fill an area out of proportion to the cells;
+        beyond 64 places a cell every cell counts as one row high. No text depends on it.
+        """
+        out, held, area = [], [], 64 * sum(map(len, self.rows)) + 1000
+        for r, row in enumerate(self.rows):
+            held = [] if r in self.groups else [h for h in held if h[2] > r]
+            places, k, at = [], 0, 0
+            for lines, columns, rows in row:
+                while k < len(held) and held[k][0] <= at:
+                    at, k = max(at, held[k][1]), k + 1
+                end = min(at + columns, held[k][0] if k < len(held) else at + columns)
+                places.append((at, end, lines, r + rows if rows else len(self.rows)))
+                at = end
+            out.append(sorted([(a, b, None) for a, b, _ in held] + [p[:3] for p in places], key=lambda p: p[0]))
+            area -= len(out[-1])
+            if area < 0 and spans:
+                return self.placed(False)
+            held = sorted(held + [(a, b, last) for a, b, _, last in places if spans and last > r + 1])
+        return out
+
+    def lines(self) -> list[str]:
+        """Cells side by side. A column is as wide as its widest line, up to ``ALIGNED``; a spanning cell widens its last one."""
+        rows = self.placed()
+        starts = sorted({p[0] for row in rows for p in row})  # columns in which nothing starts have no width
+        at = {a: i for i, a in enumerate(starts)}
+        rows = [[(at[a], bisect_left(starts, b), lines) for a, b, lines in row] for row in rows]
+        widths, spanning = [0] * len(starts), []
+        for row in rows:
+            for i, j, lines in row:
+                need = min(max(map(shown_width, lines or ()), default=0), ALIGNED)
+                if j - i == 1:
+                    widths[i] = max(widths[i], need)
+                elif need:
+                    spanning.append((i, j, need))
+        for i, j, need in spanning:
+            widths[j - 1] += max(need - sum(widths[i:j]) - 3 * (j - i - 1), 0)
+        offsets = [0]
+        for w in widths:
+            offsets.append(offsets[-1] + w + 3)
+        out = []
+        for row in rows:
+            while row and row[-1][2] is None:
+                row.pop()
+            for n in range(max((len(lines or ()) for _, _, lines in row), default=0)):
+                parts, done = [], 0
+                for i, j, lines in row:
+                    if i > done:
+                        parts.append(" " * (offsets[i] - offsets[done] - 3))
+                    text, done = lines[n] if lines and n < len(lines) else "", j
+                    parts.append(text + " " * (offsets[j] - offsets[i] - 3 - shown_width(text)))
+                out.append(" | ".join(parts).rstrip())
+        return out
+
+
+def shown_width(text: str) -> int:
+    """Columns that a terminal gives the text: two for wide characters, none for marks."""
+    if text.isascii():
+        return len(text)
+    return sum(2 if east_asian_width(c) in "WF" else 0 if category(c) in ("Mn", "Me", "Cf") else 1 for c in text)
 
 
 def visible_text(html: str | None) -> str:
@@ -176,32 +262,39 @@ def visible_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    canvases, tables, lists, keep = [Canvas()], [], [], 0
+    canvases, tables, lists, keep, shown = [Canvas()], [], [], 0, [True]
     todo: list[tuple[Node | str, bool]] = [(builder.root, False)]
     while todo:
         node, leaving = todo.pop()
         c = canvases[-1]
         if isinstance(node, str):
-            c.text(node, keep > 0)
+            if shown[-1]:
+                c.text(node, keep > 0)
             continue
         tag = node.tag
         if not leaving:
             if node.hidden():
                 continue
+            seen = node.visible(shown[-1])
             if tag == "br":
-                c.end(True)
+                if seen:
+                    c.end(True)
                 continue
             if tag == "hr":
                 c.block(True)
                 continue
             if tag == "img":
-                c.text(node.attrs.get("alt") or "", False)
+                c.text(node.attrs.get("alt") or "" if seen else "", False)
+                continue
+            if tag == "input":
+                if seen and (node.attrs.get("type") or "").strip().lower() not in NO_VALUE:
+                    c.text(node.attrs.get("value") or "", False)
                 continue
             if tag == "select":
                 node.children = shown_options(node)
             if tag in CELLS and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
+                if not tables[-1].rows:
+                    tables[-1].rows.append([])
                 canvases.append(Canvas())
             elif tag in BLOCK:
                 c.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
@@ -210,10 +303,12 @@ def visible_text(html: str | None) -> str:
             elif tag == "textarea":
                 node.children = ["".join(node.children).removeprefix("\n")]
             if tag == "table":
-                tables.append([])
+                tables.append(Table())
                 canvases.append(Canvas())
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].rows.append([])
+            elif tag in ("tbody", "thead", "tfoot") and tables:
+                tables[-1].groups.add(len(tables[-1].rows))
             elif tag in ("ul", "ol", "menu"):
                 lists.append(0 if tag == "ol" else None)
                 c.indent += 4 if tag == "ol" else 2
@@ -222,19 +317,21 @@ def visible_text(html: str | None) -> str:
                     lists[-1] += 1
                 c.mark = f"{lists[-1]}. " if lists and lists[-1] is not None else "- "
             keep += tag in KEPT
+            shown.append(seen)
             todo.append((node, True))
             todo.extend((child, False) for child in reversed(node.children))
             continue
         keep -= tag in KEPT
+        shown.pop()
         if tag in CELLS and tables:
             c.end()
             canvases.pop()
-            tables[-1][-1].append(c.lines)
+            tables[-1].rows[-1].append((c.lines, node.number("colspan", 1, MOST_COLUMNS), node.number("rowspan", 0, MOST_ROWS)))
         elif tag == "table":
             c.end()
             canvases.pop()
             outer = canvases[-1]
-            for line in c.lines + _table(tables.pop()):  # a caption and strays stand above the cells
+            for line in c.lines + tables.pop().lines():  # a caption and strays stand above the cells
                 outer.put(line)
                 outer.end(True)
             outer.block(True)
@@ -257,10 +354,12 @@ def render_pages(pages: DataFrame, page_id: str = "page_id", html: str = "html")
     """(page_id, text): everything a reader of a scraped page sees, whole, one row per page.
 
     A tree is built with the ends that HTML implies; scripts, styles, heads and what ``hidden`` or an
-    inline style hides give nothing. A head ends where something stands that it cannot hold. Text areas
-    give their text, a select its chosen option or, if it is a list, all of them. Unknown declarations
+    inline style hides give nothing, but a visible part of an invisible element is shown. Style sheets are
+    not read, and details count as opened. A head ends where something stands that it cannot hold. Text areas
+    give their text, fields their value, a select its chosen option or, if it is a list, all of them. Unknown declarations
     are comments. Blocks start lines, paragraphs, headings, lists and tables stand
-    apart by a blank line, list items are marked and indented, table cells are padded to columns,
+    apart by a blank line, list items are marked and indented, table cells are padded to columns by
+    their spans and shown width (lines beyond 200 columns run over; missing and spanned last cells leave nothing),
     preformatted text keeps its spaces, images give their alternative text.
 
     Null, empty and text-free html gives an empty text; unclosed tags end with the page. Null and
