@@ -97,12 +97,17 @@ class TreeBuilder(HTMLParser):
         del self.open[i:]
 
     def last(self, tags) -> int:
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        most = 0
+        for t in tags:
+            at = self.places.get(t)
+            if at and at[-1] > most:
+                most = at[-1]
+        return most
 
     def end_implied(self, tag: str) -> None:
         ends, fence = IMPLIED.get(tag, ({"p"}, {"td", "th", "li", "div", "button", "article", "section"}) if tag in BLOCK else (set(), set()))
         i = self.last(ends)
-        if i > self.last(fence if tag in IMPLIED else fence | CELLS):
+        if i and i > self.last(fence) and (tag in IMPLIED or i > self.last(CELLS)):
             while i > 1 and self.open[i - 1].tag in ends:
                 i -= 1
             self.cut(i)
