@@ -9,6 +9,7 @@ from thinmarket.functions import text as X
 from thinmarket.operators import backtest as B
 from thinmarket.operators import catalogue as C
 from thinmarket.operators import ledger as G
+from thinmarket.operators import market as M
 from thinmarket.operators import picks as P
 from thinmarket.operators import sales as A
 from thinmarket.operators import series as S
@@ -48,6 +49,46 @@ def test_nearest_price_earlier_wins_and_tolerance(spark):
     assert back == {1: 10.0, 2: 10.0, 3: 20.0, 4: 20.0}
 
 
+def test_holdings_summary_by_hand(spark):
+    rows = [(1, 10, "NM", 120.0, 20.0, 20.0), (1, 11, "NM", 50.0, -50.0, -50.0), (1, 12, "LP", 60.0, 10.0, 20.0), (1, 13, "NM", 500.0, 500.0, None), (2, 10, "NM", 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "portfolio_id long, card_id long, condition string, value double, pnl double, pnl_pct double")
+    got = {r.portfolio_id: r for r in G.holdings_summary(df).collect()}
+    one, two = got[1], got[2]
+    assert (one.holdings, one.total_value, one.total_cost, one.total_pnl) == (4, 730.0, 250.0, 480.0)
+    assert (one.best_card_id, one.best_pct, one.worst_card_id, one.worst_pct) == (10, 20.0, 11, -50.0)  # 12 ties, 13 has no cost
+    assert (one.largest_card_id, one.largest_pct) == (13, round(500 / 730 * 100, 2))
+    assert (two.best_card_id, two.worst_card_id, two.largest_card_id, two.largest_pct, two.total_pnl) == (None, None, None, 0.0, None)
+    assert G.holdings_summary(df.limit(0)).count() == 0
+
+
+def test_recent_trades_are_cut_before_the_shuffle(spark):
+    rows = spark.range(5000).select(F.col("id").alias("trade_id"), (F.col("id") % 50 == 0).cast("long").alias("portfolio_id"), (F.col("id") % 3).alias("card_id"), (F.col("id") / 2).cast("long").cast("timestamp").alias("executed_at"))
+    df = G.recent_trades(rows, spark.createDataFrame([(0, "a"), (1, None)], "card_id long, name string"))
+    assert "WindowGroupLimit" in df._jdf.queryExecution().toString()
+    got = sorted((r.rank, r.trade_id, r.card_name) for r in df.filter("portfolio_id = 0").collect())
+    want = [i for i in range(4999, 0, -1) if i % 50][:20]
+    assert got == [(k + 1, i, "a" if i % 3 == 0 else "Unknown") for k, i in enumerate(want)]
+
+
+def test_snapshots_carry_the_last_mark_of_the_day(spark):
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    marks = spark.createDataFrame([(1, 1, at(1, 9), 110.0, 60.0, 50.0, 2), (1, 2, at(1, 17), 120.0, 20.0, 100.0, 3), (1, 3, at(2, 9), 90.0, 90.0, None, 0)], "portfolio_id long, mark_id long, marked_at timestamp, total_value double, cash double, positions_value double, num_positions int")
+    got = [(r.total_value, r.daily_pnl, r.cash, r.positions_value, r.num_positions, r.drawdown_pct) for r in G.daily_snapshots(marks, 100.0).orderBy("date").collect()]
+    assert got == [(120.0, 20.0, 20.0, 100.0, 3, 0.0), (90.0, -30.0, 90.0, None, 0, 25.0)]
+    assert "cash" not in G.daily_snapshots(marks.drop("cash"), 100.0).columns
+
+
+def test_overview_tiers_count_viable_cards_and_totals_tracked_ones(spark):
+    cards = spark.createDataFrame([
+        (1, "a", "s", "n", True, 200.0, True), (2, "b", "s", "n", False, 60.0, True), (3, "c", "s", "n", True, 30.0, False), (4, "d", "s", "n", True, None, True),
+    ], "card_id long, name string, set_name string, price_variant string, is_tracked boolean, current_price double, is_viable boolean")
+    bars = spark.createDataFrame([(1, day(1), "n", 100.0), (1, day(10), "n", 200.0), (3, day(1), "n", 40.0), (3, day(10), "n", 30.0)], "card_id long, date date, variant string, market_price double")
+    rows = {r.section: r for r in M.market_overview(cards, bars, F.lit(day(10))).collect()}
+    m = rows["market"]
+    assert (m.total_cards, m.avg_price, m.total_value, m.min_price, m.max_price) == (2, 115.0, 230.0, 30.0, 200.0) and (m.premium, m.mid_high, m.mid) == (1, 1, 0)
+    assert (rows["gainer"].card_id, rows["gainer"].change_pct, rows["loser"].card_id, rows["loser"].change_pct) == (1, 100.0, 3, -25.0)
+
+
 def wild_series(spark, n_cards=12, n=90, seed=11):
     rng = random.Random(seed)
     rows = []

@@ -255,6 +255,15 @@ def equity_metrics(curve: DataFrame, sells: DataFrame, periods_per_year: int = T
     )
 
 
+def equity_by_strategy(sells: DataFrame) -> DataFrame:
+    """Closed trades of each strategy: how many, how many won, their rate, total and mean profit. Break-even is not won."""
+    pnl = F.col("pnl")
+    return sells.groupBy("strategy").agg(
+        F.count("*").alias("count"), F.count_if(pnl > 0).alias("wins"), rnd(F.count_if(pnl > 0) / F.count("*") * 100, 1).alias("win_rate"),
+        rnd(F.sum(pnl)).alias("total_pnl"), rnd(F.avg(pnl)).alias("avg_pnl"),
+    )
+
+
 def monthly_returns(curve: DataFrame, trades: DataFrame) -> DataFrame:
     """First to last value of each month with the trades made in it."""
     month = F.date_format("date", "yyyy-MM").alias("month")

@@ -272,6 +272,11 @@ def signal_summary(scan: DataFrame, metrics: DataFrame) -> DataFrame:
     return rules.unionByName(regimes.select(F.lit("regime").alias("section"), "key", "value")).unionByName(total)
 
 
+def top_signals(scan: DataFrame, limit: int = 20) -> DataFrame:
+    """The signals with the highest composite score, then by card and rule. A top-k, nothing is ranked as a whole."""
+    return scan.orderBy(F.desc(rnd(F.col("composite_score"), 6)), "card_id", "strategy").limit(limit)
+
+
 def exit_signals(positions: DataFrame, panel: DataFrame, as_of: Column) -> DataFrame:
     """First exit rule that holds for each open position.
 

@@ -89,6 +89,17 @@ def analyze(packed: DataFrame, *carry: str) -> DataFrame:
     )
 
 
+def with_activity(packed: DataFrame) -> DataFrame:
+    """The ``bars`` rows with the activity score and what it is made of, a small part of the whole analysis."""
+    bars, p = F.col("bars"), F.col("p")
+    parts = packed.withColumn("p", prices_of("bars")).select(
+        "card_id", "bars", K.volatility(p).alias("volatility"), K.spread_ratio(bars).alias("spread_ratio"), K.momentum_accel(p).alias("momentum_accel"),
+        price_changes(bars)["change_7d"].alias("change_7d"), F.size(p).alias("n_points"),
+    )
+    score = K.activity_score(F.col("volatility"), F.col("spread_ratio"), F.col("momentum_accel"), F.col("change_7d"), F.col("n_points"))
+    return parts.withColumn("activity_score", score)
+
+
 def chosen_bars(bars: DataFrame, cards: DataFrame) -> DataFrame:
     """Selection, dominant variant and spike filter; one row per card with its bars."""
     chosen = S.dominant_variant(S.select_series(bars, cards))

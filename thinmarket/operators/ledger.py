@@ -138,12 +138,16 @@ def mark_to_market(portfolios: DataFrame, positions: DataFrame, cards: DataFrame
 
 
 def daily_snapshots(marks: DataFrame, capital: float) -> DataFrame:
-    """One row per portfolio and day from timed marks; the last mark of a day wins."""
+    """One row per portfolio and day from timed marks; the last mark of a day wins.
+
+    Of ``cash``, ``positions_value`` and ``num_positions`` those that the marks have come along, from the same mark.
+    """
+    carried = [c for c in ("cash", "positions_value", "num_positions") if c in marks.columns]
     w = Window.partitionBy("portfolio_id").orderBy("date")
     total = F.col("total_value")
     daily = marks.groupBy("portfolio_id", F.to_date("marked_at").alias("date")).agg(
-        F.max_by("total_value", F.struct("marked_at", "mark_id")).alias("total_value")
-    )
+        F.max_by(F.struct("total_value", *carried), F.struct("marked_at", "mark_id")).alias("mark")
+    ).select("portfolio_id", "date", "mark.*")
     peak = F.greatest(F.lit(capital), F.max("total_value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = daily.withColumn("prev", F.coalesce(F.lag("total_value").over(w), F.lit(capital))).withColumn("high_water_mark", peak)
     return rows.select(
@@ -152,6 +156,7 @@ def daily_snapshots(marks: DataFrame, capital: float) -> DataFrame:
         rnd(total - capital).alias("cumulative_pnl"), rnd((total - capital) / capital * 100).alias("cumulative_pnl_pct"),
         rnd(F.col("high_water_mark")).alias("high_water_mark"),
         rnd((F.col("high_water_mark") - total) / F.col("high_water_mark") * 100).alias("drawdown_pct"),
+        *[F.col(c) if c == "num_positions" else rnd(F.col(c)).alias(c) for c in carried],
     )
 
 
@@ -177,6 +182,16 @@ def portfolio_summary(trades: DataFrame, snapshots: DataFrame) -> DataFrame:
     return curve.join(sells, "portfolio_id", "left")
 
 
+def recent_trades(trades: DataFrame, cards: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest trades of each portfolio with the card's name; trades of one moment by falling id.
+
+    The rank filter cuts every portfolio's rows before the shuffle, so one with most of all trades is no hot key.
+    """
+    w = Window.partitionBy("portfolio_id").orderBy(F.desc("executed_at"), F.desc("trade_id"))
+    newest = trades.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return newest.join(cards.select("card_id", F.col("name").alias("card_name")), "card_id", "left").withColumn("card_name", F.coalesce("card_name", F.lit("Unknown")))
+
+
 def sharpe(snapshots: DataFrame) -> DataFrame:
     r = F.col("daily_pnl_pct")
     return snapshots.groupBy("portfolio_id").agg(
@@ -242,6 +257,25 @@ def holdings_valuation(lots: DataFrame, cards: DataFrame, table: str = "holdings
     )
 
 
+def holdings_summary(valued: DataFrame) -> DataFrame:
+    """Totals of each owner's valued lots with the best, worst and largest holding; the smallest (card, condition) wins ties."""
+    value, pct, key = F.col("value"), F.col("pnl_pct"), F.struct("card_id", "condition")
+    cost = value - F.col("pnl")
+    # Ranks by aggregation, so that an owner with most of all lots meets in no window.
+    best, worst, most = (F.struct(by.alias("by"), key.alias("of")) for by in (-pct, pct, -value))
+    known = pct.isNotNull()
+    sums = valued.groupBy("portfolio_id").agg(
+        F.count("*").alias("holdings"), F.sum(value).alias("v"), F.sum(cost).alias("c"), F.max(value).alias("largest"),
+        F.min(F.when(known, best)).alias("b"), F.min(F.when(known, worst)).alias("w"), F.min(most).alias("m"),
+    )
+    total, paid = F.col("v"), F.col("c")
+    return sums.select(
+        "portfolio_id", "holdings", rnd(total).alias("total_value"), rnd(paid).alias("total_cost"), F.when(paid > 0, rnd(total - paid)).alias("total_pnl"),
+        F.col("b.of.card_id").alias("best_card_id"), F.negative("b.by").alias("best_pct"), F.col("w.of.card_id").alias("worst_card_id"), F.col("w.by").alias("worst_pct"),
+        F.when(total > 0, F.col("m.of.card_id")).alias("largest_card_id"), F.when(total > 0, rnd(F.col("largest") / total * 100)).otherwise(0.0).alias("largest_pct"),
+    )
+
+
 def sold_summary(sold: DataFrame) -> DataFrame:
     """Total profit, mean return and win rate of sold lots (break-even counts as a win)."""
     profit = (F.col("sold_price") - F.col("cost")) * F.col("quantity")

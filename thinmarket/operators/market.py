@@ -59,15 +59,18 @@ def set_relative_strength(bars: DataFrame, cards: DataFrame, as_of: Column, days
 
 
 def hot_cards(bars: DataFrame, cards: DataFrame, limit: int = 12) -> DataFrame:
-    """Most active cards of all that have ten bars and a price."""
+    """Most active cards of all that have ten bars and a price.
+
+    All cards are ranked by their activity alone; only those of the list are analysed in full.
+    """
     live = cards.filter("is_tracked AND current_price >= 2.0")
     stats = own_variant(bars, live).groupBy("card_id").agg(F.count("*").alias("n"), F.avg("market_price").alias("avg_price"))
     fit_ids = stats.filter("n >= 10 AND avg_price >= 2.0").select("card_id")
-    full = I.analyze_cards(bars.join(fit_ids, "card_id", "left_semi"), cards.join(fit_ids, "card_id", "left_semi"))
+    packed = I.chosen_bars(bars.join(fit_ids, "card_id", "left_semi"), cards.join(fit_ids, "card_id", "left_semi"))
     odd = F.coalesce(F.col("volatility") > 500, F.lit(False)) | F.coalesce(F.abs("change_7d") > 500, F.lit(False))
-    ranked = full.withColumn("fit", F.col("activity_score").isNotNull() & ~odd)
-    # Filtered above the limit: pushed below it, the filter would repeat the analysis.
-    top = ranked.orderBy(F.desc("fit"), F.desc("activity_score"), "card_id").limit(limit).filter("fit")
+    ranked = I.with_activity(packed).withColumn("fit", F.col("activity_score").isNotNull() & ~odd)
+    # Filtered above the limit: pushed below it, the filter would repeat the folds.
+    top = I.analyze(ranked.orderBy(F.desc("fit"), F.desc("activity_score"), "card_id").limit(limit).filter("fit").select("card_id", "bars"))
     everything = Window.partitionBy(F.lit(1))  # at most limit rows
     low, high = F.min("activity_score").over(everything), F.max("activity_score").over(everything)
     scaled = F.when(high > low, rnd((F.col("activity_score") - low) / (high - low) * 100, 1)).otherwise(F.col("activity_score"))
@@ -134,6 +137,25 @@ def weekly_recap(bars: DataFrame, cards: DataFrame, weeks: DataFrame, limit: int
     return lines.unionByName(base)
 
 
+def current_recap(bars: DataFrame, cards: DataFrame, as_of: Column, limit: int = 5) -> DataFrame:
+    """The running week: movers, hottest cards and the totals of current prices.
+
+    The index changes against the mean of the bars of exactly seven days ago; without any it is null.
+    """
+    old = bars.filter((F.col("date") == F.date_sub(as_of, 7)) & (F.col("market_price") > 0)).agg(F.avg("market_price")).scalar()
+    avg = F.col("avg_price")
+    index = market_index(cards, bars).select(
+        F.lit("index").alias("side"), F.lit(0).alias("rank"), avg.alias("price"), F.when(old > 0, rnd((avg - old) / old * 100)).alias("change_pct"),
+        "total_cards", "total_market_cap",
+    )
+    moved = top_movers(bars, cards, as_of, 7, limit).withColumn("by", F.abs("change_pct"))
+    hot = hot_cards(bars, cards, limit).withColumn("side", F.lit("hottest")).withColumn("change_pct", F.col("change_7d")).withColumn("by", F.col("activity_score"))
+    cols = ["side", "card_id", "name", F.col("current_price").alias("price"), "change_pct", "by"]
+    listed = moved.select(*cols).unionByName(hot.select(*cols))
+    w = Window.partitionBy("side").orderBy(F.desc("by"), "card_id")  # at most limit rows a side
+    return index.unionByName(listed.withColumn("rank", F.row_number().over(w)).drop("by"), allowMissingColumns=True)
+
+
 def set_analytics(cards: DataFrame, metrics: DataFrame, min_cards: int = 5) -> DataFrame:
     return (
         cards.filter(LIVE).join(metrics, "card_id", "left").groupBy("set_name")
@@ -146,14 +168,22 @@ def set_analytics(cards: DataFrame, metrics: DataFrame, min_cards: int = 5) -> D
     )
 
 
-def market_overview(cards: DataFrame) -> DataFrame:
+def market_overview(cards: DataFrame, bars: DataFrame, as_of: Column, limit: int = 5) -> DataFrame:
+    """One ``market`` row of totals and tiers, then the top movers as ``gainer`` and ``loser`` rows.
+
+    Totals are those of tracked cards; tiers count viable cards (``is_viable``), tracked or not.
+    """
     price = F.col("current_price")
-    return cards.filter(LIVE).agg(
-        F.count("*").alias("total_cards"), rnd(F.avg(price)).alias("avg_price"), rnd(F.sum(price)).alias("total_value"),
-        F.min(price).alias("min_price"), F.max(price).alias("max_price"),
-        F.count_if(price >= 100).alias("premium"), F.count_if((price >= 50) & (price < 100)).alias("mid_high"),
-        F.count_if((price >= 20) & (price < 50)).alias("mid"),
-    )
+    live, viable = F.col("is_tracked"), F.coalesce("is_viable", F.lit(False))
+    own = F.when(live, price)
+    totals = cards.filter("current_price > 0").agg(
+        F.count_if(live).alias("total_cards"), rnd(F.avg(own)).alias("avg_price"), rnd(F.sum(own)).alias("total_value"),
+        F.min(own).alias("min_price"), F.max(own).alias("max_price"),
+        F.count_if(viable & (price >= 100)).alias("premium"), F.count_if(viable & (price >= 50) & (price < 100)).alias("mid_high"),
+        F.count_if(viable & (price >= 20) & (price < 50)).alias("mid"),
+    ).withColumn("section", F.lit("market"))
+    moved = top_movers(bars, cards, as_of, 7, limit).select(F.col("side").alias("section"), "card_id", "name", "set_name", "current_price", "change_pct")
+    return totals.unionByName(moved, allowMissingColumns=True)
 
 
 def set_concentration(cards: DataFrame, limit: int = 10) -> DataFrame:
@@ -182,6 +212,14 @@ def sales_liquidity_panel(sales: DataFrame, cards: DataFrame, as_of: Column) ->
     )
 
 
+def sales_totals(sales: DataFrame, as_of: Column) -> DataFrame:
+    """The totals above the panel: all sales, cards that have any, sales of the last 30 days. Counts a card first."""
+    per_card = sales.groupBy("card_id").agg(F.count("*").alias("n"), F.count_if(A.since(as_of, 30)).alias("r"))
+    return per_card.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_sales"), F.count("card_id").alias("cards_with_sales"), F.coalesce(F.sum("r"), F.lit(0)).alias("sales_last_30d"),
+    )
+
+
 def sales_stats(sales: DataFrame) -> DataFrame:
     """Exact distinct count by pre-grouping, so one hot card costs one row."""
     per_card = sales.groupBy("card_id").agg(F.count("*").alias("c"), F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))

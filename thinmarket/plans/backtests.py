@@ -209,6 +209,13 @@ def equity_metrics(t):
     return B.equity_metrics(rows.select("card_id", "date", "value"), closed_trades(rows))
 
 
+@query("equity_by_strategy", """SELECT strategy, count(*) AS count, count(*) FILTER (WHERE price > entry) AS wins, R1(count(*) FILTER (WHERE price > entry) * 100 / count(*)) AS win_rate, R2(sum(price - entry)) AS total_pnl, R2(avg(price - entry)) AS avg_pnl
+  FROM bt_eq WHERE action = 'sell' GROUP BY 1""")
+def equity_by_strategy(t):
+    sells = B.equity(source(t)).filter("action = 'sell'")
+    return B.equity_by_strategy(sells.select("strategy", (F.col("price") - F.col("entry")).alias("pnl")))
+
+
 @query("monthly_returns", """SELECT card_id, strftime(date, '%Y-%m') AS month, R2((arg_max(value, i) / arg_min(value, i) - 1) * 100) AS return_pct, count(*) FILTER (WHERE action = 'sell') AS n_trades FROM eqm GROUP BY 1, 2""")
 def monthly_returns(t):
     rows = B.equity(source(t), ("combined",))

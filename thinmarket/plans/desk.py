@@ -122,6 +122,11 @@ def signal_summary(t):
     return D.signal_summary(D.scan_signals(panel(t)), G.batch_metrics(t.price_history, t.cards, t.sales, t.as_of))
 
 
+@query("top_signals", """SELECT card_id, strategy, strength, composite_score, current_price AS entry_price, target_price, stop_loss FROM desk_scan ORDER BY R6(composite_score) DESC, card_id, strategy LIMIT 20""")
+def top_signals(t):
+    return D.top_signals(D.scan_signals(panel(t))).select("card_id", "strategy", "strength", "composite_score", "entry_price", "target_price", "stop_loss")
+
+
 def positions(t):
     return L.positions_from_trades(t.trades)
 
@@ -343,18 +348,20 @@ def leaderboard(t):
 view("snaps", """
   SELECT *, R2(total_value - prev) AS daily_pnl, R2((total_value - prev) / prev * 100) AS daily_pnl_pct, R2(total_value - 5000) AS cumulative_pnl, R2((total_value - 5000) / 5000 * 100) AS cumulative_pnl_pct, R2((hwm - total_value) / hwm * 100) AS drawdown_pct FROM (
     SELECT *, coalesce(lag(total_value) OVER (PARTITION BY portfolio_id ORDER BY date), 5000) AS prev, greatest(5000, max(total_value) OVER (PARTITION BY portfolio_id ORDER BY date)) AS hwm FROM (
-      SELECT o_custkey AS portfolio_id, CAST(o_orderdate AS DATE) AS date, arg_max(3000 + o_totalprice / 100, (o_orderdate, o_orderkey)) AS total_value FROM orders GROUP BY 1, 2))""")
+      SELECT o_custkey AS portfolio_id, CAST(o_orderdate AS DATE) AS date, arg_max(3000 + o_totalprice / 100, (o_orderdate, o_orderkey)) AS total_value, 3000.0 AS cash, R2(arg_max(o_totalprice / 100, (o_orderdate, o_orderkey))) AS positions_value,
+        arg_max(o_orderkey % 5 + 1, (o_orderdate, o_orderkey)) AS num_positions FROM orders GROUP BY 1, 2))""")
 
 
 def snapshots(t):
     marks = t.read("orders").select(
         F.col("o_custkey").alias("portfolio_id"), F.col("o_orderkey").alias("mark_id"), F.col("o_orderdate").cast("timestamp").alias("marked_at"),
-        (3000 + F.col("o_totalprice") / 100).alias("total_value"),
+        (3000 + F.col("o_totalprice") / 100).alias("total_value"), F.lit(3000.0).alias("cash"), (F.col("o_totalprice") / 100).alias("positions_value"),
+        (F.col("o_orderkey") % 5 + 1).alias("num_positions"),
     )
     return L.daily_snapshots(marks, capital=5000.0)
 
 
-_SNAP = "portfolio_id, date::VARCHAR AS date, R2(total_value) AS total_value, daily_pnl, daily_pnl_pct, cumulative_pnl, cumulative_pnl_pct, R2(hwm) AS high_water_mark, drawdown_pct"
+_SNAP = "portfolio_id, date::VARCHAR AS date, R2(total_value) AS total_value, daily_pnl, daily_pnl_pct, cumulative_pnl, cumulative_pnl_pct, R2(hwm) AS high_water_mark, drawdown_pct, cash::DOUBLE AS cash, positions_value, num_positions"
 
 
 @query("daily_snapshots", f"SELECT {_SNAP} FROM snaps")
@@ -380,6 +387,12 @@ def portfolio_summary(t):
     return L.portfolio_summary(t.trades, snapshots(t))
 
 
+@query("recent_trades", """SELECT portfolio_id, rank::INT AS rank, trade_id, card_id, coalesce(name, 'Unknown') AS card_name, side, quantity, price, realized_pnl, signal, strategy, executed_at::VARCHAR AS executed_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY executed_at DESC, trade_id DESC) AS rank FROM trades) LEFT JOIN (SELECT card_id, name FROM catalogue) USING (card_id) WHERE rank <= 20""")
+def recent_trades(t):
+    return L.recent_trades(t.trades, t.catalogue).select("portfolio_id", "rank", "trade_id", "card_id", "card_name", "side", "quantity", "price", "realized_pnl", "signal", "strategy", F.date_format("executed_at", "yyyy-MM-dd HH:mm:ss").alias("executed_at"))
+
+
 @query("performance_analytics", """SELECT p.*, coalesce(sr, 0) AS sharpe_ratio FROM psum p JOIN (SELECT portfolio_id, CASE WHEN count(*) > 1 AND stddev_samp(daily_pnl_pct) > 0 THEN R2(avg(daily_pnl_pct) / stddev_samp(daily_pnl_pct) * sqrt(252)) END AS sr FROM snaps GROUP BY 1) USING (portfolio_id)""")
 def performance_analytics(t):
     return L.performance_analytics(t.trades, snapshots(t))
@@ -404,14 +417,26 @@ def lots(t):
     return t.trades.filter("side = 'buy'").withColumn("condition", F.get(codes, (F.col("trade_id") % 5).cast("int")))
 
 
-@query("holdings_valuation", """
+view("valued_lots", """
   WITH l AS (SELECT portfolio_id, card_id, ['NM', 'LP', 'MP', 'HP', 'DMG'][trade_id % 5 + 1] AS condition, sum(quantity) AS q, sum(quantity * price) AS cost FROM trades WHERE side = 'buy' GROUP BY 1, 2, 3),
   v AS (SELECT l.*, current_price * q * CASE condition WHEN 'NM' THEN 1 WHEN 'LP' THEN 0.87e0 WHEN 'MP' THEN 0.75e0 WHEN 'HP' THEN 0.55e0 ELSE 0.35e0 END AS val FROM l JOIN cards USING (card_id) WHERE current_price > 0)
   SELECT portfolio_id, card_id, condition, q::BIGINT AS quantity, R2(cost / q) AS avg_cost, R2(val) AS value, R2(val - cost) AS pnl, R2((val - cost) / cost * 100) AS pnl_pct, R2(val / sum(val) OVER (PARTITION BY portfolio_id) * 100) AS share_pct FROM v""")
+
+
+@query("holdings_valuation", "SELECT * FROM valued_lots")
 def holdings_valuation(t):
     return L.holdings_valuation(lots(t), t.cards)
 
 
+@query("holdings_summary", """
+  WITH k AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id ORDER BY pnl_pct DESC, card_id, condition) AS b, row_number() OVER (PARTITION BY portfolio_id ORDER BY pnl_pct, card_id, condition) AS w,
+    row_number() OVER (PARTITION BY portfolio_id ORDER BY value DESC, card_id, condition) AS m FROM valued_lots)
+  SELECT portfolio_id, count(*) AS holdings, R2(sum(value)) AS total_value, R2(sum(value - pnl)) AS total_cost, R2(sum(value) - sum(value - pnl)) AS total_pnl, max(card_id) FILTER (WHERE b = 1) AS best_card_id, max(pnl_pct) AS best_pct,
+    max(card_id) FILTER (WHERE w = 1) AS worst_card_id, min(pnl_pct) AS worst_pct, max(card_id) FILTER (WHERE m = 1) AS largest_card_id, R2(max(value) / sum(value) * 100) AS largest_pct FROM k GROUP BY 1""")
+def holdings_summary(t):
+    return L.holdings_summary(L.holdings_valuation(lots(t), t.cards))
+
+
 @query("sold_summary", """SELECT portfolio_id, count(*) AS sold, R2(sum((price - 250) * quantity)) AS total_profit, R2(avg((price - 250) / 250 * 100)) AS avg_roi, R1(count(*) FILTER (WHERE price >= 250) * 100 / count(*)) AS win_rate FROM trades WHERE side = 'sell' GROUP BY 1""")
 def sold_summary(t):
     sold = t.trades.filter("side = 'sell'").select("portfolio_id", "quantity", F.col("price").alias("sold_price"), F.lit(250.0).alias("cost"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from thinmarket.functions.numeric import rnd
 from thinmarket.operators import market as M
+from thinmarket.operators import quality as Q
 from thinmarket.operators import screener as G
 from thinmarket.plans.registry import query, view
 
@@ -32,15 +33,17 @@ def set_relative_strength(t):
     return M.set_relative_strength(t.price_history, t.cards, t.as_of)
 
 
-@query("hot_cards", """
-  WITH c AS (SELECT p.card_id FROM price_history p JOIN cards c ON c.card_id = p.card_id AND c.price_variant = p.variant
-             WHERE is_tracked AND current_price >= 2 GROUP BY 1 HAVING count(*) >= 10 AND avg(market_price) >= 2),
-  h AS (SELECT i.* FROM ind_chosen i JOIN c USING (card_id) WHERE act IS NOT NULL AND NOT coalesce(vol > 500, FALSE) AND NOT coalesce(abs(c7) > 500, FALSE)
-        ORDER BY act DESC, card_id LIMIT 12),
-  m AS (SELECT min(act) AS lo, max(act) AS hi FROM h)
+def hot_sql(limit: int) -> str:
+    return f"""
   SELECT h.card_id, CASE WHEN hi > lo THEN R1((act - lo) / (hi - lo) * 100) ELSE act END AS activity_score, R2(vol) AS volatility, R2(sr) AS spread_ratio,
     R2(mom) AS momentum, R2(c7) AS change_7d, signal_name AS signal, R2(strength) AS signal_strength, name, set_name, rarity, current_price
-  FROM h JOIN cards USING (card_id), m""")
+  FROM (SELECT *, min(act) OVER () AS lo, max(act) OVER () AS hi FROM (SELECT i.* FROM ind_chosen i JOIN (
+      SELECT p.card_id FROM price_history p JOIN cards c ON c.card_id = p.card_id AND c.price_variant = p.variant
+      WHERE is_tracked AND current_price >= 2 GROUP BY 1 HAVING count(*) >= 10 AND avg(market_price) >= 2) USING (card_id)
+    WHERE act IS NOT NULL AND NOT coalesce(vol > 500, FALSE) AND NOT coalesce(abs(c7) > 500, FALSE) ORDER BY act DESC, card_id LIMIT {limit})) h JOIN cards USING (card_id)"""
+
+
+@query("hot_cards", hot_sql(12))
 def hot_cards(t):
     return M.hot_cards(t.price_history, t.cards)
 
@@ -84,6 +87,17 @@ def weekly_recap(t):
     return M.weekly_recap(t.price_history, t.cards, M.recap_calendar(t.price_history, t.as_of))
 
 
+@query("current_recap", f"""
+  WITH o AS (SELECT avg(market_price) AS v FROM price_history, as_of WHERE date = d - 7), m AS (SELECT R2(avg(current_price)) AS a, count(*) AS n, R2(sum(current_price)) AS c FROM cards WHERE is_tracked AND current_price > 0),
+  l AS ((SELECT 'gainer' AS side, card_id, name, current_price AS price, change_pct, change_pct AS k FROM moved WHERE change_pct > 0 ORDER BY change_pct DESC, card_id LIMIT 5)
+    UNION ALL (SELECT 'loser', card_id, name, current_price, change_pct, -change_pct FROM moved WHERE change_pct < 0 ORDER BY change_pct, card_id LIMIT 5)
+    UNION ALL SELECT 'hottest', card_id, name, current_price, change_7d, activity_score FROM ({hot_sql(5)}))
+  SELECT 'index' AS side, 0 AS rank, a AS price, CASE WHEN v > 0 THEN R2((a - v) / v * 100) END AS change_pct, n AS total_cards, c AS total_market_cap, NULL::BIGINT AS card_id, NULL::VARCHAR AS name FROM m, o
+  UNION ALL SELECT side, (row_number() OVER (PARTITION BY side ORDER BY k DESC, card_id))::INT, price, change_pct, NULL, NULL, card_id, name FROM l""")
+def current_recap(t):
+    return M.current_recap(t.price_history, t.cards, t.as_of)
+
+
 @query("set_analytics", """
   SELECT set_name, count(*) AS card_count, R2(avg(current_price)) AS avg_price, R2(sum(current_price)) AS total_value, R2(avg(liquidity_score)) AS avg_liquidity_score,
     R2(avg(appreciation_score)) AS avg_appreciation_score, R2(avg(appreciation_slope) * 7) AS avg_7d_change
@@ -97,11 +111,16 @@ def set_analytics(t):
     )
 
 
-@query("market_overview", """SELECT count(*) AS total_cards, R2(avg(current_price)) AS avg_price, R2(sum(current_price)) AS total_value, min(current_price) AS min_price,
-  max(current_price) AS max_price, count(*) FILTER (WHERE current_price >= 100) AS premium, count(*) FILTER (WHERE current_price >= 50 AND current_price < 100) AS mid_high,
-  count(*) FILTER (WHERE current_price >= 20 AND current_price < 50) AS mid FROM cards WHERE is_tracked AND current_price > 0""")
+@query("market_overview", """
+  WITH v AS (SELECT *, is_tracked AS t, (card_id % 9 = 0 OR current_price >= 20) AS ok FROM cards WHERE current_price > 0)
+  SELECT 'market' AS section, count(*) FILTER (WHERE t) AS total_cards, R2(avg(current_price) FILTER (WHERE t)) AS avg_price, R2(sum(current_price) FILTER (WHERE t)) AS total_value, min(current_price) FILTER (WHERE t) AS min_price,
+    max(current_price) FILTER (WHERE t) AS max_price, count(*) FILTER (WHERE ok AND current_price >= 100) AS premium, count(*) FILTER (WHERE ok AND current_price >= 50 AND current_price < 100) AS mid_high,
+    count(*) FILTER (WHERE ok AND current_price >= 20 AND current_price < 50) AS mid, NULL::BIGINT AS card_id, NULL::VARCHAR AS name, NULL::VARCHAR AS set_name, NULL::DOUBLE AS current_price, NULL::DOUBLE AS change_pct FROM v
+  UNION ALL (SELECT 'gainer', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, card_id, name, set_name, current_price, change_pct FROM moved WHERE change_pct > 0 ORDER BY change_pct DESC, card_id LIMIT 5)
+  UNION ALL (SELECT 'loser', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, card_id, name, set_name, current_price, change_pct FROM moved WHERE change_pct < 0 ORDER BY change_pct, card_id LIMIT 5)""")
 def market_overview(t):
-    return M.market_overview(t.cards)
+    cards = Q.mark_viable(t.cards.withColumn("is_viable", F.col("card_id") % 9 == 0))
+    return M.market_overview(cards, t.price_history, t.as_of)
 
 
 @query("set_concentration", """
@@ -122,6 +141,11 @@ def sales_liquidity_panel(t):
     return M.sales_liquidity_panel(t.sales, t.cards, t.as_of)
 
 
+@query("sales_totals", "SELECT count(*) AS total_sales, count(DISTINCT card_id) AS cards_with_sales, count(*) FILTER (WHERE order_date >= d - 30) AS sales_last_30d FROM sales, as_of")
+def sales_totals(t):
+    return M.sales_totals(t.sales, t.as_of)
+
+
 @query("sales_stats", "SELECT count(*) AS total_sales, count(DISTINCT card_id) AS cards_with_sales, min(order_date)::VARCHAR AS first_sale, max(order_date)::VARCHAR AS last_sale FROM sales")
 def sales_stats(t):
     return M.sales_stats(t.sales)
