@@ -9,7 +9,7 @@ from thinmarket.functions.numeric import pct_change
 from thinmarket.functions.text import money
 from thinmarket.operators import indicators as I
 from thinmarket.operators import sales as A
-from thinmarket.operators.ranking import banded_rank
+from thinmarket.operators.ranking import ordered_rank
 
 
 # Closing sentences of the card summary.
@@ -63,7 +63,7 @@ def dedup_insights(existing: DataFrame, new: DataFrame, now: Column) -> DataFram
 def set_rank(cards: DataFrame) -> DataFrame:
     """Rank by price within the set and the number of ranked cards."""
     live = cards.filter("is_tracked AND current_price > 0 AND set_name IS NOT NULL")
-    ranked = banded_rank(live, ["set_name"], F.floor("current_price"), [F.desc("current_price"), F.asc("card_id")], "set_rank")
+    ranked = ordered_rank(live, ["set_name"], "current_price", "card_id", "set_rank")
     return ranked.select("card_id", "set_name", "set_rank", F.col("group_size").alias("set_total"))
 
 
