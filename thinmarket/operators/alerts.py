@@ -77,7 +77,7 @@ def big_movers(cards: DataFrame, series: DataFrame, as_of: Column, threshold: fl
 
 
 def card_insights(bars: DataFrame, cards: DataFrame, sales: DataFrame, series: DataFrame, as_of: Column) -> DataFrame:
-    """Up to five findings per priced card in the order of the rules."""
+    """Up to five findings per priced card in the order of the rules; one that says so for a card without a price."""
     movers = big_movers(cards, series, as_of).select("big_movers").scalar()
     sold = A.sales_profile(sales, as_of).select("card_id", "sales_30d", "avg_sale")
     rows = (
@@ -120,7 +120,10 @@ def card_insights(bars: DataFrame, cards: DataFrame, sales: DataFrame, series: D
         .when(rsi < 30, note("Oversold", "bullish", "RSI at %.0f", whole(rsi))),
     ]
     found = F.slice(F.array_compact(F.array(*rules)), 1, 5)
-    return rows.select("card_id", F.posexplode(found).alias("pos", "n")).select("card_id", "pos", "n.*")
+    unpriced = cards.filter("current_price IS NULL OR current_price <= 0").select(
+        "card_id", F.lit(0).alias("pos"), F.lit("No Price Data").alias("title"), F.lit("info").alias("type"), F.lit("No price yet; prices are refreshed periodically").alias("text")
+    )
+    return rows.select("card_id", F.posexplode(found).alias("pos", "n")).select("card_id", "pos", "n.*").unionByName(unpriced)
 
 
 def card_summary_text(bars: DataFrame, cards: DataFrame, sales: DataFrame, as_of: Column) -> DataFrame:

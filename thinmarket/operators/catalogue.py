@@ -15,7 +15,7 @@ LISTABLE = ("name", "set_name", "rarity", "current_price", "card_id")
 
 
 def list_cards(
-    cards: DataFrame, *, q: str | None = None, set_name: str | None = None, rarity: str | None = None,
+    cards: DataFrame, *, q: str | None = None, set_name: str | None = None, rarity: str | None = None, supertype: str | None = None,
     has_price: bool = False, sort_by: str = "name", sort_dir: str = "asc", page: int = 1, page_size: int = 50,
 ) -> tuple[DataFrame, DataFrame]:
     """A page of tracked cards and (total, total_pages)."""
@@ -26,6 +26,8 @@ def list_cards(
         rows = rows.filter(F.col("set_name") == set_name)
     if rarity:
         rows = rows.filter(F.col("rarity") == rarity)
+    if supertype:
+        rows = rows.filter(F.col("supertype") == supertype)
     if has_price:
         rows = rows.filter("current_price IS NOT NULL")
     total = rows.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / page_size))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -209,30 +208,34 @@ def trajectory_matrix(p: np.ndarray, n: np.ndarray, clean: bool) -> dict[str, np
     }
 
 
-def _trajectory_frame(prices: pd.Series, clean: bool) -> pd.DataFrame:
-    """Recurrences over a batch of series at once: one loop over positions, vectorised over cards."""
-    out: dict[str, list] = {c: [] for c in _COLUMNS}
+def trajectory_lists(prices: pa.Array, clean: bool) -> pa.Array:
+    """Recurrences over a batch of series at once: one loop over positions, vectorised over cards.
+
+    The lists' flat buffer is laid into a padded matrix by its offsets and read back the same way, so no
+    value becomes a Python object. A null or empty list gives empty lists; null prices stay null.
+    """
+    parts = []
     for lo in range(0, len(prices), _CHUNK):
-        part = [np.asarray(x, dtype=float) for x in prices.iloc[lo : lo + _CHUNK]]
-        n = np.array([len(x) for x in part])
+        part = prices.slice(lo, _CHUNK)
+        n = np.asarray(pc.fill_null(pc.list_value_length(part), 0), dtype=np.int64)
         p = np.full((len(part), max(int(n.max(initial=0)), 1)), np.nan)
-        for row, x in zip(p, part):
-            row[: len(x)] = x
-        for name, m in trajectory_matrix(p, n, clean).items():
-            out[name] += [[None if np.isnan(v) else v for v in m[r, : n[r]]] for r in range(len(part))]
-    return pd.DataFrame(out)
+        there = np.arange(p.shape[1]) < n[:, None]
+        p[there] = part.flatten().to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+        made = trajectory_matrix(p, n, clean)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(made[c][there], pa.float64(), from_pandas=True)) for c in _COLUMNS]
+        parts.append(pa.StructArray.from_arrays(lists, list(_COLUMNS)))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(c, pa.list_(pa.float64())) for c in _COLUMNS]))
 
 
-@F.pandas_udf(TRAJECTORY_TYPE)
-def _raw_trajectory(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for prices in batches:
-        yield _trajectory_frame(prices, clean=False)
+@F.arrow_udf(TRAJECTORY_TYPE)
+def _raw_trajectory(prices: pa.Array) -> pa.Array:
+    return trajectory_lists(prices, clean=False)
 
 
-@F.pandas_udf(TRAJECTORY_TYPE)
-def _clean_trajectory(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for prices in batches:
-        yield _trajectory_frame(prices, clean=True)
+@F.arrow_udf(TRAJECTORY_TYPE)
+def _clean_trajectory(prices: pa.Array) -> pa.Array:
+    return trajectory_lists(prices, clean=True)
 
 
 def trajectories(series: DataFrame, clean: bool = False, min_points: int = 1) -> DataFrame:

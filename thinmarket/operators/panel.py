@@ -41,9 +41,10 @@ def panel_flags(price: Column) -> Column:
 
 
 def analysis_panel(bars: DataFrame, cards: DataFrame, sales: DataFrame, as_of: Column) -> DataFrame:
-    """One line per priced card: signal, band position, flags, fees, liquidity, holding result.
+    """One line per priced card, strongest signal first: signal, band position, flags, fees, liquidity, holding results.
 
-    The holding result takes the first price of the analysed series as the purchase.
+    ``hold_net_return_pct`` takes the first price of the analysed series as the purchase. The hold economics
+    take the 90-point average, held for as many days as there are points, 90 at most; null without one.
     """
     packed = I.chosen_bars(bars, cards).withColumn("opening", F.get("bars", 0)["price"])
     full = I.analyze(packed, "opening").join(
@@ -54,6 +55,8 @@ def analysis_panel(bars: DataFrame, cards: DataFrame, sales: DataFrame, as_of: C
     width = F.col("bollinger_upper") - F.col("bollinger_lower")
     spread = F.when(F.col("median_sold") > 0, F.abs(price - F.col("median_sold")) / F.col("median_sold") * 100)
     s90, s30 = F.col("sales_90d"), F.col("sales_30d")
+    hold = E.hold_economics(F.col("sma_90"), price, F.least(F.col("n_points"), F.lit(90)))
+    known = F.col("sma_90") > 0
     return full.select(
         "card_id", "name", "set_name", "current_price", E.price_tier(price).alias("price_tier"),
         "signal_strength", "signal", "regime",
@@ -62,7 +65,9 @@ def analysis_panel(bars: DataFrame, cards: DataFrame, sales: DataFrame, as_of: C
         "sales_30d", "sales_90d", E.liquidity_score(s90, s30, price, spread).alias("liquidity_score"),
         E.time_to_sell(price, s90, s30)["estimated_days"].alias("days_to_sell"),
         E.roundtrip_pnl(F.col("opening"), price)["net_return_pct"].alias("hold_net_return_pct"),
-    )
+        *[F.when(known, hold[c]).alias(f"hold_{c}") for c in ("annualized_gross_pct", "annualized_net_pct", "clears_hurdle")],
+        F.when(known, hold["hold_period"]).alias("recommended_hold"),
+    ).orderBy(F.desc_nulls_last(F.abs("signal_strength")), "card_id")
 
 
 def compare_cards(bars: DataFrame, cards: DataFrame, sales: DataFrame, as_of: Column, ids: DataFrame) -> DataFrame:

@@ -65,6 +65,18 @@ def accuracy_report(done: DataFrame) -> DataFrame:
     )
 
 
+def newest_predictions(done: DataFrame, cards: DataFrame, limit: int = 20) -> DataFrame:
+    """The report's list of the newest predictions, open ones as well, with their cards' names and prices.
+
+    The cut is made before the cards are read; a prediction without a card keeps null names.
+    """
+    newest = done.orderBy(F.desc("predicted_at"), F.desc("prediction_id")).limit(limit)
+    return newest.join(cards.select("card_id", "name", "current_price"), "card_id", "left").select(
+        "prediction_id", "card_id", F.coalesce("name", F.lit("Unknown")).alias("name"), "signal", "source", "entry_price", "current_price", "target_price", "stop_loss",
+        *[f"return_pct_{h}d" for h in RETURN_HORIZONS], "outcome", "predicted_at",
+    )
+
+
 def auto_predictions(hot: DataFrame, predictions: DataFrame, as_of: Column) -> DataFrame:
     """New rows from the most active cards that signal something and have no pending row."""
     pending = predictions.filter("outcome = 'pending'").select("card_id")

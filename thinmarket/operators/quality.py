@@ -184,13 +184,12 @@ def mark_viable(cards: DataFrame, threshold: float = 20.0) -> DataFrame:
 
 
 def sync_worklist(cards: DataFrame, bars: DataFrame, limit: int = 50, by: str = "history") -> DataFrame:
-    """Cards to refresh next: longest history, oldest update, viable by price, or dearest."""
+    """Cards to refresh next: longest history, oldest ``updated_at`` (never updated ones first), viable by price, or dearest."""
     if by == "history":
         counts = bars.groupBy("card_id").agg(F.count("*").alias("n_bars"))
         rows = cards.filter("is_tracked").join(counts, "card_id", "left").withColumn("rank_by", F.coalesce("n_bars", F.lit(0)).cast("double"))
     elif by == "oldest":
-        latest = bars.groupBy("card_id").agg(F.max("date").alias("latest"))
-        rows = cards.filter("current_price IS NOT NULL").join(latest, "card_id", "left").withColumn("rank_by", -F.unix_date("latest").cast("double"))
+        rows = cards.filter("current_price IS NOT NULL").withColumn("rank_by", -F.unix_seconds("updated_at").cast("double"))
     elif by == "viable":
         rows = mark_viable(cards).filter("is_viable").withColumn("rank_by", F.col("current_price"))
     else:

@@ -269,6 +269,19 @@ def weekly_bars_from_sales(
     )
 
 
+def fill_current_prices(cards: DataFrame, bars: DataFrame, key: str = "card_id") -> DataFrame:
+    """Cards whose price is null or zero get their newest Near Mint price, of whatever variant; all others stay.
+
+    A bar without a condition counts as Near Mint. Of several on the newest day that of the last variant counts.
+    """
+    newest = (
+        bars.filter((is_near_mint() | F.col("condition").isNull()) & F.col("market_price").isNotNull())
+        .groupBy(key).agg(F.max_by("market_price", F.struct("date", "variant", "market_price")).alias("newest"))
+    )
+    price = F.coalesce(F.nullif(F.col("current_price"), F.lit(0.0)), "newest", "current_price")
+    return cards.join(newest, key, "left").withColumn("current_price", price).drop("newest")
+
+
 def variant_switch_trim(series: DataFrame) -> DataFrame:
     """Where the last price is off the older median fivefold, keeps the rows from the first jump on."""
     packed = series_arrays(series).withColumn("prices", F.transform("bars", lambda b: b["price"]))
@@ -362,16 +375,23 @@ def rebase_compare(pairs: DataFrame, series: DataFrame) -> DataFrame:
     )
 
 
-def price_summary(series: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
-    """Ends, extremes and change of the last ``days`` days, with a thinned-out sample of points."""
+def _thinned(series: DataFrame, as_of: Column, days: int, points: int) -> DataFrame:
+    """The last days' rows, each with whether it is one of the evenly spaced points of a sparkline."""
     w = Window.partitionBy("card_id").orderBy("date")
-    rows = (
-        series.filter(F.col("date") >= F.date_sub(as_of, days))
-        .withColumn("i", F.row_number().over(w))
-        .withColumn("n", F.count("*").over(Window.partitionBy("card_id")))
-        .withColumn("step", F.greatest(F.lit(1), F.floor(F.col("n") / 12)))
-    )
-    sampled = (F.col("i") - 1) % F.col("step") == 0
+    step = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("card_id")) / points))
+    return series.filter(F.col("date") >= F.date_sub(as_of, days)).withColumn("sampled", (F.row_number().over(w) - 1) % step == 0)
+
+
+def price_samples(series: DataFrame, as_of: Column, days: int = 90, points: int = 12) -> DataFrame:
+    """Every max(1, n // points)-th price of each card's last ``days`` days, oldest first."""
+    rows = _thinned(series, as_of, days, points).filter("sampled")
+    return rows.select("card_id", "date", rnd(F.col("price"), 2).alias("price"))
+
+
+def price_summary(series: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
+    """Ends, extremes and change of the last ``days`` days; ``price_samples`` has the points between."""
+    rows = _thinned(series, as_of, days, 12)
+    sampled = F.col("sampled")
     return rows.groupBy("card_id").agg(
         F.count("*").alias("n_points"),
         F.min_by("price", "date").alias("first_price"), F.max_by("price", "date").alias("last_price"),

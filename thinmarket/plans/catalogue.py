@@ -25,6 +25,12 @@ def list_cards_total(t):
     return C.list_cards(t.cards, rarity="Ultra Rare", has_price=True, page_size=20)[1]
 
 
+@query("list_cards_supertype", "SELECT card_id, name FROM cards WHERE is_tracked AND card_id % 8 = 4 ORDER BY name NULLS FIRST, card_id LIMIT 20")
+def list_cards_supertype(t):
+    kinds = t.cards.withColumn("supertype", F.when(F.col("card_id") % 8 == 4, "Energy").otherwise("Creature"))
+    return C.list_cards(kinds, supertype="Energy", page_size=20)[0].select("card_id", "name")
+
+
 @query("filter_values", "SELECT 'set_name' AS field, set_name AS value FROM items WHERE set_name IS NOT NULL UNION SELECT 'rarity', rarity FROM items WHERE rarity IS NOT NULL")
 def filter_values(t):
     return C.filter_values(t.items)

@@ -267,12 +267,16 @@ _NET = "R2({s} - ({s} * 0.1325e0 + 4.8e0))"
     R4(CASE WHEN bu > bl THEN (price - bl) / (bu - bl) END) AS bb_position, flags, breakeven_pct, viable, sales_30d, sales_90d,
     {liquidity_sql("sales_90d", "sales_30d", "current_price", "spread_pct")} AS liquidity_score,
     {time_to_sell_sql("current_price", "sales_90d", "sales_30d")} AS days_to_sell,
-    R1(net_return) AS hold_net_return_pct
+    R1(net_return) AS hold_net_return_pct,
+    R1(CASE WHEN sma_90 > 0 THEN ((current_price / sma_90) ** (365e0 / held) - 1) * 100 END) AS hold_annualized_gross_pct,
+    R1(CASE WHEN sma_90 > 0 THEN CASE WHEN avg_pnl / sma_90 > -1 THEN ((1 + avg_pnl / sma_90) ** (365e0 / held) - 1) * 100 ELSE -100 END END) AS hold_annualized_net_pct,
+    CASE WHEN sma_90 > 0 THEN (current_price - sma_90) / sma_90 * 100 > {breakeven_sql("sma_90")} END AS hold_clears_hurdle,
+    CASE WHEN sma_90 > 0 THEN CASE WHEN held < 30 THEN 'short' ELSE 'medium' END END AS recommended_hold
   FROM (SELECT *, coalesce(s30, 0) AS sales_30d, coalesce(s90, 0) AS sales_90d, abs(current_price - med) / med * 100 AS spread_pct,
       CASE WHEN current_price >= 100 THEN 'premium' WHEN current_price >= 50 THEN 'mid_high' WHEN current_price >= 20 THEN 'mid' ELSE 'budget' END AS price_tier,
       concat_ws(',', CASE WHEN price / sma_7 > 3 OR price / sma_7 < 0.33 THEN 'EXTREME_MA_DIVERGENCE' END, CASE WHEN n < 30 THEN 'LOW_DATA' END,
          CASE WHEN confidence < 0.5 THEN 'LOW_CONFIDENCE' END, CASE WHEN price <= support THEN 'AT_OR_BELOW_SUPPORT' END) AS flags,
-      {breakeven_sql("current_price")} AS breakeven_pct, current_price >= 20 AS viable,
+      {breakeven_sql("current_price")} AS breakeven_pct, current_price >= 20 AS viable, least(n, 90) AS held, R2({_NET.format(s="current_price")} - R2(sma_90)) AS avg_pnl,
       ({_NET.format(s="current_price")} - R2(first_price)) / R2(first_price) * 100 AS net_return
     FROM ind_chosen JOIN cards USING (card_id) LEFT JOIN prof USING (card_id) WHERE current_price > 0) i""")
 def analysis_panel(t):

@@ -54,7 +54,7 @@ def ingest_price_json(t):
 def csv_rows(t):
     """Item sales as rows of a history CSV: mixed date formats, blanks, prices with signs."""
     i = F.col("item_id")
-    day = F.when(i % 3 == 0, F.date_format("order_date", "yyyy-MM-dd")).when(i % 3 == 1, F.date_format("order_date", "MM/dd/yyyy")).otherwise(F.date_format("order_date", "MMMM d, yyyy"))
+    day = F.when(i % 6 == 0, F.date_format("order_date", "yyyy-MM-dd")).when(i % 6 == 3, F.date_format("order_date", "yyyy-MM-dd'T23:30:00.5-07:00'")).when(i % 3 == 1, F.date_format("order_date", "MM/dd/yyyy")).otherwise(F.date_format("order_date", "MMMM d, yyyy"))
     amount = F.format_string("$%.2f", F.round(F.col("purchase_price") + 1e-9, 2))
     rows = t.sales.join(t.items.select("item_id", "name", "set_name"), "item_id")
     return rows.select(
@@ -128,13 +128,27 @@ def bulk_history_rows(t):
   SELECT coalesce(tcg_id, n_id) AS tcg_id, CASE WHEN status IN ('updated', 'created') THEN n_name ELSE name END AS name, CASE WHEN status IN ('updated', 'created') THEN mk ELSE current_price END AS current_price,
     CASE WHEN status = 'created' OR (status = 'updated' AND lower(n_name) = lower(name)) THEN 'new' ELSE image END AS image, status FROM j WHERE tcg_id IS NOT NULL OR status = 'created'""")
 def upsert_catalogue(t):
+    return upserted(t).select("tcg_id", "name", "current_price", "image", "status")
+
+
+def upserted(t):
     tcg = F.concat(F.lit("id-"), F.col("card_id").cast("string")).alias("tcg_id")
     sid = F.col("set_id").cast("string").alias("set_id")
     old = t.cards.filter("card_id % 4 <> 0").select(tcg, "name", sid, "set_name", "rarity", "price_variant", "current_price", F.lit("old").alias("image"))
     name = F.when(F.col("card_id") % 3 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" new"))).alias("name")
     market = F.when(F.col("card_id") % 7 != 0, rnd(F.col("current_price") * 1.1)).alias("market")
     feed = t.cards.filter("card_id % 2 = 0").select(tcg, name, sid, "set_name", "rarity", F.col("price_variant").alias("variant"), market, F.lit("new").alias("image"))
-    return feeds.upsert_catalogue(old, feed, t.as_of, 50.0).select("tcg_id", "name", "current_price", "image", "status")
+    return feeds.upsert_catalogue(old, feed, t.as_of, 50.0)
+
+
+@query("feed_history_rows", """
+  WITH x AS (SELECT 'id-' || card_id AS tcg_id, card_id, price_variant AS variant, R2(current_price * 1.1e0) AS market_price FROM cards WHERE card_id % 2 = 0 AND card_id % 7 <> 0)
+  SELECT tcg_id, d::VARCHAR AS date, variant, 'Near Mint' AS condition, market_price FROM x, as_of
+  WHERE market_price >= 50 AND NOT EXISTS (SELECT 1 FROM price_history h WHERE h.card_id = x.card_id AND h.date = d AND h.variant = x.variant AND h.card_id % 5 <> 0)""")
+def feed_history_rows(t):
+    """History rows of the feed's day; bars of every fifth card are not stored yet."""
+    have = t.price_history.filter("card_id % 5 <> 0").select(F.concat(F.lit("id-"), F.col("card_id").cast("string")).alias("tcg_id"), "date", "variant")
+    return feeds.feed_history_rows(upserted(t), have, t.as_of)
 
 
 @query("ingest_history_buckets", """SELECT card_id AS product_id, date::VARCHAR AS date, R2(price) AS market_price, R2(low) AS low_price, R2(high) AS high_price FROM series WHERE NOT (card_id % 2 = 0 AND year(date) = 1998)""")
@@ -164,6 +178,16 @@ def ingest_daily_sales(t):
 
 @query("ingest_entries_flex", "SELECT card_id, date::VARCHAR AS date, coalesce(price_variant, 'normal') AS variant, R4(price) AS market_price, R4(low) AS low_price, R4(CASE WHEN card_id % 2 = 0 THEN high END) AS high_price FROM series JOIN catalogue USING (card_id)")
 def ingest_entries_flex(t):
+    return r4(feeds.ingest_entries_flex(flex_files(t)), "card_id", "date", "variant", "market_price", "low_price", "high_price")
+
+
+@query("entries_latest_price", "SELECT card_id, R4(arg_max(price, date)) AS current_price FROM series GROUP BY 1")
+def entries_latest_price(t):
+    """Card prices that the entries imply, of the latest date in any envelope."""
+    return r4(feeds.latest_of(feeds.ingest_entries_flex(flex_files(t))))
+
+
+def flex_files(t):
     k = F.col("card_id") % 3
     price = F.col("price").cast("string")
     day = F.date_format("date", "yyyy-MM-dd")
@@ -173,8 +197,7 @@ def ingest_entries_flex(t):
     )
     per = t.series.groupBy("card_id").agg(F.to_json(F.collect_list(e)).alias("a"))
     content = F.when(F.col("card_id") % 3 == 0, F.col("a")).when(F.col("card_id") % 3 == 1, F.concat(F.lit('{"data":'), F.col("a"), F.lit("}"))).otherwise(F.concat(F.lit('{"prices":'), F.col("a"), F.lit("}")))
-    docs = per.join(t.catalogue.select("card_id", "price_variant"), "card_id").select("card_id", "price_variant", content.alias("content"))
-    return r4(feeds.ingest_entries_flex(docs), "card_id", "date", "variant", "market_price", "low_price", "high_price")
+    return per.join(t.catalogue.select("card_id", "price_variant"), "card_id").select("card_id", "price_variant", content.alias("content"))
 
 
 def raw_sales(t):
@@ -236,6 +259,10 @@ def discover_products(t):
 
 @query("match_product_listing", """SELECT card_id, CASE WHEN card_id % 4 = 0 THEN 1 WHEN card_id % 4 = 1 THEN 2 WHEN card_id % 4 = 2 THEN 3 ELSE 5 END::INT AS tier, card_id * 10 + CASE WHEN card_id % 4 = 3 THEN 1 ELSE 2 END AS product_id FROM catalogue""")
 def match_product_listing(t):
+    return feeds.match_product_listing(*listings(t))
+
+
+def listings(t):
     k = F.col("card_id")
     cards = t.catalogue.select("card_id", "name", "set_name", F.concat(F.lit("n"), k.cast("string")).alias("number"))
     title = F.when(k % 4 == 0, F.concat(F.lit("other #n"), k.cast("string"))).when(k % 4 == 1, F.col("name")).when(k % 4 == 2, F.concat(F.col("name"), F.lit(" foil"))).otherwise(F.lit("nothing"))
@@ -243,8 +270,20 @@ def match_product_listing(t):
         F.struct(F.lit(1).alias("pos"), (k * 10 + 1).alias("product_id"), F.concat(F.lit("a "), "name", F.lit(" promo")).alias("product_name"), F.lit("Elsewhere").alias("product_set"), F.lit("0").alias("product_number")),
         F.struct(F.lit(2).alias("pos"), (k * 10 + 2).alias("product_id"), title.alias("product_name"), F.concat(F.lit("SV1: "), "set_name").alias("product_set"), F.lit("0").alias("product_number")),
     )
-    found = t.catalogue.select("card_id", F.inline(offers))
-    return feeds.match_product_listing(cards, found)
+    return cards, t.catalogue.select("card_id", F.inline(offers))
+
+
+@query("resolve_products", """
+  WITH own AS (SELECT card_id, arg_min(pid, (order_date, pid)) AS sold FROM (SELECT card_id, order_date, card_id * 10 + 7 + quantity * 100000 AS pid FROM sales WHERE card_id % 3 = 0 AND seq % 2 = 1) GROUP BY 1)
+  SELECT card_id, CASE WHEN card_id % 5 = 0 THEN card_id * 1000 WHEN sold IS NOT NULL THEN sold WHEN card_id % 7 <> 0 THEN card_id * 10 + CASE WHEN card_id % 4 IN (0, 1) THEN 2 ELSE 1 END END AS product_id,
+    CASE WHEN card_id % 5 = 0 THEN 'mapped' WHEN sold IS NOT NULL THEN 'sales' WHEN card_id % 7 <> 0 THEN 'search' END AS via FROM catalogue LEFT JOIN own USING (card_id)""")
+def resolve_products(t):
+    """Mapped ids, then ids of own sales, then the short chain of search tiers."""
+    cards, found = listings(t)
+    k = F.col("card_id")
+    number = F.when(F.col("seq") % 2 == 1, (k * 10 + 7 + F.col("quantity") * 100000).cast("string")).otherwise("n/a")
+    sold = t.sales.filter("card_id % 3 = 0").select("card_id", "order_date", number.alias("source_product_id"))
+    return feeds.resolve_products(cards.withColumn("product_id", F.when(k % 5 == 0, k * 1000)), sold, found.filter("card_id % 7 <> 0"), "short")
 
 
 @query("extract_articles")
@@ -265,11 +304,22 @@ def decode_json_cols(t):
   WITH x AS (SELECT card_id, price_variant, current_price, R2(hi) AS p, CASE WHEN card_id % 2 = 0 THEN 'holofoil' WHEN card_id % 2 = 1 THEN coalesce(price_variant, 'normal') END AS v FROM cards JOIN (SELECT card_id, max(high_price) AS hi FROM price_history GROUP BY 1) USING (card_id) WHERE card_id % 7 <> 0)
   SELECT card_id, CASE WHEN p IS NULL THEN current_price ELSE p END AS current_price, CASE WHEN p IS NULL THEN c.price_variant ELSE v END AS price_variant, p IS NOT NULL AS updated FROM (SELECT card_id, current_price, price_variant FROM cards) c LEFT JOIN (SELECT card_id, p, v FROM x) USING (card_id)""")
 def apply_pricepoints(t):
+    return pricepoints(t)[0].select("card_id", "current_price", "price_variant", "updated")
+
+
+@query("pricepoint_history", """
+  SELECT c.card_id, d::VARCHAR AS date, CASE WHEN c.card_id % 2 = 0 THEN 'holofoil' ELSE coalesce(price_variant, 'normal') END AS variant, 'Near Mint' AS condition, R2(hi) AS market_price
+  FROM cards c JOIN (SELECT card_id, max(high_price) AS hi FROM price_history GROUP BY 1) h ON h.card_id = c.card_id, as_of WHERE c.card_id % 7 <> 0 AND c.card_id NOT IN (SELECT card_id FROM price_history WHERE date = d)""")
+def pricepoint_history(t):
+    """History rows of the price points: none for a card that has any row of the day."""
+    return pricepoints(t)[1].select("card_id", "date", "variant", "condition", "market_price")
+
+
+def pricepoints(t):
     top = t.price_history.groupBy("card_id").agg(F.max("high_price").alias("hi"))
     kind = F.when(F.col("card_id") % 2 == 0, "Foil").otherwise("Etched")
     pts = top.select("card_id", F.array(F.struct(F.lit("Normal").alias("printingType"), F.lit(0.0).alias("marketPrice")), F.struct(kind.alias("printingType"), F.when(F.col("card_id") % 7 != 0, F.col("hi")).alias("marketPrice"))).alias("points"))
-    updated, _ = feeds.apply_pricepoints(t.cards, pts, t.price_history, t.as_of)
-    return updated.select("card_id", "current_price", "price_variant", "updated")
+    return feeds.apply_pricepoints(t.cards, pts, t.price_history, t.as_of)
 
 
 @query("write_tables", "SELECT year(date) AS year, count(*) AS n_rows, R2(sum(market_price)) AS total FROM price_history GROUP BY 1")

@@ -165,7 +165,7 @@ def latest_price(t):
     return S.latest_price(t.price_history, t.catalogue)
 
 
-@query("weekly_bars_from_sales", """
+view("weekly_items", """
   WITH i2 AS (SELECT p_partkey AS item_id, CASE p_partkey % 3 WHEN 0 THEN 'holofoil' WHEN 1 THEN 'normal' END AS pv FROM part),
   bars AS (SELECT item_id, CAST(order_date AS DATE) AS date, variant, condition FROM sales GROUP BY 1, 2, 3, 4),
   thick AS (SELECT item_id FROM bars GROUP BY 1 HAVING count(DISTINCT date) >= 30),
@@ -175,10 +175,27 @@ def latest_price(t):
         WHERE sales.item_id NOT IN (SELECT item_id FROM thick) AND sales.item_id IN (SELECT item_id FROM busy)),
   w AS (SELECT item_id, date, condition, variant, quantile_cont(purchase_price, 0.5) AS med, min(purchase_price) AS lo,
                max(purchase_price) AS hi, count(*) AS n_sales FROM s GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2)
-  SELECT w.item_id, w.date::VARCHAR AS date, w.condition, w.variant, R2(med) AS market_price, R2(lo) AS low_price, R2(med) AS mid_price,
+  SELECT w.item_id, w.date, w.condition, w.variant, R2(med) AS market_price, R2(lo) AS low_price, R2(med) AS mid_price,
          R2(hi) AS high_price, n_sales FROM w ANTI JOIN bars ON bars.item_id = w.item_id AND bars.date = w.date
          AND bars.condition = w.condition AND bars.variant = w.variant""")
+
+
+@query("weekly_bars_from_sales", "SELECT * REPLACE (date::VARCHAR AS date) FROM weekly_items")
 def weekly_bars_from_sales(t):
+    return weekly_items(t)
+
+
+@query("fill_current_prices", """
+  SELECT item_id, CASE WHEN item_id % 4 > 1 THEN list_price ELSE coalesce(newest, CASE WHEN item_id % 4 = 1 THEN 0e0 END) END AS current_price FROM items LEFT JOIN (
+    SELECT item_id, arg_max(market_price, (date, variant)) AS newest FROM weekly_items WHERE condition = 'Near Mint' GROUP BY 1) USING (item_id)""")
+def fill_current_prices(t):
+    """Prices of items without one from the weekly bars of their sales; every second item has one already."""
+    k = F.col("item_id")
+    old = F.when(k % 4 > 1, F.col("list_price")).when(k % 4 == 1, 0.0)
+    return S.fill_current_prices(t.items.select("item_id", old.alias("current_price")), weekly_items(t), "item_id")
+
+
+def weekly_items(t):
     key = F.col("item_id")
     items = t.items.select("item_id", F.when(key % 3 == 0, "holofoil").when(key % 3 == 1, "normal").alias("price_variant"))
     bars = t.sales.groupBy("item_id", F.to_date("order_date").alias("date"), "variant", "condition").agg(F.count("*").alias("c"))
@@ -243,6 +260,14 @@ def price_summary(t):
     )
 
 
+@query("price_samples", """
+  SELECT card_id, date::VARCHAR AS date, R2(price) AS price FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY card_id ORDER BY date) AS j, count(*) OVER (PARTITION BY card_id) AS m FROM series s WHERE date >= (SELECT d - 90 FROM as_of))
+  WHERE (j - 1) % greatest(1, m // 12) = 0""")
+def price_samples(t):
+    return S.price_samples(t.series, t.as_of)
+
+
 @query("outlier_bounds", """
   WITH s AS (SELECT card_id, list_sort(list(price)) AS p, count(*) AS n, quantile_cont(price, 0.5) AS med FROM series GROUP BY 1),
   q AS (SELECT *, p[CAST(floor(n * 0.25) AS INT) + 1] AS q1, p[CAST(floor(n * 0.75) AS INT) + 1] AS q3, n >= 5 AND p[-1] > 5 * med AS spiky FROM s)

@@ -11,6 +11,7 @@ from thinmarket.operators import market as M
 from thinmarket.operators import predictions as R
 from thinmarket.operators import quality as Q
 from thinmarket.plans.indicators import r4
+from thinmarket.plans.ingest import mapped_cards
 from thinmarket.plans.registry import query, view
 
 
@@ -95,10 +96,12 @@ def mark_viable(t):
 @query("sync_worklist", """
   (SELECT 'history' AS list, card_id, coalesce(k, 0)::DOUBLE AS rank_by FROM cards LEFT JOIN (SELECT card_id, count(*) AS k FROM price_history GROUP BY 1) USING (card_id) WHERE is_tracked ORDER BY rank_by DESC, card_id LIMIT 20)
   UNION ALL (SELECT 'price', card_id, current_price FROM cards WHERE current_price > 0 ORDER BY current_price DESC, card_id LIMIT 20)
-  UNION ALL (SELECT 'viable', card_id, current_price FROM cards WHERE current_price >= 20 ORDER BY current_price DESC, card_id LIMIT 20)""")
+  UNION ALL (SELECT 'viable', card_id, current_price FROM cards WHERE current_price >= 20 ORDER BY current_price DESC, card_id LIMIT 20)
+  UNION ALL (SELECT 'oldest', card_id, -epoch(u) FROM (SELECT card_id, CASE WHEN card_id % 6 <> 0 THEN CAST(d - CAST(card_id % 20 AS INT) AS TIMESTAMP) END AS u FROM cards, as_of WHERE current_price IS NOT NULL) ORDER BY u NULLS FIRST, card_id LIMIT 20)""")
 def sync_worklist(t):
     parts = [Q.sync_worklist(t.cards, t.price_history, 20, by).select(F.lit(by).alias("list"), "card_id", "rank_by") for by in ("history", "price", "viable")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    oldest = Q.sync_worklist(mapped_cards(t), t.price_history, 20, "oldest").select(F.lit("oldest").alias("list"), "card_id", "rank_by")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(oldest)
 
 
 _NEAR = "(SELECT arg_min(s.price, (abs(s.date - (p.predicted_at + {h})), s.date)) FROM series s WHERE s.card_id = p.card_id AND abs(s.date - (p.predicted_at + {h})) <= 3 AND p.predicted_at + {h} <= d)"
@@ -134,6 +137,14 @@ def accuracy_report(t):
     return R.accuracy_report(resolved(t))
 
 
+@query("newest_predictions", """
+  SELECT prediction_id, p.card_id, coalesce(name, 'Unknown') AS name, signal, source, R4(entry_price) AS entry_price, R4(c.current_price) AS current_price, R4(target_price) AS target_price, R4(stop_loss) AS stop_loss,
+    R4(r7) AS return_pct_7d, R4(r30) AS return_pct_30d, R4(r90) AS return_pct_90d, outcome, predicted_at::VARCHAR AS predicted_at
+  FROM (SELECT * EXCLUDE (current_price) FROM resolved ORDER BY predicted_at DESC, prediction_id DESC LIMIT 20) p LEFT JOIN cards c ON c.card_id = p.card_id""")
+def newest_predictions(t):
+    return r4(R.newest_predictions(resolved(t), t.cards))
+
+
 @query("list_predictions", """SELECT prediction_id, card_id, name, current_price, signal, outcome FROM (SELECT * EXCLUDE (current_price) FROM resolved WHERE outcome = 'correct' ORDER BY predicted_at DESC, prediction_id DESC LIMIT 50) LEFT JOIN cards USING (card_id)""")
 def list_predictions(t):
     return C.list_predictions(resolved(t), t.cards, outcome="correct").select("prediction_id", "card_id", "name", "current_price", "signal", "outcome")
@@ -225,7 +236,8 @@ def count_big_movers(t):
     CASE WHEN pa < -40 THEN {'t': 'Well Below Peak', 'k': 'neutral', 'x': printf('%.0f%% below the peak', R0(abs(pa)))} WHEN abs(pa) < 5 THEN {'t': 'Near All-Time High', 'k': 'bullish', 'x': printf('%.0f%% below the peak', R0(abs(pa)))} END,
     CASE WHEN rsi > 70 THEN {'t': 'Overbought', 'k': 'bearish', 'x': printf('RSI at %.0f', R0(rsi))} WHEN rsi < 30 THEN {'t': 'Oversold', 'k': 'bullish', 'x': printf('RSI at %.0f', R0(rsi))} END],
     lambda v: v IS NOT NULL)[1:5] AS v FROM r)
-  SELECT card_id, (generate_subscripts(v, 1) - 1)::INT AS pos, unnest(list_transform(v, lambda z: z.t)) AS title, unnest(list_transform(v, lambda z: z.k)) AS type, unnest(list_transform(v, lambda z: z.x)) AS text FROM l""")
+  SELECT card_id, (generate_subscripts(v, 1) - 1)::INT AS pos, unnest(list_transform(v, lambda z: z.t)) AS title, unnest(list_transform(v, lambda z: z.k)) AS type, unnest(list_transform(v, lambda z: z.x)) AS text FROM l
+  UNION ALL SELECT card_id, 0, 'No Price Data', 'info', 'No price yet; prices are refreshed periodically' FROM cards WHERE current_price IS NULL OR current_price <= 0""")
 def card_insights(t):
     return N.card_insights(t.price_history, t.cards, t.sales, t.series, t.as_of)
 

@@ -54,6 +54,9 @@ CSV_ALIASES = {
 DATE_FORMATS = (
     "yyyy-MM-dd", "M/d/yyyy", "M/d/yy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "d-MMM-yyyy", "MMMM d, yyyy",
 )
+ISO_DATE = (
+    r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:[T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2}){0,2})?)?$"
+)
 # Words of a finance article's address.
 ARTICLE_WORDS = (
     "price-spike", "biggest-price", "most-expensive", "movers-and-shakers",
@@ -141,8 +144,11 @@ def parse_price(text: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
+    """The day of a text in one of the fixed formats, else of an ISO date or time: with or without signs,
+    with fractions and offset, the day as written. Null where neither fits."""
     t = F.trim(text)
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(t, F.lit(f))) for f in DATE_FORMATS])
+    iso = F.try_to_date(F.concat_ws("-", *[F.regexp_extract(t, ISO_DATE, i) for i in (1, 3, 4)]), "yyyy-MM-dd")
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(t, F.lit(f))) for f in DATE_FORMATS], iso)
 
 
 def ingest_price_csv(rows: DataFrame, cards: DataFrame, existing: DataFrame) -> DataFrame:
@@ -439,10 +445,15 @@ def discover_products(groups: DataFrame, products: DataFrame, entries: DataFrame
     return rows.select("productId", "tcg_id", "clean_name", "number", rnd(F.col("price")).alias("price"), "variant", "match_id", action.alias("action"))
 
 
-def match_product_listing(cards: DataFrame, found: DataFrame) -> DataFrame:
+# The tiers that a look-up may use: all of them, or those of the short chain of the sales collector.
+MATCH_CHAINS = {"full": (1, 2, 3, 4, 5), "short": (1, 2, 5)}
+
+
+def match_product_listing(cards: DataFrame, found: DataFrame, chain: str = "full") -> DataFrame:
     """Best search result per card by tier, then by position.
 
-    ``found`` has card_id, pos, product_id, product_name, product_set, product_number.
+    ``found`` has card_id, pos, product_id, product_name, product_set, product_number. The short chain
+    takes a name inside a product's name whatever its set.
     """
     rows = found.join(cards.select("card_id", F.lower(F.trim("name")).alias("n"), F.lower(F.trim("set_name")).alias("s"), F.col("number").cast("string").alias("num")), "card_id")
     pn, ps = F.lower(F.trim(F.coalesce("product_name", F.lit("")))), F.lower(F.trim(F.coalesce("product_set", F.lit(""))))
@@ -450,13 +461,26 @@ def match_product_listing(cards: DataFrame, found: DataFrame) -> DataFrame:
     s, n, num = F.col("s"), F.col("n"), F.col("num")
     same_set = ps.contains(s) | s.contains(ps) | F.coalesce(bare.contains(s) | s.contains(bare), F.lit(False))
     numbered = F.coalesce((num != "") & (pn.contains(F.concat(F.lit("#"), num)) | pn.contains(F.concat(F.lit("- "), num)) | (F.col("product_number").cast("string") == num)), F.lit(False))
-    tier = (
-        F.when(same_set & numbered, 1).when(same_set & (pn == n), 2).when(same_set & pn.contains(n), 3).when(pn == n, 4).when(pn.contains(n), 5)
-    )
+    tests = {1: same_set & numbered, 2: same_set & (pn == n), 3: same_set & pn.contains(n), 4: pn == n, 5: pn.contains(n)}
+    tier = F.coalesce(*[F.when(tests[k], k) for k in MATCH_CHAINS[chain]])
     ranked = rows.withColumn("tier", tier).filter("tier IS NOT NULL")
     return ranked.groupBy("card_id").agg(F.min(F.struct("tier", "pos", "product_id")).alias("b")).select("card_id", "b.tier", "b.product_id")
 
 
+def resolve_products(cards: DataFrame, sales: DataFrame, found: DataFrame, chain: str = "full") -> DataFrame:
+    """The product of every card and where it was found: mapped, sales, search, or null where nowhere.
+
+    A card's own product id comes first, then the id of its earliest sale that names a number (ties: the
+    smallest number), then the search results. Sales are reduced to one row a card before the join.
+    """
+    pid = F.col("source_product_id").try_cast("long")
+    own = sales.filter(pid.isNotNull()).groupBy("card_id").agg(F.min(F.struct("order_date", pid.alias("pid")))["pid"].alias("sold_id"))
+    searched = match_product_listing(cards, found, chain).select("card_id", F.col("product_id").alias("search_id"))
+    rows = cards.select("card_id", "product_id").join(own, "card_id", "left").join(searched, "card_id", "left")
+    via = F.when(F.col("product_id").isNotNull(), "mapped").when(F.col("sold_id").isNotNull(), "sales").when(F.col("search_id").isNotNull(), "search")
+    return rows.select("card_id", F.coalesce("product_id", "sold_id", "search_id").alias("product_id"), via.alias("via"))
+
+
 def html_text(fragment: Column) -> Column:
     """Text of an HTML fragment: tags dropped, the common entities decoded, trimmed."""
     bare = F.regexp_replace(fragment, r"(?s)<[^>]*>", "")
