@@ -13,6 +13,7 @@ from thinmarket.session import ensure_checkpoint_dir
 DAMPING, TOLERANCE, BLOCK_FROM = 0.85, 1e-10, 0.02
 #: What a mass of one takes to fall below the tolerance; how many a plain iteration needs, no limit here.
 ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+SALT = 32
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,14 +89,17 @@ def judge_pages(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", u
     A null url, or one without ``://``, has an empty host and path. Null html has no links. Ids may be
     null or repeat: each row is judged. Empty tables give none; other columns are ignored. Only
     built-in expressions run; a host with a third of all pages or links is summed before it is
-    shuffled, and the host table's join is split by the engine where it is skewed.
+    shuffled, and its pages meet its score in ``SALT`` places.
     """
     host, path = host_and_path(F.col(url).cast("string"))
     rows = pages.select(F.col(page_id).alias("id"), host.alias("host"), path.alias("path"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("r", longest_rule(F.col("host"), F.col("path"), rules))
     scores = host_scores(rows.select("host", "html", F.col("r.verdict").alias("verdict")))
+    # A host may have a third of all pages: its rows go to SALT places, each with a copy of the host's one score row.
+    scores = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = rows.drop("html").withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALT)).cast("int"))
     told = F.when((F.col("distrust") >= block_from) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
-    return rows.drop("html").join(scores, "host", "left").select(
+    return rows.join(scores, ["host", "salt"], "left").select(
         F.col("id").alias(page_id), "host", "path", F.col("r.name").alias("rule"), F.coalesce(F.col("r.verdict"), told).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
