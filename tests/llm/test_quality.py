@@ -38,3 +38,17 @@ def test_policies_and_ablation(spark):
         assert got[rule] == (sum(b & bit > 0 for b in bits), sum(b > 0 and b & ~bit == 0 for b in bits))
     kept = Q.keep_articles(df, "base")
     assert kept.columns == df.columns and kept.count() == 2
+
+
+def test_query_ablates_over_whole_documents(spark):
+    """The counts beside each row against removing one rule and judging every row of the table again."""
+    from thinmarket.llm import queries
+
+    rows = queries.op1_quality_rules(spark, "/root/testdata/sf0.001").collect()
+    assert any(r.only_rule for r in rows) and any(not r.kept and r.only_rule is None for r in rows)
+    for i, (name, _) in enumerate(Q.RULES):
+        rest = Q.mask("v2") & ~(1 << i)
+        saved = [r for r in rows if not r.kept and r.fail_bits & rest == 0]
+        assert [r.doc_id for r in saved] == [r.doc_id for r in rows if r.only_rule == name]
+        assert {(r.only_rule_rows, r.only_rule_failed) for r in saved} <= {(len(saved), sum(r.fail_bits >> i & 1 for r in rows))}
+    assert all(r.kept_v1 == (r.fail_bits & Q.mask("v1") == 0) and (r.only_rule_rows is None) == (r.only_rule is None) for r in rows)

@@ -99,6 +99,12 @@ def ablation(ledger: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def only_rule(policy: str, fail_bits: str = "fail_bits") -> Column:
+    """The rule that alone rejects the row under a policy; null where none or several do."""
+    used = F.col(fail_bits).bitwiseAND(F.lit(mask(policy)).cast("long"))
+    return F.coalesce(*[F.when(used == 1 << i, name) for i, (name, _) in enumerate(RULES) if name in POLICIES[policy]])
+
+
 def _judge(bodies: pa.Array) -> pa.Array:
     """The measurements of each text, one text in hand at a time."""
     rows = list(zip(*(measure(x.as_py()) for x in bodies))) or [()] * len(MEASURES)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thinmarket.llm import archive, audit, bpe, codes, decontaminate, hosts, lines, neighbours, placement, quality, render, replies, secrets
+from thinmarket.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,12 +58,19 @@ MEASURED_SQL = r"""
 
 @register("op1_quality_rules", MEASURED_SQL + """
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
-         n_lines, n_bare_words, fail_bits FROM ledger""")
+         n_lines, n_bare_words, fail_bits, fail_bits & 15 = 0 AS kept_v1, o.rule AS only_rule, o.n_only AS only_rule_rows, o.n_failed AS only_rule_failed
+  FROM ledger LEFT JOIN (SELECT rule, bit, (SELECT count(*) FILTER (WHERE fail_bits & bit <> 0) FROM ledger) AS n_failed, (SELECT count(*) FILTER (WHERE fail_bits = bit) FROM ledger) AS n_only
+    FROM (VALUES ('too_short', 1), ('repeats_itself', 2), ('symbol_heavy', 4), ('repeated_lines', 8), ('few_letters', 16), ('word_length', 32)) r(rule, bit)) o ON o.bit = ledger.fail_bits""")
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality.rule_ledger(articles(spark, sf_dir))
-    return ledger.select(
+    """Each row with the verdict of two policies and, if one rule alone rejects it, the ablation's counts of that rule."""
+    ensure_checkpoint_dir(spark)
+    ledger = quality.rule_ledger(articles(spark, sf_dir)).withColumn("only_rule", quality.only_rule("v2")).checkpoint()
+    counts = quality.ablation(ledger, "v2").select(F.col("rule").alias("only_rule"), F.col("n_only").alias("only_rule_rows"), F.col("n_failed").alias("only_rule_failed"))
+    # At most one row a rule.
+    return ledger.join(F.broadcast(counts), "only_rule", "left").select(
         F.col("article_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~quality.kept("base")).alias("base_failed"), quality.kept("v2").alias("kept"), "n_lines", "n_bare_words", "fail_bits",
+        quality.kept("v1").alias("kept_v1"), "only_rule", "only_rule_rows", "only_rule_failed",
     )
 
 
